@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.minhash import near_groups
 from tessera.llm.secret_scan import secret_report
 
 
@@ -16,12 +17,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
 }
 
