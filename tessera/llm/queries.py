@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.itq_dedup import vector_groups
 from tessera.llm.language_id import language_report
 from tessera.llm.minhash import near_groups
 from tessera.llm.secret_scan import secret_report
@@ -18,6 +19,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
+    "op2_itq_dedup": op2_itq_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
