@@ -8,6 +8,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.itq_dedup import vector_groups
 from tessera.llm.language_id import language_report
 from tessera.llm.minhash import near_groups
+from tessera.llm.packing import pack_documents
 from tessera.llm.secret_scan import secret_report
 
 
@@ -27,6 +28,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_itq_dedup": op2_itq_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_lexical_packing": op5_lexical_packing,
     "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
 }
