@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.bpe_lexicon import bpe_report
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.itq_dedup import vector_groups
 from tessera.llm.language_id import language_report
 from tessera.llm.minhash import near_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.secret_scan import secret_report
+from tessera.llm.token_codec import token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,17 +38,27 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_itq_dedup": op2_itq_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_lexical_packing": op5_lexical_packing,
     "op6_language_id": op6_language_id,
+    "op7_bpe_lexicon": op7_bpe_lexicon,
     "op8_secret_scan": op8_secret_scan,
+    "op9_token_codec": op9_token_codec,
 }
 
 SQL = {

@@ -22,7 +22,7 @@ LONGEST = 64
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # A boundary before white space; only texts with unusual white space need it.
 _PARTS = re.compile(r"\s*\S+|\s+")
-_SPACES = "\t\n\r\x0b\x0c\x85\xa0                　"
+_SPACES = "\t\n\r\x0b\x0c\x85\xa0  -     　"
 _BEFORE_SPACE = re.compile(f"[{_SPACES}] |  ")
 
 
