@@ -12,6 +12,7 @@ from tessera.llm.minhash import near_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.secret_scan import secret_report
 from tessera.llm.token_codec import token_files
+from tessera.llm.warc_zip import package_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op2_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return package_report(_table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op9_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_itq_dedup": op2_itq_dedup,
+    "op3_warc_zip": op3_warc_zip,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_lexical_packing": op5_lexical_packing,
     "op6_language_id": op6_language_id,
@@ -62,6 +68,17 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_warc_zip": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (
+  SELECT page_id, octet_length(b) AS payload_bytes, payload_digest,
+         max(page_id) OVER (PARTITION BY b) AS first
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM w
+""",
     "op10_exact_dedup": r"""
 WITH k AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm,
