@@ -8,6 +8,7 @@ from tessera.llm.bpe_lexicon import bpe_report
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.itq_dedup import vector_groups
 from tessera.llm.language_id import language_report
+from tessera.llm.license_scan import license_report
 from tessera.llm.minhash import near_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.secret_scan import secret_report
@@ -23,6 +24,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +62,7 @@ def op9_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
+    "op1_license_scan": op1_license_scan,
     "op2_itq_dedup": op2_itq_dedup,
     "op3_warc_zip": op3_warc_zip,
     "op4_minhash_dedup": op4_minhash_dedup,
