@@ -33,9 +33,9 @@ QUERY_TERMS, NEIGHBOURS = 16, 24
 K1, B = 1.5, 0.75
 
 
-def _tokenise(vocabulary: str):
+def _tokenise(vocabulary: str, ranks: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = part_tokenizer(tokenizer_path(vocabulary), keeps_space=True)
+        tokenizer = part_tokenizer(tokenizer_path(vocabulary), keeps_space=True, ranks=ranks and tokenizer_path(ranks))
         end = np.array([END], dtype="<u2").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -200,7 +200,9 @@ def _pack(idf: np.ndarray, mean_length: float):
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "text", id: str = "doc_id") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", text: str = "text", id: str = "doc_id"
+) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document is its ids and the end id; a null or empty text is the end id
@@ -210,7 +212,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", text:
     empty table gives an empty result.
     """
     source = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    tokens = written(source.mapInArrow(_tokenise(vocabulary), "doc_id long, ids binary"), {"compression": "zstd"})
+    tokens = written(source.mapInArrow(_tokenise(vocabulary, ranks), "doc_id long, ids binary"), {"compression": "zstd"})
     counted = tokens.select("ids").mapInArrow(_frequencies, "term long, df long, tokens long")
     # As many rows as the vocabulary has ids, at most.
     rows = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).collect()
