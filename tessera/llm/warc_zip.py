@@ -1,13 +1,15 @@
 """WARC records in ZIP packages, read by ranges.
 
-A package has stored members only: WARC files of records and a JSON-lines index
-of their places. The reader finds the end record (and the ZIP64 one), parses the
-central directory, takes the index, and reads each record by its own range; no
-member is unpacked and no package read whole.
+A package has stored members only: WARC files, in which each record is a gzip
+member of its own, and a JSON-lines index of their places. The reader finds the
+end record (and the ZIP64 one), parses the central directory, takes the index,
+and reads and inflates each record by its own range; no package member is
+extracted and no package read whole.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
@@ -218,7 +220,7 @@ def _write(folder: str):
         def end_member() -> None:
             nonlocal filled
             if buffer:
-                members.append((f"archive/data-{len(members):05d}.warc", b"".join(buffer)))
+                members.append((f"archive/data-{len(members):05d}.warc.gz", b"".join(buffer)))
                 buffer.clear()
                 filled = 0
 
@@ -246,8 +248,9 @@ def _write(folder: str):
             columns = [batch.column(i) for i in range(5)]
             for i in range(batch.num_rows):
                 page, url, html, sha1, refers = (c[i].as_py() for c in columns)
-                record = warc_record(page, url, (html or "").encode(), sha1, refers)
-                index.append({"page": page, "member": f"archive/data-{len(members):05d}.warc", "offset": filled, "length": len(record)})
+                # No time stamp, so that a task run twice writes the same bytes.
+                record = gzip.compress(warc_record(page, url, (html or "").encode(), sha1, refers), 5, mtime=0)
+                index.append({"page": page, "member": f"archive/data-{len(members):05d}.warc.gz", "offset": filled, "length": len(record)})
                 buffer.append(record)
                 filled += len(record)
                 if filled >= MEMBER_BYTES:
@@ -275,7 +278,7 @@ def _read(folder: str):
                     for member, ranges in by_member.items():
                         rows: tuple[list, ...] = ([], [], [], [], [], [])
                         for raw in package.read_ranges(member, ranges):
-                            headers, payload = parse_record(raw)
+                            headers, payload = parse_record(gzip.decompress(raw))
                             kind = headers["warc-type"]
                             page, refers = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
                             sha1 = hashlib.sha1(payload).hexdigest() if kind == "response" else None
