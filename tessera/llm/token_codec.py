@@ -2,9 +2,9 @@
 
 A block starts from nothing but the file's id frequencies (order 0). While it is
 coded it keeps, for the last id and for the last two, the id that came next the
-last time; whether these order-2 and order-1 predictions hold are binary
-decisions, whose probabilities mix two adaptive counters with adaptive weights;
-where both fail, the order-0 frequencies code the id. All blocks of a file are
+last time; whether the order-2 prediction holds, or the order-1 where there is no
+other, is a binary decision, whose probability mixes two adaptive counters with
+adaptive weights; where it fails, the order-0 frequencies code the id. All blocks of a file are
 coded in step, so that each model operation works on an array of blocks.
 
 File: magic, u32 length of a JSON header, header (counts, block size, lengths of
@@ -157,8 +157,9 @@ class _Flag:
         self.contexts = contexts
         self.history = np.zeros(lanes, dtype=np.int64)
         self.w1, self.w2 = np.full(lanes, 36000, dtype=np.int32), np.full(lanes, 36000, dtype=np.int32)
+        self.steps = 0
 
-    def code(self, coder, lanes: np.ndarray, record: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
+    def code(self, coder, lanes: np.ndarray, record: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Whether the predictions of ``lanes`` hold; ``hit`` is what the coder is to code."""
         history = self.history[lanes]
         i, j = lanes * self.contexts + record, lanes * 16 + history
@@ -166,12 +167,18 @@ class _Flag:
         sa, sb = _STRETCH[a >> 4], _STRETCH[b >> 4]
         p = _SQUASH[np.maximum(np.minimum((w1 * sa + w2 * sb) >> 16, 2047), -2048) + 2048]
         hit = coder.bit(lanes, p, hit)
-        error = (hit.astype(np.int32) << 12) - p
-        self.w1[lanes] = np.maximum(np.minimum(w1 + ((sa * error) >> 12), 200000), -200000)
-        self.w2[lanes] = np.maximum(np.minimum(w2 + ((sb * error) >> 12), 200000), -200000)
-        goal = hit.astype(np.int32) * 65535
-        self.by_record[i] = a + ((goal - a) >> 4)
-        self.by_history[j] = b + ((goal - b) >> 5)
+        ones = hit.astype(np.int32)
+        error = (ones << 12) - p
+        self.w1[lanes] = w1 + ((sa * error) >> 12)
+        self.w2[lanes] = w2 + ((sb * error) >> 12)
+        self.steps += 1
+        if self.steps % 64 == 0:
+            # A step adds 2047 at most, so the products stay within 32 bits until here.
+            np.clip(self.w1, -200000, 200000, out=self.w1)
+            np.clip(self.w2, -200000, 200000, out=self.w2)
+        ones *= 65535
+        self.by_record[i] = a + ((ones - a) >> 4)
+        self.by_history[j] = b + ((ones - b) >> 5)
         self.history[lanes] = (history * 2 + hit) & 15
         return hit
 
@@ -182,7 +189,7 @@ def _run(coder, prior: _Prior, lanes: int, steps: int, ids: np.ndarray | None) -
     row = np.arange(lanes) * PLACES
     # A prediction, and above its 16 bits how often it has held in a row, up to 3.
     guess1, guess2 = (np.full(lanes * PLACES, _NONE, dtype=np.int32) for _ in range(2))
-    flag1, flag2 = _Flag(lanes, 4), _Flag(lanes, 8)
+    flag = _Flag(lanes, 16)
     last = before = np.zeros(lanes, dtype=np.int64)
     for t in range(steps):
         mixed = last * 40503
@@ -191,19 +198,18 @@ def _run(coder, prior: _Prior, lanes: int, steps: int, ids: np.ndarray | None) -
         g1, g2 = guess1[i1], guess2[i2]
         p1, p2 = g1 & _NONE, g2 & _NONE
         now = np.full(lanes, -1, dtype=np.int32) if ids is None else out[t].astype(np.int32)
+        # The order-2 prediction where there is one, else the order-1; which, whether they agree, and the record are the context.
+        no2 = p2 == _NONE
+        guess = np.where(no2, p1, p2)
+        context = np.where(no2, g1 >> 16, (g2 >> 16) + 4 + 4 * (p1 == p2))
+        own = (guess != _NONE).nonzero()[0]
         missed = np.ones(lanes, dtype=bool)
-        own = (p2 != _NONE).nonzero()[0]
         if len(own):
-            guess = p2[own]
-            hit = flag2.code(coder, own, (g2[own] >> 16) * 2 + (p1[own] == guess), now[own] == guess)
-            now[own[hit]] = guess[hit]
-            missed[own[hit]] = False
-        own = ((p1 != _NONE) & missed & (p1 != p2)).nonzero()[0]
-        if len(own):
-            guess = p1[own]
-            hit = flag1.code(coder, own, g1[own] >> 16, now[own] == guess)
-            now[own[hit]] = guess[hit]
-            missed[own[hit]] = False
+            held = guess[own]
+            hit = flag.code(coder, own, context[own], now[own] == held)
+            got = own[hit]
+            now[got] = held[hit]
+            missed[got] = False
         own = missed.nonzero()[0]
         if len(own):
             now[own] = coder.symbol(own, prior, now[own])
