@@ -14,12 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Parts that a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 900_000
+REMEMBERED = 1_200_000
 #: Only parts of up to so many characters are remembered.
 LONGEST = 64
 
 # What Python takes as white space and the library doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+# A full stop or comma that ends a word: a boundary of both pre-tokenizers (the dotted capital I becomes a letter and a mark).
+_MARK = re.compile(r"(?<=[^\W_\u0130])[.,](?=\s|$)")
+_OTHER_LETTER = re.compile("[\u0130\u0250-\U0010ffff]")
 # A boundary before white space; only texts with unusual white space need it.
 _PARTS = re.compile(r"\s*\S+|\s+")
 _SPACES = "\t\n\r\x0b\x0c\x85\xa0  -     　"
@@ -62,12 +65,16 @@ class PartTokenizer:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str]:
+        """Parts whose ids in a row are the text's; as few different ones as can be."""
         if not self.keeps_space:
-            return text.split()
-        if _BEFORE_SPACE.search(text):
+            # Letters that have one lower-case form, which the vocabulary's normaliser takes as well.
+            if not _OTHER_LETTER.search(text):
+                text = text.lower()
+            return _MARK.sub(r" \g<0>", text).split()
+        if _BEFORE_SPACE.search(text) or "\0" in text:
             return _PARTS.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        parts = _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
+        return parts if parts[0] else parts[1:]
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text) or any(s in text for s in self.special):
@@ -80,33 +87,10 @@ class PartTokenizer:
             pass
         if len(known) > REMEMBERED:
             known.clear()
-        new = {x for x in parts if x not in known}
-        stems = {self._stem(x) for x in new}
-        found = self._encode_new([x for x in stems if x not in known])
-        found.update((x, known[x]) for x in stems if x in known)
-        for x in new:
-            if x not in found:
-                stem = self._stem(x)
-                end = x[-1]
-                found[x] = found[stem] + (self._mark(end) if self._ends(x) else b"")
+        found = self._encode_new(list({x for x in parts if x not in known}))
         known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
         return b"".join([found[x] if x in found else known[x] for x in parts])
 
-    @staticmethod
-    def _ends(part: str) -> bool:
-        """Whether a full stop or comma ends the part after a letter or digit: a boundary of both pre-tokenizers."""
-        return len(part) > 1 and part[-1] in ".," and part[-2].isascii() and part[-2].isalnum()
-
-    def _stem(self, part: str) -> str:
-        if self._ends(part):
-            part = part[:-1]
-        return part.lower() if not self.keeps_space and part.isascii() else part
-
-    def _mark(self, mark: str) -> bytes:
-        if mark not in self.known:
-            self.known[mark] = self._library([mark])[0]
-        return self.known[mark]
-
     def _encode_new(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts, encoded together with a separator between them that the parts don't have."""
         out: dict[str, bytes] = {}
