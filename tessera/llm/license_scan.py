@@ -22,7 +22,7 @@ from tessera.llm.tokens import texts_of
 
 #: A template must shorten a block by this share of the template's own compressed size to be aligned, and be among the first so many.
 LEAST_REDUCTION, ALIGNED = 0.3, 6
-#: Differing words that a template may have, as a share of its words, rounded.
+#: Differing words that a template may have, as a share of its words, rounded down: a short one has none.
 DIFFERENCES = 0.12
 #: Units (sentences or lines) between two candidate units that still belong to one block, and around them.
 GAP, AROUND = 8, 2
@@ -137,7 +137,7 @@ class Templates:
         for op, i, j, x, y in difflib.SequenceMatcher(None, own, words[a:b], autojunk=False).get_opcodes():
             if op != "equal":
                 diff += ["-" + w for w in own[i:j]] + ["+" + w for w in words[a + x : a + y]]
-        if len(diff) > round(DIFFERENCES * len(own)) or any(w[1:] in TELLING or w[1].isdigit() for w in diff):
+        if len(diff) > int(DIFFERENCES * len(own)) or any(w[1:] in TELLING or w[1].isdigit() for w in diff):
             return None
         # A telling word right after the template makes it another license ("CC BY" in "CC BY-NC").
         if b < len(words) and words[b] in TELLING:

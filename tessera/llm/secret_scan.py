@@ -187,6 +187,7 @@ def _decision(n: Column, size: Column, y: Column) -> Column:
 def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fdr: float = FDR) -> DataFrame:
     """``keep`` columns, the text (null: empty) as _text, base and spans for each row.
 
+    Columns to keep have other names than these and none with a leading underscore.
     Both are arrays of (s: start, k: place in KINDS, e: end, v: value), by start
     and kind; positions are code points, ends exclusive; assign spans are whole
     matches, its value the assigned string. spans is base plus the tokens that
@@ -241,9 +242,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     All rows and columns stay; a text without secrets is untouched, null included.
     """
-    columns = docs.columns
-    rest = [c for c in columns if c != "text"]
-    found = secret_spans(docs, keep=tuple(columns))
+    columns, at = docs.columns, docs.columns.index("text")
+    # Under other names, whatever the columns are called.
+    own = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    found = secret_spans(own, text=f"c{at}", keep=tuple(own.columns))
     span = "struct<s:int,e:int>"
     # Spans that meet become one stretch.
     merged = F.aggregate(
@@ -270,4 +272,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
     )
     clean = F.concat(F.array_join(pieces, ""), F.substring("_text", last + 1, F.length("_text")))
-    return found.select(*rest, F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text")).alias("text")).select(*columns)
+    text = F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col(f"c{at}"))
+    return found.select(*[text.alias(c) if i == at else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
