@@ -18,7 +18,7 @@ def unfence(reply: Column) -> Column:
 
 def repair_json(text: Column) -> Column:
     """Stray backslashes doubled, commas before a closing bracket dropped."""
-    return F.regexp_replace(F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\"), r",\s*([}\]])", "$1")
+    return F.regexp_replace(F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\"), r",\s*([}\]])", "$1")
 
 
 def json_object(reply: Column) -> Column:
