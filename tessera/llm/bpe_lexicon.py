@@ -24,14 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import shared_dir, written
 from tessera.llm.token_codec import open_folder
-from tessera.llm.tokens import texts_of, tokenizer_path
+from tessera.llm.tokens import plain_words, texts_of, tokenizer_path
 
-#: Words of the lexicon, the most frequent of the corpus.
+#: Words of the lexicon, the most frequent of the corpus, at the most.
 LEXICON = 65_536
 #: Words that a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 #: Distinct words that are counted together before they are handed on.
 COUNTED = 400_000
 MAGIC = b"TLEX0001"
@@ -218,7 +218,8 @@ def _normal(word: str) -> str:
 
 
 def _cut(text: str) -> list[str]:
-    return [x for x in _SPLIT.split(text) if x] if _ODD.search(text) else text.split()
+    """Words whose ids in a row are the text's."""
+    return [x for x in _SPLIT.split(text) if x] if _ODD.search(text) else plain_words(text)
 
 
 class LexiconTokenizer:
@@ -301,11 +302,21 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON, text: str = "text") -> list[str]:
-    """The corpus's most frequent pre-tokens, counted over all texts; ties by their letters."""
+    """The corpus's most frequent pre-tokens, counted over all texts: up to ``size``, and of one count all or none.
+
+    The driver gets how many pre-tokens have each count (few different counts
+    occur), and then the ``size`` pre-tokens at the most.
+    """
     counted = docs.select(docs[text].alias("text")).mapInArrow(_count, "word string, n long")
     words = counted.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_pieces, "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    words = written(words.groupBy("word").agg(F.sum("n").alias("n")))
+    taken, least = 0, None
+    for n, times in sorted((tuple(r) for r in words.groupBy("n").count().collect()), reverse=True):
+        taken += times
+        if taken > size:
+            break
+        least = n
+    return [] if least is None else sorted(r["word"] for r in words.where(F.col("n") >= least).select("word").collect())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON) -> tuple[str, str]:

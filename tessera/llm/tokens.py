@@ -36,6 +36,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def plain_words(text: str) -> list[str]:
+    """Words of a text for a vocabulary in lower case that drops white space; marks that end a word stand alone."""
+    # Letters that have one lower-case form, which the vocabulary's normaliser takes as well.
+    if not _OTHER_LETTER.search(text):
+        text = text.lower()
+    return _MARK.sub(r" \g<0>", text).split()
+
+
 class PartTokenizer:
     """Ids of texts as little-endian unsigned 16- or 32-bit integers in bytes.
 
@@ -67,10 +75,7 @@ class PartTokenizer:
     def _cut(self, text: str) -> list[str]:
         """Parts whose ids in a row are the text's; as few different ones as can be."""
         if not self.keeps_space:
-            # Letters that have one lower-case form, which the vocabulary's normaliser takes as well.
-            if not _OTHER_LETTER.search(text):
-                text = text.lower()
-            return _MARK.sub(r" \g<0>", text).split()
+            return plain_words(text)
         if _BEFORE_SPACE.search(text) or "\0" in text:
             return _PARTS.findall(text)
         parts = _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
