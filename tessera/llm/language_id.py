@@ -19,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shingles import buffers, chunks
 
-#: Labelled texts of a language that the trees are counted on, at the most. Which ones: by a hash of the id.
+#: Labelled texts of a language that the trees are counted on, on average. Which ones: by a hash of the row.
 SAMPLE_DOCS = 3000
+_PARTS = 1 << 24
 #: Bytes of the tabulated code lengths, at the most.
 TABLE_BYTES = 64 << 20
-#: A sampled text adds counts at most for all its bytes; counts stop mattering beyond this, as in any byte coder.
+#: Bytes of the longest context.
 ORDER = 3
 
 
@@ -148,22 +149,21 @@ class Model:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, lang: str = "lang", text: str = "text", id: str = "doc_id") -> Model:
-    """Counts the trees on at most ``sample_docs`` labelled texts of each language.
+    """Counts the trees on some ``sample_docs`` labelled texts of each language, or on all if there are fewer.
 
-    Rows without text, or with a null or empty label, are no examples. The
-    sample is by a hash of the id, so it is the same in each run. What reaches
-    the driver is the counted strings of the sample, whose size it bounds.
+    Rows without text, or with a null or empty label, are no examples. Which
+    texts: those whose hash (of id and text) is below the language's share, so
+    the sample is the same in each run. What reaches the driver is a number for
+    each language, and the counted strings of the sample, whose size it bounds.
     """
     rows = docs.select(docs[id].cast("string").alias("id"), docs[text].alias("text"), docs[lang].alias("lang"))
     rows = rows.where("text is not null and lang is not null and lang <> ''")
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = (
-        rows.select("id", "lang", F.xxhash64("id", "text").alias("h"))
-        .withColumn("r", F.row_number().over(order))
-        .where(F.col("r") <= sample_docs)
-        .select("h", "lang")
-    )
-    sample = rows.withColumn("h", F.xxhash64("id", "text")).join(picked, ["h", "lang"], "left_semi")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Model({})
+    shares = F.create_map(*[F.lit(v) for x, n in sizes.items() for v in (x, min(_PARTS, -(-_PARTS * sample_docs // n)))])
+    # A share is at most the whole, and by it the sample is a little over or under what is asked for.
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(_PARTS)) < shares[F.col("lang")])
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = found["lang"].to_numpy(zero_copy_only=False)
