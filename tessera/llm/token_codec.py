@@ -368,5 +368,5 @@ def token_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataF
     # A row for each file: few enough for one window.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = files.select("name", "part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    dealt = based.repartition(max(1, files.count()), "part").select("name", "base")
+    dealt = based.select("name", "base").repartition(max(1, files.count()))
     return dealt.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

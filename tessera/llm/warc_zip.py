@@ -331,7 +331,7 @@ def package_report(pages: DataFrame) -> DataFrame:
     largest. Other columns are ignored; an empty table gives an empty result.
     """
     folder, files = write_packages(pages)
-    dealt = files.repartition(max(1, files.count()), "name")
+    dealt = files.repartition(max(1, files.count()))
     records = written(
         dealt.mapInArrow(
             _read(folder),
