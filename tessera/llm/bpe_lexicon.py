@@ -32,6 +32,8 @@ from tessera.llm.tokens import plain_words, texts_of, tokenizer_path
 LEXICON = 65_536
 #: Words that a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 900_000
+#: Texts whose unseen words are looked up together.
+TOGETHER = 256
 #: Distinct words that are counted together before they are handed on.
 COUNTED = 400_000
 MAGIC = b"TLEX0001"
@@ -66,8 +68,12 @@ class MergeList:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        # By ids: the rank of a pair and what it becomes.
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # By ids: the rank of a pair, and what the pair of a rank becomes.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.becomes: list[int] = []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[self.vocab[a], self.vocab[b]] = rank
+            self.becomes.append(self.vocab[a + b])
         letters = _byte_letters()
         self.inner = [self.vocab.get(x) for x in letters]
         self.last = [self.vocab.get(x + self.end) for x in letters]
@@ -77,21 +83,21 @@ class MergeList:
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
         # Without an unknown token, letters outside the vocabulary are left out.
         ids = [x for x in ids if x is not None]
-        merges = self.merges
-        ranks = [merges.get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best = None
-            for i, r in enumerate(ranks):
-                if r is not None and (best is None or r[0] < best):
-                    best, at = r[0], i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [ranks[at][1]]
+        never = len(self.becomes)
+        get = self.ranks.get
+        ranks = [get(p, never) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
+                break
+            at = ranks.index(best)
+            ids[at : at + 2] = [self.becomes[best]]
             del ranks[at]
             if at:
-                ranks[at - 1] = merges.get((ids[at - 1], ids[at]))
+                ranks[at - 1] = get((ids[at - 1], ids[at]), never)
             if at < len(ranks):
-                ranks[at] = merges.get((ids[at], ids[at + 1]))
+                ranks[at] = get((ids[at], ids[at + 1]), never)
+        return ids
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -262,18 +268,32 @@ class LexiconTokenizer:
 
     def _plain(self, text: str) -> tuple[int, str, str]:
         words = _cut(text)
+        self._learn_all([words])
+        return self._joined(words)
+
+    def _learn_all(self, texts: list[list[str]]) -> None:
         known = self.known
-        new = {w for w in words if w not in known}
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = {w for words in texts for w in words if w not in known}
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = set(words)
             for w, ids in self._learn(list(new)).items():
                 known[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if not words:
+
+    def _joined(self, words: list[str]) -> tuple[int, str, str]:
+        found = [x for x in map(self.known.__getitem__, words) if x[0]]
+        if not found:
             return 0, "", ""
-        found = [known[w] for w in words]
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), " ".join([x[2] for x in found if x[0]])
+        sizes, ids, decoded = zip(*found)
+        return sum(sizes), " ".join(ids), " ".join(decoded)
+
+    def forms_of(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """``forms`` of some texts, their unseen words learned together."""
+        cut = [None if self.special and self.special.search(t) else _cut(t) for t in texts]
+        self._learn_all([words for words in cut if words])
+        # Those without added tokens first: a text with them may make the worker forget words.
+        plain = [None if words is None else self._joined(words) for words in cut]
+        return [self.forms(t) if x is None else x for t, x in zip(texts, plain)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,10 +383,10 @@ def bpe_report(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int
         tokenizer = lexicon_tokenizer(vocabulary, folder, name)
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
-            for x in texts_of(batch.column(1)):
-                n, ids, decoded = tokenizer.forms(x)
-                for column, value in zip(rows, (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())):
-                    column.append(value)
+            for at in range(0, batch.num_rows, TOGETHER):
+                for n, ids, decoded in tokenizer.forms_of(list(texts_of(batch.column(1).slice(at, TOGETHER)))):
+                    for column, value in zip(rows, (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
