@@ -28,10 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; of rows with one id and text, any one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_own", F.sha2(normalised(F.col("text")), 256))
-    own = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_sha"]), "left_semi")
-    return own.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    kept = exact_dedup(docs).where("kept").select(key.alias("_key"), F.col("text_sha256").alias("_own")).distinct()
+    marked = docs.withColumn("_key", key).withColumn("_own", F.sha2(normalised(F.col("text")), 256))
+    # One shuffle of the texts serves the join and what follows it, as both go by these keys.
+    return marked.join(kept, ["_key", "_own"], "left_semi").dropDuplicates(["_key", "_own"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
