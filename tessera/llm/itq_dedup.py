@@ -1,12 +1,13 @@
-"""Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
-
-A rotation of the principal axes is learned on a bounded sample so that the
-signs of the rotated vectors lose little; the signs are a vector's code. The
-code is cut into substrings, one for each table; a vector is entered under its
-substring and looked up under all that differ in one bit at most. Codes that
-differ in 9 bits of 64 always meet in one of five tables, and most do that differ
-in more. Vectors that meet, and whose whole codes are near, are reranked by the
-cosine of the original vectors.
+"""Near-duplicate vectors by iterative quantisation and tables of code substrings.
+
+Vectors of a label are compared in full, block against block, as long as that
+costs no more than tables. Beyond, rotations of the principal axes are learned on
+a bounded sample so that the signs of the rotated vectors lose little; the signs
+are codes, cut into substrings, one for each table, and the vectors with one
+substring are a bucket. Width and number of the tables follow from the rows of a
+label and from the angle that the bits see at the threshold: that of the centred
+vectors, which a common direction widens. In a bucket all vectors are compared by
+their cosine in double precision.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from tessera.llm.common import components, written
 
 #: Vectors that the rotation is learned on, at the most; chosen by a hash of the id.
 SAMPLE = 10_000
-#: Bits of a code, at the most (no more than dimensions), and its tables.
-BITS, TABLES = 64, 5
-#: Differing bits of whole codes up to which vectors are reranked. At cosine 0.93, 8 of 64 differ on average, 3 is a standard deviation.
-RADIUS = 18
+#: Bits of a code, at the most (no more than dimensions).
+BITS = 64
+#: Vectors of a block; two blocks are compared in a task.
+BLOCK = 2048
+#: Chance that a pair at the threshold meets in no table, at the most.
+MISS = 1e-4
 TURNS = 30
 
 
@@ -56,64 +59,103 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _encode(mean: np.ndarray, axes: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code = np.zeros(batch.num_rows, dtype=np.uint64)
-            if batch.num_rows:
-                signs = (_unit(_matrix(batch.column(2))) - mean) @ axes >= 0
-                for k in range(signs.shape[1]):
-                    code |= signs[:, k].astype(np.uint64) << np.uint64(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.view(np.int64))], ["rep", "label", "code"])
-
-    return run
+def _tables(x: np.ndarray, mean: np.ndarray, bits: int, rows: int, least: float, block: int, miss: float) -> tuple[int, int]:
+    """Bits and number of tables for ``rows`` vectors of a label; (0, 1), all with all, where that is no dearer."""
+    width = min(bits, max(0, int(np.ceil(np.log2(max(1, rows) / block))) + 1))
+    if width == 0 or not len(x):
+        return 0, 1
+    # Unit vectors at the threshold are as far apart when centred, but both shorter: the shortest sees the widest angle.
+    cosine = 1 - (1 - least) / max(1e-12, ((x - mean) ** 2).sum(axis=1).min())
+    if cosine <= 0:
+        return 0, 1
+    tables = int(np.ceil(np.log(1 / miss) / (1 - np.arccos(min(1.0, cosine)) / np.pi) ** width))
+    return (0, 1) if tables >= -(-rows // block) else (width, tables)
 
 
-def _rerank(least: float):
+def _encode(mean: np.ndarray, turns: list[np.ndarray], width: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(0, dtype=bool)
-            if batch.num_rows:
-                keep = (_unit(_matrix(batch.column(2))) * _unit(_matrix(batch.column(3)))).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            keys = np.zeros((batch.num_rows, tables), dtype=np.int64)
+            if batch.num_rows and width:
+                x = _unit(_matrix(batch.column(2))) - mean
+                t = 0
+                for axes in turns:
+                    signs = x @ axes >= 0
+                    for at in range(0, axes.shape[1] - width + 1, width):
+                        if t < tables:
+                            keys[:, t] = signs[:, at : at + width] @ (1 << np.arange(width, dtype=np.int64))
+                            t += 1
+            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables)
+            lists = pa.ListArray.from_arrays(at, pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["rep", "label", "v", "keys"])
 
     return run
 
 
-def _part(code: str, t: int, bits: int, tables: int):
-    """Substring t of a code, and its width; the last is the shortest."""
-    width = -(-bits // tables)
-    own = min(width, bits - t * width)
-    return F.shiftrightunsigned(code, t * width).bitwiseAND(F.lit((1 << own) - 1).cast("long")), own
+def _compare(least: float):
+    """Links of one cell, a pair of blocks: within a block if they are the same, else across."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        rep, side = cell["rep"].to_numpy(), cell["block"].to_numpy()
+        v = cell["v"].combine_chunks()
+        x = _unit(_matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v))
+        first = side == cell["i"][0].as_py()
+        within = cell["i"][0].as_py() == cell["j"][0].as_py()
+        left, right = (np.arange(len(rep)),) * 2 if within else (np.flatnonzero(first), np.flatnonzero(~first))
+        found_a, found_b = [], []
+        for at in range(0, len(left), 512):
+            own = left[at : at + 512]
+            # The product may round otherwise than the sum of a pair; the latter decides.
+            p, q = np.nonzero(x[own] @ x[right].T >= least - 1e-9)
+            p, q = own[p], right[q]
+            keep = (rep[p] < rep[q]) if within else np.ones(len(p), dtype=bool)
+            p, q = p[keep], q[keep]
+            keep = np.concatenate([(x[p[k : k + 4096]] * x[q[k : k + 4096]]).sum(axis=1) >= least for k in range(0, len(p), 4096)] or [np.zeros(0, dtype=bool)])
+            found_a.append(np.minimum(rep[p], rep[q])[keep])
+            found_b.append(np.maximum(rep[p], rep[q])[keep])
+        none = [np.zeros(0, dtype=np.int64)]
+        return pa.table({"a": np.concatenate(found_a or none), "b": np.concatenate(found_b or none)})
 
-
-def _entries(codes: DataFrame, bits: int, tables: int, near: bool) -> DataFrame:
-    """(label, t, key, rep, code): each vector under its substrings; with ``near`` also under those that differ in one bit."""
-    rows = []
-    for t in range(tables):
-        part, own = _part("code", t, bits, tables)
-        flips = [0, *[1 << k for k in range(own)]] if near else [0]
-        rows += [F.struct(F.lit(t).alias("t"), part.bitwiseXOR(F.lit(f).cast("long")).alias("key")) for f in flips]
-    return codes.select("label", "rep", "code", F.inline(F.array(*rows)))
+    return run
 
 
-def _first_meeting(bits: int, tables: int):
-    """Whether t is the first table in which the codes x and y meet."""
-    out = F.lit(True)
-    for t in range(tables - 1):
-        far = F.bit_count(_part("x", t, bits, tables)[0].bitwiseXOR(_part("y", t, bits, tables)[0])) > 1
-        out = out & ((F.col("t") <= t) | far)
-    return out
+def _links(own: DataFrame, dim: int, least: float, sample: int, block: int, miss: float) -> DataFrame:
+    """(a, b), a < b: the linked classes of one length; own(label, v, rep)."""
+    most, total = 0, 0
+    per = own.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+    most, total = per[0] or 0, per[1] or 0
+    mean, turns, width, tables = np.zeros(dim), [], 0, 1
+    if most > block:
+        picked = own.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(sample / max(1, total) * (1 << 20)) + 1).select("v").limit(2 * sample)
+        x = _unit(np.array([r[0] for r in picked.collect()], dtype=np.float64).reshape(-1, dim))
+        mean = x.mean(axis=0) if len(x) else mean
+        width, tables = _tables(x, mean, min(BITS, dim), most, least, block, miss)
+        if width:
+            codes = -(-tables // (min(BITS, dim) // width))
+            turns = [learn_rotation(x, seed=7 + k)[1] for k in range(codes)]
+    keyed = own.select("rep", "label", "v").mapInArrow(_encode(mean, turns, width, tables), "rep long, label string, v array<double>, keys array<long>")
+    keyed = written(keyed)
+    slim = keyed.select("label", F.posexplode("keys").alias("t", "key"))
+    large = slim.groupBy("label", "t", "key").count().where(F.col("count") > block)
+    large = large.select("label", "t", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    rows = keyed.select("rep", "label", "v", F.posexplode("keys").alias("t", "key")).join(F.broadcast(large), ["label", "t", "key"], "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", "t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "v")
+    links = rows.groupBy("label", "t", "key", "i", "j").applyInArrow(_compare(least), "a long, b long")
+    return links if tables == 1 else links.distinct()
 
 
 def vector_groups(
     vectors: DataFrame, least: float = 0.93, id: str = "vec_id", embedding: str = "embedding", label: str = "label",
-    tables: int = TABLES, sample: int = SAMPLE,
+    sample: int = SAMPLE, block: int = BLOCK, miss: float = MISS,
 ) -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors of one label and length link where their cosine, in double
-    precision, is ``least`` or more. Null labels, and vectors that are null,
+    precision, is ``least`` or more; where tables are used, a pair at ``least``
+    is missed with a chance of ``miss`` at the most. Null labels, and vectors that are null,
     empty, zero or hold null or non-finite components, link with nothing.
     n_links counts the other rows linked directly, equal vectors included; they
     are one class within and so cost nothing. Rows with one id share its
@@ -130,26 +172,7 @@ def vector_groups(
     found = None
     for dim in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:
         own = classes.where(F.size("v") == dim)
-        rate = sample / max(1, own.count())
-        picked = own.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("v").limit(2 * sample)
-        x = _unit(np.array([r[0] for r in picked.collect()], dtype=np.float64).reshape(-1, dim))
-        mean, axes = learn_rotation(x) if len(x) else (np.zeros(dim), np.eye(dim)[:, :BITS])
-        bits = axes.shape[1]
-        # As many substrings as have a bit each.
-        cut = -(-bits // -(-bits // min(tables, bits)))
-        codes = own.select("rep", "label", "v").mapInArrow(_encode(mean, axes), "rep long, label string, code long")
-        codes = written(codes)
-        # The lesser id is entered and the greater looks it up; a pair counts at its first meeting only.
-        entered = _entries(codes, bits, cut, near=False).select("label", "t", "key", F.col("rep").alias("a"), F.col("code").alias("x"))
-        asked = _entries(codes, bits, cut, near=True).select("label", "t", "key", F.col("rep").alias("b"), F.col("code").alias("y"))
-        pairs = entered.join(asked, ["label", "t", "key"])
-        near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS
-        pairs = pairs.where((F.col("a") < F.col("b")) & near & _first_meeting(bits, cut)).select("a", "b")
-        v = own.select("rep", "v")
-        both = pairs.join(v.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(
-            v.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b"
-        )
-        links = both.select("a", "b", "va", "vb").mapInArrow(_rerank(least), "a long, b long")
+        links = _links(own, dim, least, sample, block, miss)
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")

@@ -7,7 +7,7 @@ import pytest
 from tessera.llm import shingles
 from tessera.llm.common import components
 from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.itq_dedup import vector_groups
+from tessera.llm.itq_dedup import _links, _tables, vector_groups
 from tessera.llm.minhash import SLOTS, near_groups, signatures
 
 SPACE = dict.fromkeys(b" \t\n\x0b\x0c\r")
@@ -173,3 +173,37 @@ def test_vectors(spark):
 
 def test_vectors_empty(spark):
     assert vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def directed_vectors(n, mean_cosine, seed):
+    """Vectors about a common direction, and a partner at cosine 0.9301 of each fifth: (rows, planted pairs)."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(1 - mean_cosine) * unit(rng.normal(size=(n, 64))) + np.sqrt(mean_cosine) * unit(np.ones(64)))
+    near = x[::5]
+    side = rng.normal(size=near.shape)
+    # Partners keep their length along the common direction as nearly as their distance lets them.
+    side = unit(side - (side * near).sum(axis=1, keepdims=True) * near)
+    y = 0.9301 * near + np.sqrt(1 - 0.9301**2) * side
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(n + i, v.tolist(), 0) for i, v in enumerate(y)]
+    return rows, np.concatenate([x, y])
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.5, 0.64, 0.8])
+def test_vectors_with_a_common_direction(spark, mean_cosine):
+    data, x = directed_vectors(1000, mean_cosine, 3)
+    links = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert links.sum() >= 400
+    for block in (2048, 100):
+        found = {r[0]: r[1] for r in vector_groups(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), block=block).collect()}
+        assert [found[i] for i in range(len(x))] == links.tolist()
+
+
+def test_vector_tables_meet_at_the_threshold(spark):
+    data, x = directed_vectors(4000, 0.2, 4)
+    df = spark.createDataFrame([(i, v, "0") for i, v, _ in data], "rep long, v array<double>, label string")
+    assert _tables(x, x.mean(axis=0), 64, len(x), 0.93, 128, 1e-2)[0] > 0
+    p, q = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    found = {tuple(r) for r in _links(df, 64, 0.93, 2000, 128, 1e-2).collect()}
+    truth = set(zip(p.tolist(), q.tolist()))
+    assert found <= truth and len(found) >= 0.98 * len(truth)
