@@ -1,8 +1,10 @@
 """Packing of documents into token windows by lexical retrieval.
 
-Token ids are written once. Document frequencies are counted over all documents;
-an inverted index with BM25 weights is then built for each shard of documents,
-and a window is filled from its seed: the unused documents of the shard that
+Token ids are written once. Document frequencies are counted over all documents.
+Documents are then ordered by a lexical key, whose terms lead from a wide group of
+documents to a narrow one, and dealt in that order, so that related ones are in one
+shard wherever they stood; a group too large for a shard is split by a hash of the
+id. An inverted index with BM25 weights is built for each shard of documents, and a window is filled from its seed: the unused documents of the shard that
 score best for the seed's rarest terms follow it, best first. The document that
 runs over the window's end goes on in the next window and is its seed, so only
 the last window of a partition is short; that one is cut into powers of two.
@@ -31,6 +33,8 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
 #: Terms of a query, the seed's rarest; neighbours that a query returns.
 QUERY_TERMS, NEIGHBOURS = 16, 24
 K1, B = 1.5, 0.75
+#: Documents of a partition whose keys are sampled to set its bounds.
+SAMPLED = 64
 
 
 def _tokenise(vocabulary: str, ranks: str | None):
@@ -61,6 +65,49 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _keys(df: np.ndarray, idf: np.ndarray, least: tuple[int, ...], bounds: np.ndarray | None):
+    """(key, part, doc_id, ids) of (doc_id, ids, salt); without ``bounds`` the key alone.
+
+    For each of ``least`` in turn, the key holds 16 bits for the term of greatest
+    weight among those that so many documents have; the last 15 are the salt.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, raw in enumerate(batch.column(1)):
+                t, tf = np.unique(np.frombuffer(raw.as_py(), dtype="<u2"), return_counts=True)
+                weight = idf[t] * tf / (tf + K1)
+                for n in least:
+                    fit = np.where(df[t] >= n, weight, -1.0)
+                    best = int(fit.argmax())
+                    keys[i] = keys[i] << 16 | (int(t[best]) if fit[best] >= 0 else 0)
+            keys = keys << 15 | batch.column(2).to_numpy()
+            if bounds is None:
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+            else:
+                part = np.searchsorted(bounds, keys, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), batch.column(0), batch.column(1)], ["key", "part", "doc_id", "ids"])
+
+    return run
+
+
+def _dealt(tokens: DataFrame, df: np.ndarray, idf: np.ndarray, n: int, total: int) -> DataFrame:
+    """(doc_id, ids) with related documents beside each other, in partitions of about a shard each."""
+    parts = int(np.ceil(max(n / SHARD_DOCS, total / SHARD_TOKENS)))
+    if parts <= 1:
+        return tokens.coalesce(1)
+    salted = tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 15)).alias("salt"))
+    # Groups of a quarter of a shard, of a few windows, and of near copies.
+    least = (max(4, n // (4 * parts)), max(3, n // (64 * parts)), 2)
+    rate = min(1.0, SAMPLED * parts / n)
+    picked = salted.where(F.pmod(F.xxhash64("ids", "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
+    keys = np.sort([r[0] for r in picked.mapInArrow(_keys(df, idf, least, None), "key long").collect()] or [0])
+    bounds = keys[np.arange(1, parts) * len(keys) // parts]
+    keyed = salted.mapInArrow(_keys(df, idf, least, bounds), "key long, part int, doc_id long, ids binary")
+    return keyed.repartitionById(parts, "part").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
+
+
 class Shard:
     """An inverted index of some documents with BM25 weights, and which of them are unused."""
 
@@ -224,4 +271,4 @@ def pack_documents(
             df[r["term"]] = r["df"]
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.mapInArrow(_pack(idf, max(1.0, total / max(1, n))), schema)
+    return _dealt(tokens, df, idf, n, total).mapInArrow(_pack(idf, max(1.0, total / max(1, n))), schema)

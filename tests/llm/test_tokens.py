@@ -207,3 +207,16 @@ def test_package_report(spark):
         truth.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", max(same) if revisit else None))
     assert sorted(map(repr, map(tuple, package_report(pages).collect()))) == sorted(map(repr, truth))
     assert package_report(pages.where("false")).count() == 0
+
+
+def test_packing_brings_related_documents_together(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    base = [" ".join(rng.choices(words, k=14)) for _ in range(4500)]
+    docs = [(i, t) for i, t in enumerate(base)] + [(4500 + i, t + " and more") for i, t in enumerate(base)]
+    where = {}
+    for r in pack_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        where.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert len(where) == 9000
+    # Shards have 4,096 documents, so no copy stands in the shard of its original.
+    assert sum(bool(where[i] & where[4500 + i]) for i in range(4500)) >= 0.8 * 4500
