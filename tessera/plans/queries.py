@@ -28,7 +28,7 @@ def _docs(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    """Each benchmark item is a question: its first five distinct tokens."""
+    """Each benchmark item is a question. The queries with SQL take its first five distinct tokens, as their SQL does."""
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
@@ -229,7 +229,7 @@ def retrieve_hybrid(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("parent"))
     chunks = docs.join(_vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id", "left")
     queries = _questions(spark, sf_dir).join(_item_vectors(spark, sf_dir), "query_id")
-    return retrieve(queries, chunks, build_index(docs), first_terms=5)
+    return retrieve(queries, chunks, build_index(docs))
 
 
 QUERIES = {

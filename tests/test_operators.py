@@ -186,3 +186,24 @@ def test_answer_loop(spark):
 
     (row,) = answer(spark.createDataFrame([(1, "first")], "query_id long, text string"), search_, prompt, Model()).collect()
     assert (row.answer, row.sources) == ("done", [5, 6])
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    """Writes documents (doc_id, text, vector), all of one source each, and questions with the ids of their vectors."""
+    from tessera.plans.queries import retrieve_hybrid
+
+    def found(docs, questions):
+        spark.createDataFrame([(i, t, f"s{i}") for i, t, _ in docs], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+        vectors = [(i, v, 1) for i, _, v in docs if v]
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+        spark.createDataFrame(questions, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        return {(r.query_id, r.doc_id): r["rank"] for r in retrieve_hybrid(spark, str(tmp_path)).collect()}
+
+    return found
+
+
+def test_retrieval_takes_whole_questions(small_tables):
+    # 20 nearer vectors fill the dense list, so the document can only come by the question's last word.
+    docs = [(i, f"filler{i}", [1.0, 0.01 * i]) for i in range(25)] + [(99, "needle", [-1.0, 0.0])]
+    assert (0, 99) in small_tables(docs, [(0, "a b c d e needle")])
