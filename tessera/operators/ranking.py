@@ -91,14 +91,17 @@ def mmr_order(query: np.ndarray, docs: np.ndarray, k: int, weight: float, fixed:
 def diversify(ranked: DataFrame, k: int = 5, weight: float = 0.5) -> DataFrame:
     """Maximal marginal relevance over each query's pool: ranked with embedding and query_embedding.
 
-    A query's pool is a bounded list, so it is one small group.
+    A query's pool is a bounded list, so it is one small group. Where the query or
+    one of its pool has no vector, or one of another length, the order stays.
     """
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values("rank")
-        picked = mmr_order(
-            np.asarray(pool["query_embedding"].iloc[0], dtype=float), np.stack([np.asarray(x, dtype=float) for x in pool["embedding"]]), k, weight
-        )
+        query, docs = pool["query_embedding"].iloc[0], list(pool["embedding"])
+        if query is None or any(x is None or len(x) != len(query) for x in docs):
+            picked = list(range(min(k, len(pool))))
+        else:
+            picked = mmr_order(np.asarray(query, dtype=float), np.stack([np.asarray(x, dtype=float) for x in docs]), k, weight)
         return pd.DataFrame({"query_id": pool["query_id"].iloc[0], "doc_id": pool["doc_id"].to_numpy()[picked], "rank": range(1, len(picked) + 1)})
 
     return ranked.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, rank int")

@@ -225,10 +225,10 @@ def keyword_normalize(spark, sf_dir):
 
 
 def retrieve_hybrid(spark, sf_dir):
-    """The whole chain for each benchmark item that has a vector: both lists, rerank, cap, pool, diversity."""
+    """The whole chain for each benchmark item, with its vector if it has one: both lists, rerank, cap, pool, diversity."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("parent"))
     chunks = docs.join(_vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id", "left")
-    queries = _questions(spark, sf_dir).join(_item_vectors(spark, sf_dir), "query_id")
+    queries = _questions(spark, sf_dir).join(_item_vectors(spark, sf_dir), "query_id", "left")
     return retrieve(queries, chunks, build_index(docs))
 
 

@@ -17,7 +17,8 @@ def retrieve(
 ) -> DataFrame:
     """(query_id, doc_id, rank) of queries(query_id, text, embedding) over chunks(doc_id, text, embedding, parent).
 
-    Questions whose merged list is empty take the best dense hits as they are.
+    Chunks and questions without a vector take part by their words; where one is in
+    a question's pool, its chunks stay in reranked order.
     """
     vectors = chunks.where("embedding is not null")
     dense = nearest(vectors, queries, config.dense_k)
@@ -30,8 +31,7 @@ def retrieve(
     if use_rerank:
         full = rerank(full, scorer(F.col("query_text"), F.col("text")))
     capped = cap_parents(full, F.col("parent"), config.parent_cap)
-    best = capped.where(F.col("embedding").isNotNull() & F.col("query_embedding").isNotNull())
-    order = rerank(best, F.lit(0.0), config.rerank_pool)
+    order = rerank(capped, F.lit(0.0), config.rerank_pool)
     return diversify(order, config.top_k, config.mmr_lambda)
 
 

@@ -207,3 +207,11 @@ def test_retrieval_takes_whole_questions(small_tables):
     # 20 nearer vectors fill the dense list, so the document can only come by the question's last word.
     docs = [(i, f"filler{i}", [1.0, 0.01 * i]) for i in range(25)] + [(99, "needle", [-1.0, 0.0])]
     assert (0, 99) in small_tables(docs, [(0, "a b c d e needle")])
+
+
+def test_retrieval_keeps_what_has_no_vector(small_tables):
+    docs = [(0, "filler", [1.0, 0.0]), (1, "filler", [0.9, 0.1]), (2, "filler", [0.0, 1.0]), (3, "needle", None), (4, "filler", [0.5, 0.5])]
+    found = small_tables(docs, [(0, "needle"), (50, "needle")])
+    # The sparse hit without a vector is reranked first, for a question without a vector too.
+    assert found[0, 3] == 1 and found[50, 3] == 1
+    assert len([q for q, _ in found if q == 0]) == 5
