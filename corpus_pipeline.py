@@ -36,8 +36,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each group of near copies, by shingles of five words: that with the smallest id."""
+    kept = near_groups(docs, size=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 

@@ -57,3 +57,13 @@ def test_run_on_empty_and_whole_tables(spark, edge_docs, no_docs, tmp_path):
 
 def test_shared_folders_are_new(spark):
     assert shared_dir(spark) != shared_dir(spark)
+
+
+def test_near_copies_by_five_words(spark):
+    def pair(i, n):
+        words = [f"w{i}x{k}" for k in range(n)]
+        return [(i, " ".join(words)), (i + 1, " ".join([*words[: n // 2], "other", *words[n // 2 + 1 :]]))]
+
+    # One word of 40 changed: 33 of 41 shingles of four words agree, but 31 of 41 of five.
+    docs = spark.createDataFrame(pair(10, 40) + pair(20, 60), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == [10, 11, 20]
