@@ -10,21 +10,19 @@ by pair in the order of the merge list.
 from __future__ import annotations
 
 import hashlib
-import json
 import mmap
 import re
 import tempfile
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, written
+from tessera.llm.merges import MergeList, pieces
 from tessera.llm.token_codec import open_folder
 from tessera.llm.tokens import plain_words, texts_of, tokenizer_path
 
@@ -42,63 +40,6 @@ MAGIC = b"TLEX0001"
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _ODD = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile(f"[{_WHITE}]+")
-# The pre-tokenizer's pattern for a word without white space; a fixed value.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
-
-
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, others from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, extra = [], 256
-    for b in range(256):
-        out.append(chr(b if b in plain else extra))
-        extra += b not in plain
-    return out
-
-
-class MergeList:
-    """The vocabulary and merges of a file with word ends."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
-        model = data["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        # By ids: the rank of a pair, and what the pair of a rank becomes.
-        self.ranks: dict[tuple[int, int], int] = {}
-        self.becomes: list[int] = []
-        for rank, (a, b) in enumerate(pairs):
-            self.ranks[self.vocab[a], self.vocab[b]] = rank
-            self.becomes.append(self.vocab[a + b])
-        letters = _byte_letters()
-        self.inner = [self.vocab.get(x) for x in letters]
-        self.last = [self.vocab.get(x + self.end) for x in letters]
-
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of a pre-token: the pair that comes first in the list is merged, then again, leftmost first."""
-        ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        # Without an unknown token, letters outside the vocabulary are left out.
-        ids = [x for x in ids if x is not None]
-        never = len(self.becomes)
-        get = self.ranks.get
-        ranks = [get(p, never) for p in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == never:
-                break
-            at = ranks.index(best)
-            ids[at : at + 2] = [self.becomes[best]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = get((ids[at - 1], ids[at]), never)
-            if at < len(ranks):
-                ranks[at] = get((ids[at], ids[at + 1]), never)
-        return ids
-
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The transducer file of words and their ids.
@@ -216,13 +157,6 @@ class Transducer:
         return [self.ids[self.at[k] : self.at[k + 1]].tolist() if f else None for f, k in zip(found.tolist(), total.tolist())]
 
 
-def _normal(word: str) -> str:
-    """The vocabulary's normal form of a word: composed, then each character lower-cased by itself."""
-    if word.isascii():
-        return word.lower()
-    return "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-
-
 def _cut(text: str) -> list[str]:
     """Words whose ids in a row are the text's."""
     return [x for x in _SPLIT.split(text) if x] if _ODD.search(text) else plain_words(text)
@@ -238,13 +172,12 @@ class LexiconTokenizer:
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def _learn(self, words: list[str]) -> dict[str, list[int]]:
-        pieces = {w: [p.encode() for p in _PIECE.findall(_normal(w))] for w in words}
-        every = list({p for x in pieces.values() for p in x})
+        cut = {w: [p.encode() for p in pieces(w)] for w in words}
+        every = list({p for x in cut.values() for p in x})
         ids = dict(zip(every, self.transducer.look_up(every) if self.transducer else [None] * len(every)))
-        for p, found in ids.items():
-            if found is None:
-                ids[p] = self.merges.merge(p)
-        return {w: [i for p in x for i in ids[p]] for w, x in pieces.items()}
+        unseen = [p for p, found in ids.items() if found is None]
+        ids.update(zip(unseen, self.merges.merge_all(unseen)))
+        return {w: [i for p in x for i in ids[p]] for w, x in cut.items()}
 
     def decode(self, ids: list[int]) -> str:
         """What the library makes of ids where the file names no decoder: the tokens, with a space between them."""
@@ -316,33 +249,26 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for p in _PIECE.findall(_normal(word)):
+            for p in pieces(word):
                 counts[p] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON, text: str = "text") -> list[str]:
-    """The corpus's most frequent pre-tokens, counted over all texts: up to ``size``, and of one count all or none.
+    """The corpus's ``size`` most frequent pre-tokens, counted over all texts; of equal counts the first in order of bytes.
 
-    The driver gets how many pre-tokens have each count (few different counts
-    occur), and then the ``size`` pre-tokens at the most.
+    The driver gets these words and nothing else.
     """
     counted = docs.select(docs[text].alias("text")).mapInArrow(_count, "word string, n long")
     words = counted.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_pieces, "word string, n long")
-    words = written(words.groupBy("word").agg(F.sum("n").alias("n")))
-    taken, least = 0, None
-    for n, times in sorted((tuple(r) for r in words.groupBy("n").count().collect()), reverse=True):
-        taken += times
-        if taken > size:
-            break
-        least = n
-    return [] if least is None else sorted(r["word"] for r in words.where(F.col("n") >= least).select("word").collect())
+    words = words.groupBy("word").agg(F.sum("n").alias("n"))
+    return sorted(r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON) -> tuple[str, str]:
     """Compiles the lexicon of ``docs`` into a file of the shared folder; the folder and the file's name."""
-    merges = MergeList(tokenizer_path(vocabulary))
-    raw = compile_lexicon({w.encode(): merges.merge(w.encode()) for w in frequent_words(docs, size)})
+    words = [w.encode() for w in frequent_words(docs, size)]
+    raw = compile_lexicon(dict(zip(words, MergeList(tokenizer_path(vocabulary)).merge_all(words))))
     folder = shared_dir(docs.sparkSession)
     system, path = open_folder(folder)
     system.create_dir(path, recursive=True)
@@ -360,12 +286,16 @@ def lexicon_tokenizer(vocabulary: str, folder: str, name: str) -> LexiconTokeniz
     if key not in _LOADED:
         system, path = open_folder(folder)
         place = f"{path}/{name}"
-        if system.type_name != "local":
-            with system.open_input_file(place) as f, tempfile.NamedTemporaryFile(delete=False) as copy:
-                copy.write(f.read())
-                place = copy.name
         _LOADED.clear()
-        _LOADED[key] = LexiconTokenizer(tokenizer_path(vocabulary), place)
+        if system.type_name == "local":
+            _LOADED[key] = LexiconTokenizer(tokenizer_path(vocabulary), place)
+        else:
+            # The copy goes when it is mapped; the map holds on to its bytes.
+            with tempfile.NamedTemporaryFile() as copy:
+                with system.open_input_file(place) as f:
+                    copy.write(f.read())
+                copy.flush()
+                _LOADED[key] = LexiconTokenizer(tokenizer_path(vocabulary), copy.name)
     return _LOADED[key]
 
 

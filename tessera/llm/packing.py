@@ -4,10 +4,12 @@ Token ids are written once. Document frequencies are counted over all documents.
 Documents are then ordered by a lexical key, whose terms lead from a wide group of
 documents to a narrow one, and dealt in that order, so that related ones are in one
 shard wherever they stood; a group too large for a shard is split by a hash of the
-id. An inverted index with BM25 weights is built for each shard of documents, and a window is filled from its seed: the unused documents of the shard that
-score best for the seed's rarest terms follow it, best first. The document that
-runs over the window's end goes on in the next window and is its seed, so only
-the last window of a partition is short; that one is cut into powers of two.
+id. An inverted index with BM25 weights is built for each shard of documents, and a
+window is filled from its seed: the unused documents of the shard that score for the
+seed's rarest terms follow it, best first, until the window is full or none is left.
+The document that runs over the window's end goes on in the next window and is its
+seed, so only the last window of a partition is short; that one is cut into powers
+of two.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
-from tessera.llm.tokens import part_tokenizer, texts_of, tokenizer_path
+from tessera.llm.tokens import id_type, rank_tokenizer, texts_of, tokenizer_path, vocabulary_size
 
 #: Tokens of a window.
 WINDOW = 2048
@@ -30,8 +32,8 @@ WINDOW = 2048
 END = 1
 #: A shard is closed at so many documents or tokens; its index is in memory.
 SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
-#: Terms of a query, the seed's rarest; neighbours that a query returns.
-QUERY_TERMS, NEIGHBOURS = 16, 24
+#: Terms of a query: the seed's weightiest (rarest) ones.
+QUERY_TERMS = 16
 K1, B = 1.5, 0.75
 #: Documents of a partition whose keys are sampled to set its bounds.
 SAMPLED = 64
@@ -39,8 +41,8 @@ SAMPLED = 64
 
 def _tokenise(vocabulary: str, ranks: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = part_tokenizer(tokenizer_path(vocabulary), keeps_space=True, ranks=ranks and tokenizer_path(ranks))
-        end = np.array([END], dtype="<u2").tobytes()
+        tokenizer = rank_tokenizer(tokenizer_path(vocabulary), ranks and tokenizer_path(ranks))
+        end = np.array([END], dtype=tokenizer.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -50,38 +52,42 @@ def _tokenise(vocabulary: str, ranks: str | None):
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(size: int):
     """(term, df, docs, tokens): documents of the partition that have each term; term -1 holds the totals."""
-    df, docs, tokens = np.zeros(1 << 16, dtype=np.int64), 0, 0
-    for batch in batches:
-        for x in batch.column(0):
-            own = np.frombuffer(x.as_py(), dtype="<u2")
-            df[np.unique(own)] += 1
-            docs, tokens = docs + 1, tokens + len(own)
-    has = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(has, -1)), pa.array(np.append(df[has], docs)), pa.array(np.append(has * 0, tokens))],
-        ["term", "df", "tokens"],
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, tokens = np.zeros(size, dtype=np.int64), 0, 0
+        for batch in batches:
+            for x in batch.column(0):
+                own = np.frombuffer(x.as_py(), dtype=id_type(size))
+                df[np.unique(own)] += 1
+                docs, tokens = docs + 1, tokens + len(own)
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(has, -1)), pa.array(np.append(df[has], docs)), pa.array(np.append(has * 0, tokens))],
+            ["term", "df", "tokens"],
+        )
+
+    return run
 
 
 def _keys(df: np.ndarray, idf: np.ndarray, least: tuple[int, ...], bounds: np.ndarray | None):
     """(key, part, doc_id, ids) of (doc_id, ids, salt); without ``bounds`` the key alone.
 
-    For each of ``least`` in turn, the key holds 16 bits for the term of greatest
-    weight among those that so many documents have; the last 15 are the salt.
+    For each of ``least`` in turn, the key holds the last 16 bits of the term of
+    greatest weight among those that so many documents have; the last 15 are the salt.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.zeros(batch.num_rows, dtype=np.int64)
             for i, raw in enumerate(batch.column(1)):
-                t, tf = np.unique(np.frombuffer(raw.as_py(), dtype="<u2"), return_counts=True)
+                t, tf = np.unique(np.frombuffer(raw.as_py(), dtype=id_type(len(df))), return_counts=True)
                 weight = idf[t] * tf / (tf + K1)
                 for n in least:
                     fit = np.where(df[t] >= n, weight, -1.0)
                     best = int(fit.argmax())
-                    keys[i] = keys[i] << 16 | (int(t[best]) if fit[best] >= 0 else 0)
+                    keys[i] = keys[i] << 16 | (int(t[best]) & 0xFFFF if fit[best] >= 0 else 0)
             keys = keys << 15 | batch.column(2).to_numpy()
             if bounds is None:
                 yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
@@ -113,35 +119,45 @@ class Shard:
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.idf, self.unused, n = idf, np.ones(len(ids), dtype=bool), len(ids)
-        terms, counts, owner = [], [], []
-        for i, own in enumerate(ids):
-            t, c = np.unique(own, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owner.append(np.full(len(t), i))
-        self.query = []
-        for t, c in zip(terms, counts):
-            rare = np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]
-            self.query.append(t[rare])
-        every, tf, owner = np.concatenate(terms), np.concatenate(counts).astype(float), np.concatenate(owner)
-        length = np.array([len(x) for x in ids])[owner]
-        weight = idf[every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+        terms, counts = zip(*[np.unique(own, return_counts=True) for own in ids])
+        every, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
+        sizes = np.array([len(t) for t in terms])
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        length = np.array([len(x) for x in ids], dtype=np.float32)[owner]
+        weight = idf.astype(np.float32)[every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
         order = np.argsort(every, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.first = np.searchsorted(every[order], np.arange((1 << 16) + 1))
-        self.scores = np.zeros(n)
-
-    def neighbours(self, seed: int) -> list[int]:
-        """The unused documents that score best for the seed's rarest terms, best first, ties by place."""
-        scores = self.scores
-        scores[:] = 0.0
-        for t in self.query[seed]:
-            a, b = self.first[t], self.first[t + 1]
-            scores[self.owner[a:b]] += self.weight[a:b]
+        # Of each document's terms, where their postings begin and end.
+        known, first = np.unique(every[order], return_index=True)
+        ends = np.append(first[1:], len(every))
+        place = np.searchsorted(known, every)
+        # A document's own terms, the rarest first, and the first so many of them.
+        by_rarity = np.lexsort((-idf[every], owner))
+        rank = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        asked = by_rarity[rank < QUERY_TERMS]
+        cuts = np.cumsum(np.minimum(sizes, QUERY_TERMS))[:-1]
+        self.begin, self.end = np.split(first[place[asked]], cuts), np.split(ends[place[asked]], cuts)
+        self.n = n
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """The unused documents that score for the seed's terms, best first, ties by place."""
+        begin, sizes = self.begin[seed], self.end[seed] - self.begin[seed]
+        at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        scores = np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
         hit = np.flatnonzero((scores > 0) & self.unused)
-        if len(hit) > 4 * NEIGHBOURS:
-            hit = hit[np.argpartition(-scores[hit], NEIGHBOURS)[: NEIGHBOURS + 1]]
-        return hit[np.lexsort((hit, -scores[hit]))][:NEIGHBOURS].tolist()
+        scores = scores[hit]
+        # The best few are most often enough; the rest is put in order when they aren't.
+        some = min(len(hit), 32)
+        while len(hit):
+            if some < len(hit):
+                bar = -np.partition(-scores, some - 1)[some - 1]
+                now = scores >= bar
+            else:
+                now = np.ones(len(hit), dtype=bool)
+            best = hit[now]
+            yield from best[np.lexsort((best, -scores[now]))].tolist()
+            hit, scores = hit[~now], scores[~now]
+            some *= 8
 
 
 def _order(shard: Shard, lengths: list[int], filled: int) -> Iterator[int]:
@@ -171,6 +187,7 @@ def _order(shard: Shard, lengths: list[int], filled: int) -> Iterator[int]:
 
 
 def _pack(idf: np.ndarray, mean_length: float):
+    dtype = id_type(len(idf))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +235,7 @@ def _pack(idf: np.ndarray, mean_length: float):
         tokens = 0
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(raw.as_py(), dtype="<u2")
+                own = np.frombuffer(raw.as_py(), dtype=dtype)
                 docs.append(doc)
                 ids.append(own)
                 tokens += len(own)
@@ -254,16 +271,21 @@ def pack_documents(
 
     Each document is its ids and the end id; a null or empty text is the end id
     alone. Every id is in one piece, pieces fill a sequence from offset 0
-    without gaps, and a sequence has WINDOW tokens or a power of two. Rows that
-    repeat are packed each; a null id stays null. Other columns are ignored; an
-    empty table gives an empty result.
+    without gaps, and a sequence has WINDOW tokens or a power of two. A long text
+    fills as many windows as it needs. Neighbours of equal score come in the
+    order of their shard. Rows that repeat are packed each; a null id stays null.
+    Other columns are ignored, whatever their names; an empty table gives an
+    empty result. Neighbours are sought among the SHARD_DOCS documents (or
+    SHARD_TOKENS tokens) that the lexical key puts together.
     """
     source = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"))
     tokens = written(source.mapInArrow(_tokenise(vocabulary, ranks), "doc_id long, ids binary"), {"compression": "zstd"})
-    counted = tokens.select("ids").mapInArrow(_frequencies, "term long, df long, tokens long")
+    # As many ids as the vocabulary has, those of added tokens included; END is one of them.
+    size = vocabulary_size(tokenizer_path(vocabulary))
+    counted = tokens.select("ids").mapInArrow(_frequencies(size), "term long, df long, tokens long")
     # As many rows as the vocabulary has ids, at most.
     rows = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).collect()
-    df, n, total = np.zeros(1 << 16), 0, 0
+    df, n, total = np.zeros(size), 0, 0
     for r in rows:
         if r["term"] < 0:
             n, total = r["df"], r["tokens"]

@@ -1,15 +1,19 @@
 """Token files coded by a context-mixing range coder, in blocks that stand alone.
 
-A block starts from nothing but the file's id frequencies (order 0). While it is
-coded it keeps, for the last id and for the last two, the id that came next the
-last time; whether the order-2 prediction holds, or the order-1 where there is no
-other, is a binary decision, whose probability mixes two adaptive counters with
-adaptive weights; where it fails, the order-0 frequencies code the id. All blocks of a file are
+A block starts from nothing. Its ids are numbered by their first appearance, and
+three adaptive distributions are kept over these numbers: order 0, how often each
+has come; order 1, the two numbers that came most after the last id; order 2, the
+number that came after the last two. The candidates of orders 2 and 1 are tried
+in turn: whether the next id is the candidate is a binary decision whose
+probability mixes what the three orders say of that candidate with weights that
+are learned as the block goes on. An id that is no candidate is coded by the
+order-0 counts (the candidates taken out), or as new with its bits. Blocks are
 coded in step, so that each model operation works on an array of blocks.
 
-File: magic, u32 length of a JSON header, header (counts, block size, lengths of
-the parts), frequencies, document table, block table, blocks, CRC-32 of all but
-the blocks. Each block has a CRC-32 of its ids.
+A file is a row of segments of a bounded number of ids, each with its own tables,
+so writer and reader hold one segment. Segment: magic, u32 length of a JSON head,
+head, document table, block table, CRC-32 of all so far, blocks. Each block has a
+CRC-32 of its ids; with its table entry it decodes alone.
 """
 
 from __future__ import annotations
@@ -25,67 +29,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, written
-from tessera.llm.tokens import part_tokenizer, texts_of, tokenizer_path
+from tessera.llm.tokens import texts_of, tokenizer_path, word_tokenizer
 
-MAGIC = b"TCMX0001"
+MAGIC = b"TCMX0002"
 #: The id that ends each document.
 END = 1
-#: Ids of a block; a small file has smaller blocks, so that there are enough to work on together.
-BLOCK, LEAST_BLOCK, WANTED_BLOCKS = 4096, 256, 512
-#: Blocks that are worked on together, at the most: the models' memory is 16 KB each.
-LANES = 2048
-#: Hashed places of a block's order-1 and order-2 predictions.
-PLACES = 2048
-_NONE = 0xFFFF
-# Order-0 frequencies add up to 2**FREQ_BITS; a decision's probability has 12 bits.
-FREQ_BITS, P_BITS = 20, 12
+#: Ids of a block.
+BLOCK = 4096
+#: Blocks of a segment, which are worked on together; a block's model takes some 180 KB.
+LANES = 1024
+#: Places of a block's order-2 table, hashed; a power of two.
+PLACES = 2 * BLOCK
+#: The order-0 table is renewed from the counts every so many ids (and at the powers of two before); its sizes add up to TOTAL.
+RENEWED, TOTAL_BITS = 256, 14
+TOTAL = 1 << TOTAL_BITS
 _FULL = np.uint64(1 << 48)
 _LOW, _MASK = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_0, _12, _16, _20, _32, _4096, _TOP = (np.uint64(x) for x in (0, P_BITS, 16, FREQ_BITS, 32, 1 << P_BITS, (1 << FREQ_BITS) - 1))
+_1, _12, _16, _32, _4096, _BITS, _ALL = (np.uint64(x) for x in (1, 12, 16, 32, 4096, TOTAL_BITS, TOTAL))
 
 # Logistic tables in integers, so that coder and decoder agree on any machine.
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + 2.718281828459045 ** (-x / 256))))) for x in range(-2048, 2048)], dtype=np.int32)
-_STRETCH = np.searchsorted(_SQUASH, np.arange(4096)).clip(0, 4095).astype(np.int32) - 2048
+_MIDDLE = np.int32(2048 << 8)
+_ONCE, _SURER = 1 << 14, np.append(np.full(15, 1 << 14), 0)
+# Powers of two in an order-0 size.
+_LOG = np.floor(np.log2(np.arange((1 << 14) + 1) + 1)).astype(np.int64)
+# Runs of hits 0 to 32 in eight classes, and the run after a miss and after a hit; order 2's sureness in four.
+_RUN8 = np.minimum(7, np.ceil(np.log2(np.arange(33) + 1)).astype(np.int64)) << 3
+_NEXT_RUN = np.concatenate([np.arange(33) >> 2, np.minimum(np.arange(33) + 1, 32)])
+_CONF = np.minimum(np.arange(16), 3) << 1
 
 
 class _Coder:
     """Range coder of many lanes: emits 16-bit words with carries, which are settled at the end."""
 
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _FULL)
+        self.low, self.range, self.every = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _FULL), np.arange(lanes)
         self.words: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
 
-    def _narrow(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, bits: np.uint64, steps: int) -> None:
-        """Takes ``size`` parts from ``start`` of the range of each of ``lanes``; emits what is settled."""
-        r = self.range[lanes] >> bits
-        low, wide = self.low[lanes] + r * start, r * size
-        for _ in range(steps):
-            short = (wide < _LOW).nonzero()[0]
-            if not len(short):
-                break
-            own = low[short]
+    def take(self, lanes: np.ndarray | None, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrows each of ``lanes`` (None: all) to ``size`` of its parts of width r from ``start``; emits what is settled."""
+        low, wide = (self.low if lanes is None else self.low.take(lanes)) + r * start, r * size
+        while len(short := (wide < _LOW).nonzero()[0]):
+            own = low.take(short)
             self.words.append((own >> _32).astype(np.uint32))
-            self.owners.append(lanes[short])
+            self.owners.append(short if lanes is None else lanes.take(short))
             low[short] = (own & _MASK) << _16
             wide[short] <<= _16
-        self.low[lanes], self.range[lanes] = low, wide
+        if lanes is None:
+            self.low, self.range = low, wide
+        else:
+            self.low[lanes], self.range[lanes] = low, wide
 
-    def bit(self, lanes: np.ndarray, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    def bit(self, lanes: np.ndarray | None, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Codes ``bit`` with probability p of 4096 that it is set."""
-        p = p.astype(np.uint64)
-        self._narrow(lanes, np.where(bit, _0, p), np.where(bit, p, _4096 - p), _12, 1)
+        p, one = p.astype(np.uint64), bit.astype(np.uint64)
+        r = (self.range if lanes is None else self.range.take(lanes)) >> _12
+        start = p - p * one
+        self.take(lanes, r, start, start + one * p + (_1 - one) * (_4096 - p - p))
         return bit
 
-    def symbol(self, lanes: np.ndarray, prior: _Prior, ids: np.ndarray) -> np.ndarray:
-        self._narrow(lanes, prior.start[ids].astype(np.uint64), prior.size[ids].astype(np.uint64), _20, 2)
-        return ids
-
     def finish(self) -> list[bytes]:
         lanes = len(self.low)
         for _ in range(3):
             self.words.append((self.low >> _32).astype(np.uint32))
-            self.owners.append(np.arange(lanes))
+            self.owners.append(self.every)
             self.low = (self.low & _MASK) << _16
         owners = np.concatenate(self.owners)
         words = np.concatenate(self.words)[np.argsort(owners, kind="stable")]
@@ -100,7 +108,7 @@ class _Coder:
 class _Decoder:
     def __init__(self, blocks: list[bytes]):
         sizes = np.array([len(b) // 2 for b in blocks])
-        self.words = np.frombuffer(b"".join(blocks) + bytes(16), dtype="<u2")
+        self.words = np.frombuffer(b"".join(blocks) + bytes(16), dtype="<u2").astype(np.uint64)
         self.at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.range = np.full(len(blocks), _FULL)
         self.code = np.zeros(len(blocks), dtype=np.uint64)
@@ -108,184 +116,356 @@ class _Decoder:
             self.code = (self.code << _16) | self.words[self.at]
             self.at += 1
 
-    def _narrow(self, lanes: np.ndarray, code: np.ndarray, wide: np.ndarray, steps: int) -> None:
-        for _ in range(steps):
-            short = (wide < _LOW).nonzero()[0]
-            if not len(short):
-                break
-            own = lanes[short]
-            at = self.at[own]
-            code[short] = (code[short] << _16) | self.words[at]
+    def target(self, lanes: np.ndarray, r: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.minimum(self.code.take(lanes) // r, total - _1).astype(np.int64)
+
+    def take(self, lanes: np.ndarray | None, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        code, wide = (self.code if lanes is None else self.code.take(lanes)) - r * start, r * size
+        while len(short := (wide < _LOW).nonzero()[0]):
+            own = short if lanes is None else lanes.take(short)
+            at = self.at.take(own)
+            code[short] = (code.take(short) << _16) | self.words.take(at)
             self.at[own] = at + 1
             wide[short] <<= _16
-        self.code[lanes], self.range[lanes] = code, wide
+        if lanes is None:
+            self.code, self.range = code, wide
+        else:
+            self.code[lanes], self.range[lanes] = code, wide
 
-    def bit(self, lanes: np.ndarray, p: np.ndarray, _) -> np.ndarray:
+    def bit(self, lanes: np.ndarray | None, p: np.ndarray, _) -> np.ndarray:
         p = p.astype(np.uint64)
-        r, code = self.range[lanes] >> _12, self.code[lanes]
-        bound = r * p
-        bit = code < bound
-        self._narrow(lanes, np.where(bit, code, code - bound), np.where(bit, bound, r * (_4096 - p)), 1)
+        r = (self.range if lanes is None else self.range.take(lanes)) >> _12
+        bit = (self.code if lanes is None else self.code.take(lanes)) < r * p
+        one = bit.astype(np.uint64)
+        start = p - p * one
+        self.take(lanes, r, start, start + one * p + (_1 - one) * (_4096 - p - p))
         return bit
 
-    def symbol(self, lanes: np.ndarray, prior: _Prior, _) -> np.ndarray:
-        r, code = self.range[lanes] >> _20, self.code[lanes]
-        ids = prior.at[np.minimum(code // r, _TOP).astype(np.int64)]
-        self._narrow(lanes, code - r * prior.start[ids], r * prior.size[ids], 2)
-        return ids
-
-
-class _Prior:
-    """Order-0 frequencies of a file, scaled to 2**FREQ_BITS; each id that occurs has one at least."""
-
-    def __init__(self, ids: np.ndarray, counts: np.ndarray):
-        total = 1 << FREQ_BITS
-        scaled = np.maximum(1, counts.astype(np.float64) * ((total - len(ids)) / max(1, counts.sum()))).astype(np.int64)
-        scaled[np.argmax(scaled)] += total - scaled.sum()
-        self.size = np.zeros(1 << 16, dtype=np.uint32)
-        self.size[ids] = scaled
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.uint32)
-        self.at = np.repeat(np.arange(1 << 16), self.size).astype(np.uint16)
-
-
-class _Flag:
-    """The probability that a prediction holds: a counter by its record and one by the last outcomes, mixed."""
-
-    def __init__(self, lanes: int, contexts: int):
-        self.by_record = np.full(lanes * contexts, 20000, dtype=np.int32)
-        self.by_history = np.full(lanes * 16, 20000, dtype=np.int32)
-        self.contexts = contexts
-        self.history = np.zeros(lanes, dtype=np.int64)
-        self.w1, self.w2 = np.full(lanes, 36000, dtype=np.int32), np.full(lanes, 36000, dtype=np.int32)
-        self.steps = 0
-
-    def code(self, coder, lanes: np.ndarray, record: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Whether the predictions of ``lanes`` hold; ``hit`` is what the coder is to code."""
-        history = self.history[lanes]
-        i, j = lanes * self.contexts + record, lanes * 16 + history
-        a, b, w1, w2 = self.by_record[i], self.by_history[j], self.w1[lanes], self.w2[lanes]
-        sa, sb = _STRETCH[a >> 4], _STRETCH[b >> 4]
-        p = _SQUASH[np.maximum(np.minimum((w1 * sa + w2 * sb) >> 16, 2047), -2048) + 2048]
+
+def _symbol(coder, lanes: np.ndarray, cumulative: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
+    """Codes, or decodes where None, one of the columns of ``cumulative`` counts (a row for each of lanes)."""
+    total = cumulative[:, -1].astype(np.uint64)
+    r = coder.range[lanes] // total
+    if symbol is None:
+        symbol = (cumulative <= coder.target(lanes, r, total)[:, None]).sum(axis=1)
+    rows = np.arange(len(lanes))
+    end = cumulative[rows, symbol]
+    start = np.where(symbol > 0, cumulative[rows, symbol - 1], 0)
+    coder.take(lanes, r, start.astype(np.uint64), (end - start).astype(np.uint64))
+    return symbol
+
+
+def _plain(coder, lanes: np.ndarray, total: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+    """Codes, or decodes where None, values below ``total`` (up to 65536), all alike likely."""
+    total = total.astype(np.uint64)
+    r = coder.range[lanes] // total
+    if value is None:
+        value = coder.target(lanes, r, total)
+    coder.take(lanes, r, value.astype(np.uint64), np.ones(len(lanes), dtype=np.uint64))
+    return value
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of counts (lanes, symbols): sizes that add up to TOTAL in each lane, their starts, and the symbol at each place."""
+    has = counts > 0
+    spare = TOTAL - has.sum(axis=1, keepdims=True)
+    size = (counts * spare) // np.maximum(1, counts.sum(axis=1, keepdims=True)) + has
+    size[:, 0] += TOTAL - size.sum(axis=1)
+    start = np.cumsum(size, axis=1) - size
+    at = np.repeat(np.tile(np.arange(counts.shape[1], dtype=np.int16), len(counts)), size.ravel())
+    return size, start, at
+
+
+def _logits(p: np.ndarray) -> np.ndarray:
+    return (np.log(p / (1 - p)) * 65536).astype(np.int32)
+
+
+class _Decisions:
+    """Whether a candidate comes next: what the three orders say of it is added up as learned log-odds."""
+
+    def __init__(self, lanes: int):
+        state = np.arange(64)
+        run, conf, agree = state >> 3, state >> 1 & 3, state & 1
+        by2 = _logits(np.clip(0.06 + 0.1 * run + 0.06 * conf + 0.1 * agree, 0.03, 0.93))
+        self.by2 = np.tile(by2, lanes * 2)
+        self.by1 = np.zeros(lanes * 2 * 16, dtype=np.int32)
+        self.by0 = np.zeros(lanes * 2 * 16, dtype=np.int32)
+        self.row = np.arange(lanes) * 32
+
+    def code(self, coder, lanes: np.ndarray | None, s2: np.ndarray, s1: np.ndarray, s0: np.ndarray, hit) -> np.ndarray:
+        """Codes for ``lanes`` (None: all) whether the candidate comes; the log-odds move towards what came."""
+        row = self.row if lanes is None else self.row.take(lanes)
+        j2, j1, j0 = (row << 2) + s2, row + s1, row + s0
+        w2, w1, w0 = self.by2.take(j2), self.by1.take(j1), self.by0.take(j0)
+        p = _SQUASH.take(w2 + w1 + w0 + _MIDDLE >> 8, mode="clip")
         hit = coder.bit(lanes, p, hit)
-        ones = hit.astype(np.int32)
-        error = (ones << 12) - p
-        self.w1[lanes] = w1 + ((sa * error) >> 12)
-        self.w2[lanes] = w2 + ((sb * error) >> 12)
-        self.steps += 1
-        if self.steps % 64 == 0:
-            # A step adds 2047 at most, so the products stay within 32 bits until here.
-            np.clip(self.w1, -200000, 200000, out=self.w1)
-            np.clip(self.w2, -200000, 200000, out=self.w2)
-        ones *= 65535
-        self.by_record[i] = a + ((ones - a) >> 4)
-        self.by_history[j] = b + ((ones - b) >> 5)
-        self.history[lanes] = (history * 2 + hit) & 15
+        error = (hit.astype(np.int32) << 12) - p
+        # Each log-odds stays within 2**20 or one step more, so the sum is within the table or clipped to its ends.
+        self.by2[j2] = w2 + error - (w2 >> 10)
+        error >>= 1
+        self.by1[j1] = w1 + error - (w1 >> 10)
+        self.by0[j0] = w0 + error - (w0 >> 10)
         return hit
 
 
-def _run(coder, prior: _Prior, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
-    """Codes ``ids`` (steps, lanes), or decodes them where None: the model is the same."""
-    out = np.zeros((steps, lanes), dtype=np.uint16) if ids is None else ids
-    row = np.arange(lanes) * PLACES
-    # A prediction, and above its 16 bits how often it has held in a row, up to 3.
-    guess1, guess2 = (np.full(lanes * PLACES, _NONE, dtype=np.int32) for _ in range(2))
-    flag = _Flag(lanes, 16)
+def _learned(entry: np.ndarray, guess: np.ndarray, sure: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """The entry of a context after ``came``: a guess that holds grows surer; one that fails is halved, then replaced."""
+    new = np.where(guess == came, entry + _SURER.take(sure), came + _ONCE)
+    doubted = ((guess != came) & (sure > 2)).nonzero()[0]
+    new[doubted] = guess[doubted] | sure[doubted] >> 1 << 14
+    return new
+
+
+def _numbers(ids: np.ndarray) -> np.ndarray:
+    """Of each column of ids (steps, lanes), the numbers by first appearance, from 1 on."""
+    out = np.empty(ids.shape, dtype=np.int64)
+    for k in range(ids.shape[1]):
+        _, first, which = np.unique(ids[:, k], return_index=True, return_inverse=True)
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[np.argsort(first)] = np.arange(1, len(first) + 1)
+        out[:, k] = rank[which]
+    return out
+
+
+class _Literals:
+    """Ids that are new to their block, and whether an id outside the order-0 table is new."""
+
+    def __init__(self, lanes: int):
+        self.recent = np.full(lanes, 2048, dtype=np.int32)
+        # An id's number of bits, by its counts; the bits after the first are plain.
+        self.classes = np.ones((lanes, 33), dtype=np.int64)
+
+    def is_recent(self, coder, lanes: np.ndarray, recent) -> np.ndarray:
+        p = self.recent[lanes]
+        recent = coder.bit(lanes, np.clip(p, 32, 4064), recent)
+        self.recent[lanes] = p + ((np.where(recent, 4096, 0) - p) >> 4)
+        return recent
+
+    def code(self, coder, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        size = None if ids is None else np.where(ids > 0, np.floor(np.log2(np.maximum(ids, 1))).astype(np.int64) + 1, 0)
+        size = _symbol(coder, lanes, np.cumsum(self.classes[lanes], axis=1), size)
+        self.classes[lanes, size] += 8
+        bits = np.maximum(size - 1, 0)
+        top = np.where(size > 0, np.int64(1) << bits, 0)
+        rest = None if ids is None else ids - top
+        upper = np.int64(0)
+        if (bits > 16).any():
+            upper = _plain(coder, lanes, np.int64(1) << np.maximum(bits - 16, 0), None if rest is None else rest >> 16)
+        return top + (upper << 16) + _plain(coder, lanes, np.int64(1) << np.minimum(bits, 16), None if rest is None else rest & 0xFFFF)
+
+
+def _run(coder, lanes: int, ids: np.ndarray | None) -> np.ndarray:
+    """Codes ``ids`` (BLOCK, lanes), or decodes them where None: the model is the same."""
+    numbers = None if ids is None else _numbers(ids)
+    out = np.zeros((BLOCK, lanes), dtype=np.int64)
+    every, width = np.arange(lanes), BLOCK + 1
+    row, row2 = every * width, every * PLACES
+    counts = np.zeros((lanes, width), dtype=np.int64)
+    counts[:, 0] = 1
+    flat = counts.reshape(-1)
+    size, start = np.zeros(lanes * width, dtype=np.int32), np.zeros(lanes * width, dtype=np.int32)
+    id_of, order1 = np.zeros(lanes * width, dtype=np.int64), np.zeros(lanes * width, dtype=np.int32)
+    order2 = np.zeros(lanes * PLACES, dtype=np.int32)
+    decisions, literals = _Decisions(lanes), _Literals(lanes)
+    seen, before_table = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    run = np.zeros(lanes, dtype=np.int64)
     last = before = np.zeros(lanes, dtype=np.int64)
-    for t in range(steps):
-        mixed = last * 40503
-        i1 = row + (mixed >> 4 & (PLACES - 1))
-        i2 = row + ((mixed + before * 60493) >> 3 & (PLACES - 1))
-        g1, g2 = guess1[i1], guess2[i2]
-        p1, p2 = g1 & _NONE, g2 & _NONE
-        now = np.full(lanes, -1, dtype=np.int32) if ids is None else out[t].astype(np.int32)
-        # The order-2 prediction where there is one, else the order-1; which, whether they agree, and the record are the context.
-        no2 = p2 == _NONE
-        guess = np.where(no2, p1, p2)
-        context = np.where(no2, g1 >> 16, (g2 >> 16) + 4 + 4 * (p1 == p2))
-        own = (guess != _NONE).nonzero()[0]
-        missed = np.ones(lanes, dtype=bool)
-        if len(own):
-            held = guess[own]
-            hit = flag.code(coder, own, context[own], now[own] == held)
-            got = own[hit]
-            now[got] = held[hit]
-            missed[got] = False
-        own = missed.nonzero()[0]
-        if len(own):
-            now[own] = coder.symbol(own, prior, now[own])
+    place = np.zeros(0, dtype=np.int16)
+    for t in range(BLOCK):
+        if t % RENEWED == 0 or (t < RENEWED and t & (t - 1) == 0):
+            # Order 0: the counts so far become the table; symbol 0 stands for ids outside it.
+            wide = int(seen.max(initial=0)) + 1
+            own_size, own_start, place = _spread(counts[:, :wide])
+            size.reshape(lanes, width)[:, :wide] = own_size
+            start.reshape(lanes, width)[:, :wide] = own_start
+            before_table = seen.copy()
+        i1 = row + last
+        i2 = row2 + ((last * 40503 + before * 60493) >> 3 & (PLACES - 1))
+        e1, e2 = order1.take(i1), order2.take(i2)
+        a, c, sure1, sure2 = e1 & 0x3FFF, e2 & 0x3FFF, e1 >> 14, e2 >> 14
+        # The candidate of order 2, or that of order 1 where there is none.
+        first = c + a * (c == 0)
+        agree = first == a
+        s2 = _RUN8.take(run) + _CONF.take(sure2) + agree
+        now = np.zeros(lanes, dtype=np.int64) if ids is None else numbers[t]
+        hit = decisions.code(coder, None, s2, np.minimum(sure1, 7) + 8 * agree, _LOG.take(size.take(row + first)), now == first)
         if ids is None:
-            out[t] = now
-        guess1[i1] = now + np.where(now == p1, np.minimum((g1 >> 16) + 1, 3) << 16, 0)
-        guess2[i2] = now + np.where(now == p2, np.minimum((g2 >> 16) + 1, 3) << 16, 0)
-        before, last = last, now.astype(np.int64)
+            now = first * hit
+        run = _NEXT_RUN.take(run + 33 * hit)
+        left = (~hit).nonzero()[0]
+        # Then that of order 1, if it is another.
+        own = left[(a.take(left) > 0) & ~agree.take(left)]
+        if len(own):
+            guess, way = a.take(own), sure1.take(own)
+            found = decisions.code(
+                coder, own, 64 + s2.take(own), 16 + np.minimum(way, 15), 16 + _LOG.take(size.take(row.take(own) + guess)), now.take(own) == guess
+            )
+            now[own[found]] = guess[found]
+            hit[own] = found
+            left = (~hit).nonzero()[0]
+        if len(left):
+            # Order 0; what is not in its table is a number given since then, or an id new to the block.
+            base = row.take(left)
+            if ids is not None:
+                x = now.take(left)
+                x = np.where(size.take(base + x) > 0, x, 0)
+            else:
+                x = None
+            r = coder.range.take(left) >> _BITS
+            if x is None:
+                x = place.take(left * TOTAL + coder.target(left, r, _ALL)).astype(np.int64)
+            coder.take(left, r, start.take(base + x).astype(np.uint64), size.take(base + x).astype(np.uint64))
+            if ids is None:
+                now[left] = x
+            outside = left[x == 0]
+            if len(outside):
+                flat[row.take(outside)] += 1
+                some = outside[seen.take(outside) > before_table.take(outside)]
+                fresh = outside
+                if len(some):
+                    recent = literals.is_recent(coder, some, now.take(some) <= seen.take(some) if ids is not None else None)
+                    old = some[recent]
+                    if len(old):
+                        low = before_table.take(old) + 1
+                        now[old] = low + _plain(coder, old, seen.take(old) - low + 1, None if ids is None else now.take(old) - low)
+                    is_fresh = np.zeros(lanes, dtype=bool)
+                    is_fresh[outside] = True
+                    is_fresh[old] = False
+                    fresh = is_fresh.nonzero()[0]
+                if len(fresh):
+                    value = literals.code(coder, fresh, None if ids is None else ids[t].take(fresh))
+                    seen[fresh] += 1
+                    now[fresh] = seen.take(fresh)
+                    id_of[row.take(fresh) + seen.take(fresh)] = value
+        at = row + now
+        out[t] = id_of.take(at)
+        flat[at] += 1
+        order1[i1] = _learned(e1, a, sure1, now)
+        order2[i2] = _learned(e2, c, sure2, now)
+        before, last = last, now
     return out
 
 
-def encode_ids(ids: np.ndarray, docs: list[tuple[int | None, int]]) -> bytes:
-    """A file of ``ids`` (16 bits); docs: each document's id and number of ids, in order."""
-    block = int(min(BLOCK, max(LEAST_BLOCK, len(ids) // WANTED_BLOCKS)))
-    n = -(-len(ids) // block)
-    padded = np.zeros(n * block, dtype=np.uint16)
+def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """The coded blocks of ``ids`` and the checksums of their ids; the last block is filled up with zeros."""
+    n = -(-len(ids) // BLOCK)
+    if not n:
+        return [], []
+    padded = np.zeros(n * BLOCK, dtype=np.int64)
     padded[: len(ids)] = ids
-    grid = padded.reshape(n, block)
-    kinds, counts = np.unique(padded, return_counts=True)
-    coded: list[bytes] = []
-    if n:
-        prior = _Prior(kinds, counts)
-        for a in range(0, n, LANES):
-            part = np.ascontiguousarray(grid[a : a + LANES].T)
-            coder = _Coder(part.shape[1])
-            _run(coder, prior, part.shape[1], block, part)
-            coded += coder.finish()
-    crcs = [zlib.crc32(grid[i].astype("<u2").tobytes()) for i in range(n)]
-    known = np.array([d is not None for d, _ in docs], dtype=bool)
-    numbers = np.array([d or 0 for d, _ in docs], dtype="<i8")
+    coder = _Coder(n)
+    _run(coder, n, np.ascontiguousarray(padded.reshape(n, BLOCK).T))
+    return coder.finish(), [zlib.crc32(ids[at : at + BLOCK].astype("<u4").tobytes()) for at in range(0, len(ids), BLOCK)]
+
+
+def decode_blocks(coded: list[bytes], lengths: list[int], crcs: list[int]) -> list[np.ndarray]:
+    """The ids of some blocks; raises where a checksum differs."""
+    if not coded:
+        return []
+    grid = _run(_Decoder(coded), len(coded), None).T
+    out = [ids[:n].astype("<u4") for ids, n in zip(grid, lengths)]
+    for ids, crc in zip(out, crcs):
+        if zlib.crc32(ids.tobytes()) != crc:
+            raise ValueError("a block's checksum differs")
+    return out
+
+
+def encode_segment(ids: np.ndarray, docs: list[tuple[int | None, int, bool]]) -> bytes:
+    """A segment of ``ids``; docs: each document's id, its number of ids here, and whether it goes on in the next."""
+    coded, crcs = encode_blocks(ids)
+    known = np.array([d is not None for d, _, _ in docs], dtype=bool)
+    numbers = np.array([d or 0 for d, _, _ in docs], dtype="<i8")
+    more = np.array([m for _, _, m in docs], dtype=bool)
+    with np.errstate(over="ignore"):
+        steps = np.diff(numbers, prepend=np.int64(0)).astype("<i8")
     parts = [
-        zlib.compress(np.concatenate([kinds, counts]).astype("<i8").tobytes()),
-        zlib.compress(np.diff(numbers, prepend=0).astype("<i8").tobytes() + np.array([k for _, k in docs], dtype="<i8").tobytes() + np.packbits(known).tobytes()),
+        zlib.compress(
+            steps.tobytes() + np.array([k for _, k, _ in docs], dtype="<i8").tobytes() + np.packbits(known).tobytes() + np.packbits(more).tobytes()
+        ),
         zlib.compress(np.array([[len(c), x] for c, x in zip(coded, crcs)], dtype="<u4").tobytes()),
     ]
-    header = json.dumps({"ids": len(ids), "docs": len(docs), "block": block, "kinds": len(kinds), "parts": [len(p) for p in parts]}).encode()
-    head = MAGIC + len(header).to_bytes(4, "little") + header + b"".join(parts)
+    head = json.dumps({"ids": len(ids), "docs": len(docs), "block": BLOCK, "parts": [len(p) for p in parts], "bytes": sum(map(len, coded))}).encode()
+    head = MAGIC + len(head).to_bytes(4, "little") + head + b"".join(parts)
     return head + zlib.crc32(head).to_bytes(4, "little") + b"".join(coded)
 
 
-def decode_ids(raw: bytes) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
-    """The ids and documents of a file; raises where a checksum differs."""
-    if raw[:8] != MAGIC:
-        raise ValueError("not a token file")
-    at = 12 + int.from_bytes(raw[8:12], "little")
-    header = json.loads(raw[12:at])
-    parts = []
-    for size in header["parts"]:
-        parts.append(raw[at : at + size])
-        at += size
-    if zlib.crc32(raw[:at]) != int.from_bytes(raw[at : at + 4], "little"):
-        raise ValueError("the head's checksum differs")
-    at += 4
-    table = np.frombuffer(zlib.decompress(parts[0]), dtype="<i8")
-    prior_of = (table[: header["kinds"]], table[header["kinds"] :])
-    listed = zlib.decompress(parts[1])
-    n = header["docs"]
-    numbers = np.cumsum(np.frombuffer(listed[: 8 * n], dtype="<i8")).tolist()
-    sizes = np.frombuffer(listed[8 * n : 16 * n], dtype="<i8").tolist()
-    known = np.unpackbits(np.frombuffer(listed[16 * n :], dtype=np.uint8), count=n).astype(bool).tolist()
-    blocks = np.frombuffer(zlib.decompress(parts[2]), dtype="<u4").reshape(-1, 2)
-    out = []
-    prior = _Prior(*prior_of) if len(blocks) else None
-    for a in range(0, len(blocks), LANES):
-        own = blocks[a : a + LANES]
-        coded = []
-        for size in own[:, 0].tolist():
-            coded.append(raw[at : at + size])
-            at += size
-        grid = _run(_Decoder(coded), prior, len(own), header["block"], None).T
-        for ids, crc in zip(grid, own[:, 1].tolist()):
-            if zlib.crc32(ids.astype("<u2").tobytes()) != crc:
-                raise ValueError("a block's checksum differs")
-        out.append(grid.reshape(-1))
-    ids = np.concatenate(out)[: header["ids"]] if out else np.zeros(0, dtype=np.uint16)
-    return ids, [(d if k else None, s) for d, k, s in zip(numbers, known, sizes)]
+class Segment:
+    """The tables of the segment that begins at the file's place; its blocks are read when asked for."""
+
+    def __init__(self, f):
+        begin = f.read(12)
+        if begin[:8] != MAGIC:
+            raise ValueError("not a token file")
+        head = f.read(int.from_bytes(begin[8:], "little"))
+        self.f, self.head = f, json.loads(head)
+        if self.head["block"] != BLOCK:
+            raise ValueError("blocks of another size")
+        parts = [f.read(n) for n in self.head["parts"]]
+        if zlib.crc32(b"".join([begin, head, *parts])) != int.from_bytes(f.read(4), "little"):
+            raise ValueError("the head's checksum differs")
+        n = self.head["docs"]
+        listed = zlib.decompress(parts[0])
+        numbers = np.cumsum(np.frombuffer(listed[: 8 * n], dtype="<i8")).tolist()
+        sizes = np.frombuffer(listed[8 * n : 16 * n], dtype="<i8").tolist()
+        bits = np.frombuffer(listed[16 * n :], dtype=np.uint8)
+        known, more = (np.unpackbits(x, count=n).astype(bool).tolist() for x in (bits[: -(-n // 8)], bits[-(-n // 8) :]))
+        self.docs = [(d if k else None, s, m) for d, s, k, m in zip(numbers, sizes, known, more)]
+        table = np.frombuffer(zlib.decompress(parts[1]), dtype="<u4").reshape(-1, 2)
+        self.sizes, self.crcs = table[:, 0].tolist(), table[:, 1].tolist()
+        self.begin = f.tell()
+        self.end = self.begin + self.head["bytes"]
+
+    def _length(self, k: int) -> int:
+        return min(BLOCK, self.head["ids"] - k * BLOCK)
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of block ``k`` alone."""
+        self.f.seek(self.begin + sum(self.sizes[:k]))
+        return decode_blocks([self.f.read(self.sizes[k])], [self._length(k)], [self.crcs[k]])[0]
+
+    def ids(self) -> np.ndarray:
+        """All ids of the segment."""
+        self.f.seek(self.begin)
+        coded = [self.f.read(n) for n in self.sizes]
+        found = decode_blocks(coded, [self._length(k) for k in range(len(coded))], self.crcs)
+        return np.concatenate(found) if found else np.zeros(0, dtype="<u4")
+
+
+def segments_of(ids: Iterator[tuple[int | None, np.ndarray]], most: int = LANES * BLOCK) -> Iterator[bytes]:
+    """Segments of documents (id, ids); one that runs over a segment's end goes on in the next."""
+    docs: list[tuple[int | None, int, bool]] = []
+    held: list[np.ndarray] = []
+    filled = 0
+    for doc, own in ids:
+        while True:
+            piece = own[: most - filled]
+            own = own[len(piece) :]
+            docs.append((doc, len(piece), len(own) > 0))
+            held.append(piece)
+            filled += len(piece)
+            if filled == most:
+                yield encode_segment(np.concatenate(held), docs)
+                docs, held, filled = [], [], 0
+            if not len(own):
+                break
+    if docs:
+        yield encode_segment(np.concatenate(held), docs)
+
+
+def read_documents(f, size: int) -> Iterator[tuple[int | None, int, int]]:
+    """(id, number of ids, CRC-32 of the ids) of a file's documents, a segment in memory at a time."""
+    total = crc = 0
+    f.seek(0)
+    while f.tell() < size:
+        segment = Segment(f)
+        ids, at = segment.ids(), 0
+        for doc, n, more in segment.docs:
+            crc = zlib.crc32(ids[at : at + n].tobytes(), crc)
+            total, at = total + n, at + n
+            if not more:
+                yield doc, total, crc
+                total = crc = 0
+        f.seek(segment.end)
 
 
 def open_folder(uri: str):
@@ -295,7 +475,7 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put_file(folder: str, name: str, pieces: list[bytes]) -> str:
+def put_file(folder: str, name: str, pieces: Iterator[bytes]) -> str:
     """Writes a file under another name and moves it, so that a task run twice leaves one whole file."""
     system, path = open_folder(folder)
     system.create_dir(path, recursive=True)
@@ -309,20 +489,24 @@ def put_file(folder: str, name: str, pieces: list[bytes]) -> str:
 
 def _write(folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = part_tokenizer(tokenizer_path(vocabulary), keeps_space=False)
-        end = np.array([END], dtype="<u2").tobytes()
-        docs, pieces = [], []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                own = tokenizer.encode(text) + end
-                docs.append((doc, len(own) // 2))
-                pieces.append(own)
+        tokenizer = word_tokenizer(tokenizer_path(vocabulary))
+        end = np.array([END], dtype=tokenizer.dtype).tobytes()
+        docs = total = 0
+
+        def encoded() -> Iterator[tuple[int | None, np.ndarray]]:
+            nonlocal docs, total
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    for doc, own in zip(part.column(0).to_pylist(), tokenizer.encode_all(list(texts_of(part.column(1))))):
+                        ids = np.frombuffer(own + end, dtype=tokenizer.dtype)
+                        docs, total = docs + 1, total + len(ids)
+                        yield doc, ids
+
+        part = TaskContext.get().partitionId()
+        name = put_file(folder, f"part-{part:06d}.tok", segments_of(encoded()))
         if docs:
-            part = TaskContext.get().partitionId()
-            ids = np.frombuffer(b"".join(pieces), dtype="<u2")
-            pieces.clear()
-            name = put_file(folder, f"part-{part:06d}.tok", [encode_ids(ids, docs)])
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "ids": [len(ids)], "docs": [len(docs)]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "ids": [total], "docs": [docs]})
 
     return run
 
@@ -330,39 +514,46 @@ def _write(folder: str, vocabulary: str):
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, base in zip(batch["name"].to_pylist(), batch["base"].to_pylist()):
+            for name, start in zip(batch["name"].to_pylist(), batch["base"].to_pylist()):
                 system, path = open_folder(folder)
+                size = system.get_file_info(f"{path}/{name}").size
                 with system.open_input_file(f"{path}/{name}") as f:
-                    ids, docs = decode_ids(f.read())
-                rows, at = ([], [], [], []), 0
-                for doc, n in docs:
-                    crc = zlib.crc32(ids[at : at + n].astype("<u4").tobytes())
-                    for column, x in zip(rows, (doc, base + at, n, crc)):
-                        column.append(x)
-                    at += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r, pa.int64()) for r in rows], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                    rows: list[tuple] = []
+                    for doc, n, crc in read_documents(f, size):
+                        rows.append((doc, start, n, crc))
+                        start += n
+                        if len(rows) >= 4096:
+                            yield _rows(rows)
+                            rows = []
+                    yield _rows(rows)
 
     return run
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id") -> tuple[str, DataFrame]:
     """Token files of ``docs`` in ascending order of id; their folder, and a row for each file: part, name, ids, docs."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    source = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    # The hash deals rows that share an id to several ranges.
+    source = docs.select(docs[id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = source.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return folder, written(ordered.mapInArrow(_write(folder, vocabulary), "part long, name string, ids long, docs long"))
 
 
 def token_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """Writes ``docs`` as token files and reads them back: doc_id, start, n_tokens, ids_crc32 for each row.
 
-    A null text is the end id alone; null ids come first, rows with one id in
-    the order of their texts. Other columns are ignored; an empty table gives an
-    empty result.
+    A null text, like an empty one, is the end id alone; null ids come first;
+    rows with one id follow each other in an order that their texts alone set,
+    and rows that repeat are each written. A text of any length is coded whole:
+    it runs over as many blocks and segments as it needs. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     folder, files = write_token_files(docs, vocabulary)
     # A row for each file: few enough for one window.

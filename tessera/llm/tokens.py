@@ -1,8 +1,8 @@
-"""Token ids of whole texts as the tokenizers library gives them, worked out word by word.
+"""Token ids of whole texts, the same as the tokenizers library gives.
 
-The vocabularies' pre-tokenizers never join what stands on both sides of a
-boundary used here, so a text's ids are those of its parts in a row; parts come
-again and again, and each worker keeps the ids of those it has seen.
+Under a vocabulary with word ends a text's ids are those of its words in a row;
+words come again and again, and each worker keeps the ids of those it has seen.
+A byte-level vocabulary goes by its public rank file.
 """
 
 from __future__ import annotations
@@ -13,20 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Parts that a worker remembers; it forgets all of them when there are more.
+from tessera.llm.merges import MergeList, pieces
+
+#: Words that a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 1_200_000
-#: Only parts of up to so many characters are remembered.
+#: Only words of up to so many characters are remembered.
 LONGEST = 64
 
 # What Python takes as white space and the library doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-# A full stop or comma that ends a word: a boundary of both pre-tokenizers (the dotted capital I becomes a letter and a mark).
-_MARK = re.compile(r"(?<=[^\W_\u0130])[.,](?=\s|$)")
+# A full stop or comma that ends a word: a boundary of the pre-tokenizer (the dotted capital I becomes a letter and a mark).
+_STOP = re.compile(r"\.(?<=[^\W_\u0130]\.)(?=\s|$)")
+_COMMA = re.compile(r",(?<=[^\W_\u0130],)(?=\s|$)")
 _OTHER_LETTER = re.compile("[\u0130\u0250-\U0010ffff]")
-# A boundary before white space; only texts with unusual white space need it.
-_PARTS = re.compile(r"\s*\S+|\s+")
-_SPACES = "\t\n\r\x0b\x0c\x85\xa0  -     　"
-_BEFORE_SPACE = re.compile(f"[{_SPACES}] |  ")
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,79 +40,91 @@ def plain_words(text: str) -> list[str]:
     # Letters that have one lower-case form, which the vocabulary's normaliser takes as well.
     if not _OTHER_LETTER.search(text):
         text = text.lower()
-    return _MARK.sub(r" \g<0>", text).split()
+    return _COMMA.sub(" ,", _STOP.sub(" .", text)).split()
 
 
-class PartTokenizer:
-    """Ids of texts as little-endian unsigned 16- or 32-bit integers in bytes.
+class WordTokenizer:
+    """Ids of texts under a vocabulary with word ends, word by word, as little-endian integers in bytes.
 
-    ``ranks``: a file of the same vocabulary as ranks, with which unseen parts
-    are encoded, to the same ids and several times as fast; texts that can't be
-    cut into parts go to the library in any case.
+    Texts that hold the string of an added token, or white space that Python
+    alone takes for such, go to the library whole.
     """
 
-    def __init__(self, path: str, keeps_space: bool, dtype: str = "<u2", ranks: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        # Strings of added tokens are found in the whole text before it is cut.
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.keeps_space, self.dtype = keeps_space, dtype
+    def __init__(self, path: str):
+        self.library, self.special, self.dtype = _library(path)
+        self.merges = MergeList(path)
         self.known: dict[str, bytes] = {}
-        self.fast = _by_ranks(ranks) if ranks else None
-        # A newline stands alone before a part that begins with a space or a word; so does the sign between spaces.
-        self.separator = "\n" if keeps_space else "\N{PILCROW SIGN}"
-        ids = self.library.encode(self.separator, add_special_tokens=False).ids
-        self.separator_id = ids[0] if len(ids) == 1 else -1
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _cut(self, text: str) -> list[str]:
-        """Parts whose ids in a row are the text's; as few different ones as can be."""
-        if not self.keeps_space:
-            return plain_words(text)
-        if _BEFORE_SPACE.search(text) or "\0" in text:
-            return _PARTS.findall(text)
-        parts = _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
-        return parts if parts[0] else parts[1:]
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self._library([text])[0]
-        parts = self._cut(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that the worker has not seen are merged together."""
         known = self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            pass
         if len(known) > REMEMBERED:
             known.clear()
-        found = self._encode_new(list({x for x in parts if x not in known}))
-        known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-        return b"".join([found[x] if x in found else known[x] for x in parts])
-
-    def _encode_new(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts, encoded together with a separator between them that the parts don't have."""
-        out: dict[str, bytes] = {}
-        plain = [x for x in parts if self.separator not in x]
-        if plain:
-            join = self.separator if self.keeps_space else f" {self.separator} "
-            joined = join.join(plain)
-            found = self.fast(joined) if self.fast else self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-            ids = np.array(found, dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.separator_id)
-            if len(cuts) == len(plain) - 1:
-                raw, size = ids.tobytes(), ids.itemsize
-                begin = [0, *((cuts + 1) * size).tolist()]
-                end = [*(cuts * size).tolist(), len(raw)]
-                out = {x: raw[i:j] for x, i, j in zip(plain, begin, end)}
-        rest = [x for x in parts if x not in out]
-        out.update(zip(rest, self._library(rest)))
-        return out
+        whole = [bool(_ODD_SPACE.search(t)) or any(s in t for s in self.special) for t in texts]
+        cut = [[] if w else plain_words(t) for t, w in zip(texts, whole)]
+        found = [list(map(known.get, words)) for words in cut]
+        open_ = [i for i, x in enumerate(found) if None in x]
+        new = list({w for i in open_ for w, x in zip(cut[i], found[i]) if x is None})
+        if new:
+            own = [[p.encode() for p in pieces(w)] for w in new]
+            every = list({p for x in own for p in x})
+            ids = {p: np.array(x, dtype=self.dtype).tobytes() for p, x in zip(every, self.merges.merge_all(every))}
+            for w, x in zip(new, own):
+                known[w] = ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])
+            for i in open_:
+                found[i] = [known[w] if x is None else x for w, x in zip(cut[i], found[i])]
+            for w in new:
+                if len(w) > LONGEST:
+                    del known[w]
+        return [
+            np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes() if w else b"".join(x)
+            for t, w, x in zip(texts, whole, found)
+        ]
+
+
+class RankTokenizer:
+    """Ids of texts under a byte-level vocabulary, from a public file of the same vocabulary as ranks.
+
+    The ids are those of the tokenizers library, several times as fast; a text
+    that holds the string of an added token, and all texts without ``ranks``, go
+    to the library.
+    """
+
+    def __init__(self, path: str, ranks: str | None):
+        self.library, self.special, self.dtype = _library(path)
+        self.fast = _by_ranks(ranks) if ranks else None
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return np.asarray(self.fast(text, disallowed_special=())).astype(self.dtype).tobytes()
+
+
+def id_type(size: int) -> str:
+    """The integers that hold ids below ``size``."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary file."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    return max([library.get_vocab_size(), *[i + 1 for i in library.get_added_tokens_decoder()]])
+
+
+def _library(path: str):
+    """The library's tokenizer without padding and truncation, the strings of its added tokens, and its ids' type."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    return library, [t.content for t in library.get_added_tokens_decoder().values()], id_type(vocabulary_size(path))
 
 
 def _by_ranks(path: str):
@@ -124,18 +135,24 @@ def _by_ranks(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+
+_LOADED: dict[tuple, WordTokenizer | RankTokenizer] = {}
 
 
-_LOADED: dict[tuple, PartTokenizer] = {}
+def word_tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer for a vocabulary with word ends; kept between its tasks."""
+    if (path,) not in _LOADED:
+        _LOADED[path,] = WordTokenizer(path)
+    return _LOADED[path,]
 
 
-def part_tokenizer(path: str, keeps_space: bool, dtype: str = "<u2", ranks: str | None = None) -> PartTokenizer:
-    """A worker's tokenizer for a file; kept between its tasks."""
-    key = (path, keeps_space, dtype, ranks)
-    if key not in _LOADED:
-        _LOADED[key] = PartTokenizer(path, keeps_space, dtype, ranks)
-    return _LOADED[key]
+def rank_tokenizer(path: str, ranks: str | None) -> RankTokenizer:
+    """A worker's tokenizer for a byte-level vocabulary; kept between its tasks."""
+    if (path, ranks) not in _LOADED:
+        _LOADED[path, ranks] = RankTokenizer(path, ranks)
+    return _LOADED[path, ranks]
 
 
 def texts_of(column) -> Iterator[str]:
