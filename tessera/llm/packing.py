@@ -39,36 +39,51 @@ K1, B = 1.5, 0.75
 SAMPLED = 64
 
 
-def _tokenise(vocabulary: str, ranks: str | None):
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a document in order, and how often each occurs."""
+    own = np.sort(ids)
+    at = np.flatnonzero(own[1:] != own[:-1]) + 1
+    first = np.concatenate([[0], at])
+    return own[first], np.diff(first, append=len(own))
+
+
+def _tokenise(vocabulary: str, ranks: str | None, size: int):
+    """(doc_id, ids) of each document; the last row of a partition has df instead, each id's number of documents, and totals."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = rank_tokenizer(tokenizer_path(vocabulary), ranks and tokenizer_path(ranks))
         end = np.array([END], dtype=tokenizer.dtype).tobytes()
+        df, docs, tokens = np.zeros(size, dtype="<i8"), 0, 0
+        names = ["doc_id", "ids", "df", "docs", "tokens"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [tokenizer.encode(t) + end for t in texts_of(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                for x in ids:
+                    own = np.frombuffer(x, dtype=tokenizer.dtype)
+                    df[_terms(own)[0]] += 1
+                    tokens += len(own)
+                docs += len(ids)
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()), none, none], names)
+        if docs:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([docs]), pa.array([tokens])], names
+            )
 
     return run
 
 
-def _frequencies(size: int):
-    """(term, df, docs, tokens): documents of the partition that have each term; term -1 holds the totals."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, tokens = np.zeros(size, dtype=np.int64), 0, 0
-        for batch in batches:
-            for x in batch.column(0):
-                own = np.frombuffer(x.as_py(), dtype=id_type(size))
-                df[np.unique(own)] += 1
-                docs, tokens = docs + 1, tokens + len(own)
-        has = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(has, -1)), pa.array(np.append(df[has], docs)), pa.array(np.append(has * 0, tokens))],
-            ["term", "df", "tokens"],
-        )
-
-    return run
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all rows of counts."""
+    df, docs, tokens = None, 0, 0
+    for batch in batches:
+        for raw, n, k in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            own = np.frombuffer(raw.as_py(), dtype="<i8")
+            df = own.copy() if df is None else df + own
+            docs, tokens = docs + n, tokens + k
+    if df is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([docs]), pa.array([tokens])], ["df", "docs", "tokens"])
 
 
 def _keys(df: np.ndarray, idf: np.ndarray, least: tuple[int, ...], bounds: np.ndarray | None):
@@ -82,7 +97,7 @@ def _keys(df: np.ndarray, idf: np.ndarray, least: tuple[int, ...], bounds: np.nd
         for batch in batches:
             keys = np.zeros(batch.num_rows, dtype=np.int64)
             for i, raw in enumerate(batch.column(1)):
-                t, tf = np.unique(np.frombuffer(raw.as_py(), dtype=id_type(len(df))), return_counts=True)
+                t, tf = _terms(np.frombuffer(raw.as_py(), dtype=id_type(len(df))))
                 weight = idf[t] * tf / (tf + K1)
                 for n in least:
                     fit = np.where(df[t] >= n, weight, -1.0)
@@ -119,7 +134,7 @@ class Shard:
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.idf, self.unused, n = idf, np.ones(len(ids), dtype=bool), len(ids)
-        terms, counts = zip(*[np.unique(own, return_counts=True) for own in ids])
+        terms, counts = zip(*map(_terms, ids))
         every, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
         sizes = np.array([len(t) for t in terms])
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
@@ -279,18 +294,15 @@ def pack_documents(
     SHARD_TOKENS tokens) that the lexical key puts together.
     """
     source = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    tokens = written(source.mapInArrow(_tokenise(vocabulary, ranks), "doc_id long, ids binary"), {"compression": "zstd"})
     # As many ids as the vocabulary has, those of added tokens included; END is one of them.
     size = vocabulary_size(tokenizer_path(vocabulary))
-    counted = tokens.select("ids").mapInArrow(_frequencies(size), "term long, df long, tokens long")
-    # As many rows as the vocabulary has ids, at most.
-    rows = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).collect()
+    both = written(source.mapInArrow(_tokenise(vocabulary, ranks, size), "doc_id long, ids binary, df binary, docs long, tokens long"), {"compression": "zstd"})
+    tokens = both.where("docs is null").select("doc_id", "ids")
+    counts, schema = both.where("docs is not null").select("df", "docs", "tokens"), "df binary, docs long, tokens long"
+    # The counts of all ids in one row for each task, then in eight rows at the most, which the driver adds up.
     df, n, total = np.zeros(size), 0, 0
-    for r in rows:
-        if r["term"] < 0:
-            n, total = r["df"], r["tokens"]
-        else:
-            df[r["term"]] = r["df"]
+    for r in counts.mapInArrow(_add_up, schema).repartition(8).mapInArrow(_add_up, schema).collect():
+        df, n, total = df + np.frombuffer(r["df"], dtype="<i8"), n + r["docs"], total + r["tokens"]
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return _dealt(tokens, df, idf, n, total).mapInArrow(_pack(idf, max(1.0, total / max(1, n))), schema)
