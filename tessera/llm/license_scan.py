@@ -1,14 +1,18 @@
 """License scans by conditional compression.
 
-Sentences near licence words are candidate blocks. A block is compressed alone
-and with each template as a raw-content dictionary; the more a template shortens
-it, the likelier its wording is in the block. The best templates are then
-aligned word by word, and one is confirmed only if its words stand in the block
-with few differences and none in numbers or names that tell licenses apart.
+Sentences near licence words are candidate blocks, looked at in windows of a
+bounded number of words. A window is compressed alone and with each template as a
+raw-content dictionary; the more a template shortens it, the likelier its wording
+is in the window. Templates that shorten it enough are then aligned word by word,
+and a place is confirmed only if the template's words stand there with few
+differences and none in numbers or names that tell licenses apart. With so many
+differences allowed, one of so many parts and one more of the template must stand
+unchanged, so places are found by the parts and none is overlooked.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -20,14 +24,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import texts_of
 
-#: A template must shorten a block by this share of the template's own compressed size to be aligned, and be among the first so many.
-LEAST_REDUCTION, ALIGNED = 0.3, 6
+#: A template must shorten a window by this share of the template's own compressed size to be aligned.
+LEAST_REDUCTION = 0.3
 #: Differing words that a template may have, as a share of its words, rounded down: a short one has none.
 DIFFERENCES = 0.12
 #: Units (sentences or lines) between two candidate units that still belong to one block, and around them.
 GAP, AROUND = 8, 2
 #: A block is cut at so many units; the next begins with the last OVERLAP of them.
 BLOCK_UNITS, OVERLAP = 60, 20
+#: Words of a window, and of them that the next has too: more than any template with its differences.
+WINDOW_WORDS, SHARED_WORDS = 1024, 192
 
 TRIGGER = r"(?i)licen[sc]e|copyright|permission is hereby granted|permission to use, copy|redistribution|public domain|creative commons|without warranty|warranties|\bGNU\b"
 
@@ -107,6 +113,12 @@ class Templates:
             self.words.append(words)
             self.coders.append(self._coder(zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
         self.plain = self._coder(None)
+        # Differences that a template may have; its parts, of which one at least stands unchanged, and where they begin in it.
+        self.allowed = [int(DIFFERENCES * len(w)) for w in self.words]
+        self.parts = []
+        for own, n in zip(self.words, self.allowed):
+            cuts = [len(own) * i // (n + 1) for i in range(n + 2)]
+            self.parts.append([(a, " " + " ".join(own[a:b]) + " ") for a, b in zip(cuts, cuts[1:])])
         empty = len(self.plain.compress(b""))
         self.sizes = [len(self.plain.compress(" ".join(w).encode())) - empty for w in self.words]
 
@@ -120,47 +132,69 @@ class Templates:
         alone = len(self.plain.compress(raw))
         return [(alone - len(c.compress(raw))) / n for c, n in zip(self.coders, self.sizes)]
 
-    def _align(self, k: int, words: list[str]) -> tuple[int, int, list[str]] | None:
-        """Where template k stands in the block, and its differences ('-' missing, '+' added), if they are few enough."""
-        own = self.words[k]
-        if not set(own) & set(words):
-            return None
-        match = difflib.SequenceMatcher(None, own, words, autojunk=False)
-        blocks = [b for b in match.get_matching_blocks() if b.size]
-        # The longest stretch places the template; what matches far from there is chance.
-        main = max(blocks, key=lambda b: b.size)
-        spare = max(2, len(own) // 4)
-        first, last = main.b - main.a - spare, main.b - main.a + len(own) + spare
-        blocks = [b for b in blocks if b.b >= first and b.b + b.size <= last]
-        a, b = blocks[0].b, blocks[-1].b + blocks[-1].size
-        diff: list[str] = []
-        for op, i, j, x, y in difflib.SequenceMatcher(None, own, words[a:b], autojunk=False).get_opcodes():
-            if op != "equal":
-                diff += ["-" + w for w in own[i:j]] + ["+" + w for w in words[a + x : a + y]]
-        if len(diff) > int(DIFFERENCES * len(own)) or any(w[1:] in TELLING or w[1].isdigit() for w in diff):
-            return None
+    def _at(self, k: int, words: list[str], start: int) -> tuple[int, int, list[str]] | None:
+        """Where template k stands near ``start``, and its differences ('-' missing, '+' added), if they are few enough."""
+        own, n = self.words[k], len(self.words[k])
+        if start >= 0 and words[start : start + n] == own:
+            a, b, diff = start, start + n, []
+        else:
+            spare = self.allowed[k]
+            low = max(0, start - spare)
+            near = words[low : start + n + spare]
+            matched = [m for m in difflib.SequenceMatcher(None, own, near, autojunk=False).get_matching_blocks() if m.size and abs(low + m.b - m.a - start) <= spare]
+            if not matched:
+                return None
+            a, b = low + matched[0].b, low + matched[-1].b + matched[-1].size
+            diff = []
+            for op, i, j, x, y in difflib.SequenceMatcher(None, own, words[a:b], autojunk=False).get_opcodes():
+                if op != "equal":
+                    diff += ["-" + w for w in own[i:j]] + ["+" + w for w in words[a + x : a + y]]
+            if len(diff) > spare or any(w[1:] in TELLING or w[1].isdigit() for w in diff):
+                return None
         # A telling word right after the template makes it another license ("CC BY" in "CC BY-NC").
-        if b < len(words) and words[b] in TELLING:
-            return None
-        return a, b, diff
+        return None if b < len(words) and words[b] in TELLING else (a, b, diff)
+
+    def _places(self, words: list[str], first: int, end: int) -> Iterator[tuple[int, int, str, float, list[str]]]:
+        """All confirmed places of templates in the window of words from ``first`` to ``end``."""
+        window = words[first:end]
+        joined = " " + " ".join(window) + " "
+        # The word that begins at each place of the joined window, less one for the space before it.
+        starts = [0]
+        for w in window[:-1]:
+            starts.append(starts[-1] + len(w) + 1)
+        for k, reduction in enumerate(self.reductions(window)):
+            if reduction < LEAST_REDUCTION:
+                continue
+            tried = set()
+            for offset, part in self.parts[k]:
+                at = joined.find(part)
+                while at >= 0:
+                    start = first + bisect.bisect_left(starts, at) - offset
+                    if start not in tried:
+                        tried.add(start)
+                        if found := self._at(k, words, start):
+                            yield found[0], found[1], self.names[k], reduction, found[2]
+                    at = joined.find(part, at + 1)
 
     def find(self, words: list[str]) -> list[tuple[int, int, str, float, list[str]]]:
-        """(first word, end, license, reduction, differences) of the licenses in a block, from the left."""
-        if not words:
-            return []
-        reductions = self.reductions(words)
-        order = sorted(range(len(reductions)), key=lambda k: (-reductions[k], k))
-        best = None
-        for k in [k for k in order if reductions[k] >= LEAST_REDUCTION][:ALIGNED]:
-            at = self._align(k, words)
-            # The longest wording wins: a notice may be part of a longer one.
-            if at and (best is None or at[1] - at[0] > best[1] - best[0]):
-                best = (at[0], at[1], self.names[k], reductions[k], at[2])
-        if best is None:
-            return []
-        a, b = best[:2]
-        right = [(b + x, b + y, *rest) for x, y, *rest in self.find(words[b:])]
-        return self.find(words[:a]) + [best] + right
+        """(first word, end, license, reduction, differences) of the licenses in a block, from the left.
+
+        The longest wording wins, as a notice may be part of a longer one; then the first, with the fewest differences.
+        """
+        found: list[tuple[int, int, str, float, list[str]]] = []
+        first = 0
+        while words:
+            end = min(len(words), first + WINDOW_WORDS)
+            found += self._places(words, first, end)
+            if end == len(words):
+                break
+            first = end - SHARED_WORDS
+        taken: list[tuple[int, int, str, float, list[str]]] = []
+        for x in sorted(found, key=lambda x: (x[0] - x[1], x[0], len(x[4]), -x[3], x[2])):
+            i = bisect.bisect_left(taken, x[0], key=lambda y: y[0])
+            if (i == 0 or taken[i - 1][1] <= x[0]) and (i == len(taken) or x[1] <= taken[i][0]):
+                taken.insert(i, x)
+        return taken
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -232,10 +266,12 @@ def license_report(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     """One row for each row of ``docs``: doc_id, n_licenses, licenses, spans, reduction, differences.
 
     licenses: distinct names, sorted; spans: name:start:end by place; reduction:
-    the most that a confirmed template shortens its block, as a share of the
-    template's compressed size;
-    differences: of each span, words the template has more ('-') or the text
-    ('+'). Null and empty texts have none. Other columns are ignored; an empty
+    the most that a confirmed template shortens its window, as a share of the
+    template's compressed size; differences: of each span, words the template has
+    more ('-') or the text ('+'). Where findings overlap the longest stays, of
+    equal ones the first. Null and empty texts have none; a text of any length is
+    scanned whole, long lines in windows; rows that repeat are each reported; a
+    null id stays null. Other columns are ignored, whatever their names; an empty
     table gives an empty result.
     """
     source = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"))

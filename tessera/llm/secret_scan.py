@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and a randomness test battery, in SQL functions only.
 
-Fixed patterns give the base spans. The battery looks at every other long token:
-it infers the token's encoding from its characters, tests how well the symbols
+Fixed patterns give the base spans. The battery looks at every other long token,
+and at what base spans leave of one: it infers the token's encoding from its characters, tests how well the symbols
 fit a random string of that alphabet (chi-squared uniformity, runs about the
 middle of the alphabet, correlation of neighbouring symbols), and takes the
 token as a secret if a random string would look so and prose would not. The
@@ -20,8 +20,9 @@ _ASSIGNED = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
 # The runs are greedy, so a shorter run never hides a longer one: the least length can be in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: A token that the battery tests; 20 symbols are the least that it can tell.
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: A token that the battery tests: a run of base64 symbols, or else of those of its form for URLs; 20 are the least that it can tell.
+LEAST = 20
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{20,}+(?![_-])|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 #: False discovery rate among the tokens of a document.
 FDR = 0.01
@@ -46,7 +47,7 @@ _ALPHABETS = (
     ("base36_upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "^[0-9A-Z]+$"),
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "^[A-Za-z0-9]+$"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^[A-Za-z0-9_-]+$"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "^[A-Za-z0-9+/_-]+$"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "^[A-Za-z0-9+/]+$"),
 )
 
 
@@ -163,8 +164,14 @@ def _statistics(token: Column, codes: Column, x: Column) -> Column:
 
 def _decision(n: Column, size: Column, y: Column) -> Column:
     df, chi, ups = size - 1, y["chi"], y["ups"]
-    # Wilson and Hilferty: the cube root of chi-squared over its degrees is near normal.
-    p_uniform = 1 - _normal_below((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+    # Of a short token, pairs of equal symbols are rare and so near to a Poisson count, whose upper tail is that of a
+    # gamma variable; of a longer one, chi-squared itself. For both, Wilson and Hilferty: the cube root is near normal.
+    pairs, expected = (chi * n / size + n * n / size - n) / 2, n * (n - 1) / (2 * size)
+    p_few = F.when(pairs < 0.5, 1.0).otherwise(
+        _normal_below(3 * F.sqrt(pairs) * (F.pow(expected / pairs, F.lit(1 / 3)) - 1 + 1 / (9 * pairs)))
+    )
+    p_many = 1 - _normal_below((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+    p_uniform = F.when(n < size, p_few).otherwise(p_many)
     # Runs of symbols in the upper and the lower half of the alphabet, given how many there are of each.
     mixed = 2 * ups * (n - ups)
     run_sd = F.sqrt(F.greatest(mixed * (mixed - n) / (n * n * (n - 1)), F.lit(1e-9)))
@@ -184,25 +191,61 @@ def _decision(n: Column, size: Column, y: Column) -> Column:
     )
 
 
+def _stretches(spans: Column) -> Column:
+    """The stretches (s, e) that spans, ordered by start, cover: spans that meet are one."""
+    span = "struct<s:int,e:int>"
+    close = lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
+    return F.aggregate(
+        spans,
+        F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("open")),
+        lambda a, x: F.when(
+            a["open"].isNotNull() & (x["s"] <= a["open"]["e"]),
+            F.struct(a["done"].alias("done"), F.struct(a["open"]["s"].alias("s"), F.greatest(a["open"]["e"], x["e"]).alias("e")).alias("open")),
+        ).otherwise(F.struct(close(a).alias("done"), F.struct(x["s"].alias("s"), x["e"].alias("e")).alias("open"))),
+        close,
+    )
+
+
+def _outside(tokens: Column, stretches: Column) -> Column:
+    """What the stretches leave of tokens: parts of LEAST symbols or more."""
+    begin = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda x: x["e"]))
+    end = F.concat(F.transform(stretches, lambda x: x["s"]), F.array(F.lit(2**31 - 1)))
+    free = F.arrays_zip(begin.alias("s"), end.alias("e"))
+
+    def parts(t: Column) -> Column:
+        own = F.filter(free, lambda f: F.least(f["e"], t["e"]) - F.greatest(f["s"], t["s"]) >= LEAST)
+        return F.transform(
+            own,
+            lambda f: _let(
+                F.struct(F.greatest(f["s"], t["s"]).alias("s"), F.least(f["e"], t["e"]).alias("e")),
+                lambda p: F.struct(p["s"].alias("s"), t["k"].alias("k"), p["e"].alias("e"), F.substring(t["v"], p["s"] - t["s"] + 1, p["e"] - p["s"]).alias("v")),
+            ),
+        )
+
+    return F.flatten(F.transform(tokens, parts))
+
+
 def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fdr: float = FDR) -> DataFrame:
     """``keep`` columns, the text (null: empty) as _text, base and spans for each row.
 
-    Columns to keep have other names than these and none with a leading underscore.
     Both are arrays of (s: start, k: place in KINDS, e: end, v: value), by start
     and kind; positions are code points, ends exclusive; assign spans are whole
     matches, its value the assigned string. spans is base plus the tokens that
-    the battery takes, without those that overlap a base span. A text without
-    hits has empty arrays; repeated rows are each scanned.
+    the battery takes; a token that a base span covers in part is tested by its
+    parts outside. A text without hits has empty arrays, and so has an empty one;
+    a text of any length is scanned whole; repeated rows are each scanned; an
+    empty table gives an empty result. Columns to keep may have any names but
+    _text, base and spans; others are ignored.
     """
-    df = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text], F.lit("")).alias("_text"))
+    df = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(docs[text], F.lit("")).alias("_text"))
     df = _with_spans(df, ASSIGN, 0, "_assign", least=12)
     df = _with_spans(df, ACCESS, 1, "_access")
     df = _with_spans(df, HEX, 2, "_hex")
     df = df.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     df = _with_spans(df, TOKEN, 3, "_tokens")
-    df = df.withColumn(
-        "_tokens", F.filter("_tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    )
+    meets = (F.size("base") > 0) & (F.size("_tokens") > 0)
+    df = df.withColumn("_cuts", F.when(meets, _stretches(F.col("base"))))
+    df = df.withColumn("_tokens", F.when(meets, _outside(F.col("_tokens"), F.col("_cuts"))).otherwise(F.col("_tokens")))
     df = df.withColumn("_tests", F.transform("_tokens", lambda t: battery(t["v"])))
     df = df.withColumn("_ps", F.array_sort(F.transform("_tests", lambda t: t["p_prose"])))
     # Benjamini and Hochberg: the largest p that is within its rank's share of the rate.
@@ -215,7 +258,7 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         lambda x: (x["_tests"]["p_prose"] <= F.col("_most")) & (x["_tests"]["p_random"] >= RANDOM_P),
     )
     df = df.withColumn("spans", F.array_sort(F.concat("base", F.transform(taken, lambda x: x["_tokens"]))))
-    return df.select(*keep, "_text", "base", "spans")
+    return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "_text", "base", "spans")
 
 
 def _digest(spans: Column) -> Column:
@@ -224,7 +267,14 @@ def _digest(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """One row for each document: counts of the base kinds, their digest, and all spans as text."""
+    """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    Counts of the base kinds, the digest of the base spans, and all spans, as
+    kind:start:end by start, then kind. A null or empty text, and one without
+    hits, has no spans; texts of any length are scanned whole; rows that repeat
+    are each reported; a null id stays null; other columns are ignored; an empty
+    table gives an empty result.
+    """
     found = secret_spans(docs)
     of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
@@ -246,23 +296,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     # Under other names, whatever the columns are called.
     own = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     found = secret_spans(own, text=f"c{at}", keep=tuple(own.columns))
-    span = "struct<s:int,e:int>"
-    # Spans that meet become one stretch.
-    merged = F.aggregate(
-        "spans",
-        F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("open")),
-        lambda a, x: F.when(
-            a["open"].isNotNull() & (x["s"] <= a["open"]["e"]),
-            F.struct(a["done"].alias("done"), F.struct(a["open"]["s"].alias("s"), F.greatest(a["open"]["e"], x["e"]).alias("e")).alias("open")),
-        ).otherwise(
-            F.struct(
-                F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
-                F.struct(x["s"].alias("s"), x["e"].alias("e")).alias("open"),
-            )
-        ),
-        lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))),
-    )
-    found = found.withColumn("_cuts", F.when(F.size("spans") > 0, merged))
+    found = found.withColumn("_cuts", F.when(F.size("spans") > 0, _stretches(F.col("spans"))))
     last = F.col("_cuts")[F.size("_cuts") - 1]["e"]
     pieces = F.transform(
         "_cuts",
