@@ -7,7 +7,8 @@ are codes, cut into substrings, one for each table, and the vectors with one
 substring are a bucket. Width and number of the tables follow from the rows of a
 label and from the angle that the bits see at the threshold: that of the centred
 vectors, which a common direction widens. In a bucket all vectors are compared by
-their cosine in double precision.
+their cosine in double precision; what comes out is each vector's number of links
+and one connection, so a large group of near vectors never gives all its pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, written
+from tessera.llm.common import components, each_salt, salt, salts_seen, written
 
 #: Vectors that the rotation is learned on, at the most; chosen by a hash of the id.
 SAMPLE = 10_000
@@ -49,7 +50,9 @@ def learn_rotation(x: np.ndarray, bits: int = BITS, turns: int = TURNS, seed: in
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Lists of one length as rows."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat if flat.dtype == np.int64 else flat.astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
@@ -87,41 +90,65 @@ def _encode(mean: np.ndarray, turns: list[np.ndarray], width: int, tables: int):
                             t += 1
             at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables)
             lists = pa.ListArray.from_arrays(at, pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["rep", "label", "v", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["rep", "label", "v", "mult", "keys"])
 
     return run
 
 
+def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches by the links (p, q)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        both = np.minimum(root[p], root[q])
+        np.minimum.at(low, p, both)
+        np.minimum.at(low, q, both)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def _compare(least: float):
-    """Links of one cell, a pair of blocks: within a block if they are the same, else across."""
+    """A cell, two blocks of a bucket or one with itself: of each vector with links there (a, b, n).
+
+    n: how many rows a links with; b: the smallest that a reaches by the cell's
+    links, so that what is connected stays so without all pairs coming out. A
+    pair that shares a bucket of an earlier table is left to that.
+    """
 
     def run(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        rep, side = cell["rep"].to_numpy(), cell["block"].to_numpy()
-        v = cell["v"].combine_chunks()
-        x = _unit(_matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v))
-        first = side == cell["i"][0].as_py()
+        cell = cell.sort_by("rep").combine_chunks()
+        rep, side, mult = (cell[c].to_numpy() for c in ("rep", "block", "mult"))
+        x, keys = (_matrix(cell[c].combine_chunks()) for c in ("v", "keys"))
+        x, table = _unit(x), cell["t"][0].as_py()
         within = cell["i"][0].as_py() == cell["j"][0].as_py()
+        first = side == cell["i"][0].as_py()
         left, right = (np.arange(len(rep)),) * 2 if within else (np.flatnonzero(first), np.flatnonzero(~first))
-        found_a, found_b = [], []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(left), 512):
             own = left[at : at + 512]
             # The product may round otherwise than the sum of a pair; the latter decides.
             p, q = np.nonzero(x[own] @ x[right].T >= least - 1e-9)
             p, q = own[p], right[q]
-            keep = (rep[p] < rep[q]) if within else np.ones(len(p), dtype=bool)
-            p, q = p[keep], q[keep]
-            keep = np.concatenate([(x[p[k : k + 4096]] * x[q[k : k + 4096]]).sum(axis=1) >= least for k in range(0, len(p), 4096)] or [np.zeros(0, dtype=bool)])
-            found_a.append(np.minimum(rep[p], rep[q])[keep])
-            found_b.append(np.maximum(rep[p], rep[q])[keep])
-        none = [np.zeros(0, dtype=np.int64)]
-        return pa.table({"a": np.concatenate(found_a or none), "b": np.concatenate(found_b or none)})
+            for k in range(0, len(p), 1 << 14):
+                a, b = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+                keep = (x[a] * x[b]).sum(axis=1) >= least
+                if within:
+                    keep &= a < b
+                if table:
+                    keep &= ~(keys[a, :table] == keys[b, :table]).any(axis=1)
+                found.append((a[keep], b[keep]))
+        p, q = (np.concatenate([f[i] for f in found] or [np.zeros(0, dtype=np.int64)]) for i in (0, 1))
+        n = np.bincount(p, weights=mult[q], minlength=len(rep)) + np.bincount(q, weights=mult[p], minlength=len(rep))
+        has = np.flatnonzero(n)
+        return pa.table({"a": rep[has], "b": rep[_roots(len(rep), p, q)[has]], "n": n[has].astype(np.int64)})
 
     return run
 
 
 def _links(own: DataFrame, dim: int, least: float, sample: int, block: int, miss: float) -> DataFrame:
-    """(a, b), a < b: the linked classes of one length; own(label, v, rep)."""
+    """(a, b, n) of each class and cell of one length: a's links there, and what it is connected to; own(label, v, rep, mult)."""
     most, total = 0, 0
     per = own.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     most, total = per[0] or 0, per[1] or 0
@@ -134,17 +161,19 @@ def _links(own: DataFrame, dim: int, least: float, sample: int, block: int, miss
         if width:
             codes = -(-tables // (min(BITS, dim) // width))
             turns = [learn_rotation(x, seed=7 + k)[1] for k in range(codes)]
-    keyed = own.select("rep", "label", "v").mapInArrow(_encode(mean, turns, width, tables), "rep long, label string, v array<double>, keys array<long>")
-    keyed = written(keyed)
-    slim = keyed.select("label", F.posexplode("keys").alias("t", "key"))
-    large = slim.groupBy("label", "t", "key").count().where(F.col("count") > block)
-    large = large.select("label", "t", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = keyed.select("rep", "label", "v", F.posexplode("keys").alias("t", "key")).join(F.broadcast(large), ["label", "t", "key"], "left")
+    keyed = own.select("rep", "label", "v", "mult").mapInArrow(
+        _encode(mean, turns, width, tables), "rep long, label string, v array<double>, mult long, keys array<long>"
+    )
+    keyed = written(keyed.withColumn("salt", salt("rep")))
+    slim = keyed.select("label", "salt", F.posexplode("keys").alias("t", "key"))
+    large = slim.groupBy("label", "t", "key").agg(F.count("*").alias("count"), salts_seen().alias("salts")).where(F.col("count") > block)
+    large = large.select("label", "t", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"), each_salt("salts").alias("salt"))
+    rows = keyed.select("rep", "label", "v", "mult", "keys", "salt", F.posexplode("keys").alias("t", "key"))
+    rows = rows.join(large, ["label", "t", "key", "salt"], "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("label", "t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "v")
-    links = rows.groupBy("label", "t", "key", "i", "j").applyInArrow(_compare(least), "a long, b long")
-    return links if tables == 1 else links.distinct()
+    rows = rows.select("label", "t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mult", "v", "keys")
+    return rows.groupBy("label", "t", "key", "i", "j").applyInArrow(_compare(least), "a long, b long, n long")
 
 
 def vector_groups(
@@ -159,8 +188,9 @@ def vector_groups(
     empty, zero or hold null or non-finite components, link with nothing.
     n_links counts the other rows linked directly, equal vectors included; they
     are one class within and so cost nothing. Rows with one id share its
-    component; a null id has a null component and is kept. Other columns are
-    ignored; an empty table gives an empty result.
+    component; a null id has a null component and is kept. A vector of any length
+    is compared whole. Other columns are ignored, whatever their names; an empty
+    table gives an empty result.
     """
     source = vectors.select(
         vectors[id].cast("long").alias("vec_id"), vectors[embedding].cast("array<double>").alias("v"), vectors[label].cast("string").alias("label")
@@ -168,22 +198,24 @@ def vector_groups(
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = source.where(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.col("vec_id").isNotNull())
     usable = usable.withColumn("label", F.concat(F.size("v").cast("string"), F.lit(":"), F.col("label")))
-    classes = written(usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    usable = usable.withColumn("salt", salt("vec_id"))
+    classes = written(usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), salts_seen().alias("salts")))
     found = None
+    # Few different lengths occur in a table of embeddings; each has its own rotations.
     for dim in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:
-        own = classes.where(F.size("v") == dim)
-        links = _links(own, dim, least, sample, block, miss)
+        links = _links(classes.where(F.size("v") == dim), dim, least, sample, block, miss)
         found = links if found is None else found.unionByName(links)
     if found is None:
-        found = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+        found = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("mult").alias("n")).where("false")
     links = written(found)
-    mult = classes.select(F.col("rep").alias("b"), "mult")
-    both = links.union(links.select("b", "a"))
-    degree = both.toDF("a", "b").join(mult, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("mult").alias("beyond"))
+    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("beyond"))
     comp = components(classes.select(F.col("rep").alias("node")).distinct(), links).select(F.col("node").alias("rep"), "component")
     known = classes.join(degree, "rep", "left").join(comp, "rep")
-    known = written(known.select("label", "v", (F.col("mult") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), "component"))
-    members = usable.select("vec_id", "label", "v").join(known, ["label", "v"]).select("vec_id", "n_links", "component")
+    # Equal vectors find their class by salts, for which it has a row each.
+    known = written(
+        known.select("label", "v", (F.col("mult") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), "component", each_salt("salts").alias("salt"))
+    )
+    members = usable.select("vec_id", "label", "v", "salt").join(known, ["label", "v", "salt"]).select("vec_id", "n_links", "component")
     ids = members.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"), F.count("*").alias("n"))
     return source.select("vec_id").join(ids, "vec_id", "left").select(
         "vec_id",

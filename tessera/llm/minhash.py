@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, written
+from tessera.llm.common import SALTS, components, each_salt, salt, salts_seen, written
 from tessera.llm.shingles import buffers, chunks, mix, sequence_digest, shingle_hashes
 
 #: Slots of a signature; a power of two.
 SLOTS = 128
 #: Slots of a band, and bands: a pair at 0.8 shares a band but for 5 of 100,000 such pairs.
 BAND, BANDS = 5, 25
-#: Salts of a class of equal texts; they are bits of a long.
-SALTS = 60
 #: Estimates below the threshold less this are not verified; it is nearly five standard deviations.
 SLACK = 0.17
 
@@ -134,8 +132,11 @@ def _verify(size: int, num: int, den: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    pairs = pairs.select("a", "b").withColumn("salt", salt("a"))
     with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    with_a = with_a.withColumn("salt", salt("a"))
+    led = pairs.groupBy("b").agg(salts_seen().alias("salts")).join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = with_a.join(led.select("b", "tb", each_salt("salts").alias("salt")), ["b", "salt"])
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify(size, num, den), "a long, b long")
 
 
@@ -194,7 +195,8 @@ def _rest(groups: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
     )
     # The one pair of a group of two is known already.
     open_groups = whole.where("parts > 1 and n > 2").select("component", F.col("top.comp").alias("main"))
-    rows = groups.join(open_groups, "component").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows = groups.withColumn("salt", salt("node")).join(open_groups.select("component", "main", every_salt), ["component", "salt"]).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
     rows = written(rows.select("component", "main", F.col("node").alias("rep"), "comp", "text"))
     outside = F.col("comp") != F.col("main")
     size_of = F.length("text").cast("long")
@@ -203,7 +205,8 @@ def _rest(groups: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
         blocks(F.count("*"), F.sum(size_of)).alias("whole"),
         blocks(F.sum(F.when(outside, 1).otherwise(0)), F.sum(F.when(outside, size_of).otherwise(0))).alias("part"),
     )
-    rows = rows.join(counts, "component")
+    # As above, a row for each salt, so that a large group's texts are dealt to many tasks.
+    rows = rows.withColumn("salt", salt("rep")).join(counts.select("component", "whole", "part", every_salt), ["component", "salt"])
     spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["component", "i", "j", "side", "rep", "comp", "text"]
@@ -222,18 +225,16 @@ def near_groups(docs: DataFrame, size: int = 4, num: int = 80, den: int = 100, t
     nothing. Texts with den * intersection >= num * union are linked, and
     component_id is the smallest id that links reach. Rows with one id count as
     one document; a null id links with nothing, its component is null and it is
-    kept. Other columns are ignored; an empty table gives an empty result.
+    kept. A text of any length is hashed and compared whole. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     source = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"))
     sketches = written(source.mapInArrow(_sketch(size), _SKETCH))
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    salted = usable.select("doc_id", "digest", salt.alias("salt"))
-    classes = salted.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+    salted = usable.select("doc_id", "digest", salt("doc_id").alias("salt"))
+    classes = salted.groupBy("digest").agg(F.min("doc_id").alias("rep"), salts_seen().alias("salts"))
     # Members find their class by digest and salt, for which it has a row each: so a large class is dealt out.
-    spread = classes.select(
-        "digest", "rep", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1)).alias("salt")
-    )
+    spread = classes.select("digest", "rep", each_salt("salts").alias("salt"))
     member = salted.join(spread, ["digest", "salt"]).select("doc_id", "rep")
     reps = written(
         usable.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "doc_id")
@@ -243,18 +244,22 @@ def near_groups(docs: DataFrame, size: int = 4, num: int = 80, den: int = 100, t
     )
     # A class's text is that of any row of its id and word sequence.
     texts = source.where("doc_id is not null")
-    buckets = reps.select("rep", F.explode("bands").alias("k"))
+    buckets = reps.select("rep", F.explode("bands").alias("k"), salt("rep").alias("salt"))
     # The leader is the member nearest to the key by exclusive or: as good as random, and another one in each bucket.
     leaders = (
         buckets.groupBy("k")
-        .agg(F.min(F.col("rep").bitwiseXOR(F.col("k"))).alias("x"), F.count("*").alias("n"))
+        .agg(F.min(F.col("rep").bitwiseXOR(F.col("k"))).alias("x"), F.count("*").alias("n"), salts_seen().alias("salts"))
         .where("n > 1")
-        .select("k", F.col("x").bitwiseXOR(F.col("k")).alias("leader"))
+        .select("k", F.col("x").bitwiseXOR(F.col("k")).alias("leader"), each_salt("salts").alias("salt"))
     )
-    found = buckets.join(leaders, "k").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    sig = lambda name, as_: reps.select(F.col("rep").alias(name), F.col("sig").alias(as_))
+    found = buckets.join(leaders, ["k", "salt"]).where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    # A leader of many has its signature once for each salt of those it leads; so with its text below.
+    found = written(found.withColumn("salt", salt("a")))
+    own = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
+    led = found.groupBy("b").agg(salts_seen().alias("salts")).join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    led = led.select("b", "sb", each_salt("salts").alias("salt"))
     near = written(
-        found.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb")
+        found.join(own, "a").join(led, ["b", "salt"]).select("a", "b", "sa", "sb")
         .mapInArrow(_agreeing(num / den - SLACK), "a long, b long, estimate double")
     )
     # Each text is verified against the leader that looks nearest; this links most copies.

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, written
+from tessera.llm.common import each_salt, salt, salts_seen, shared_dir, written
 from tessera.llm.token_codec import open_folder
 
 #: Payloads shorter than this are never revisits.
@@ -208,57 +208,71 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, body.partition(b"\r\n\r\n")[2]
 
 
-def _write(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, numbers = TaskContext.get().partitionId(), [0]
-        names: list[str] = []
-        members: list[tuple[str, bytes]] = []
-        index: list[dict] = []
-        buffer: list[bytes] = []
-        filled = 0
-
-        def end_member() -> None:
-            nonlocal filled
-            if buffer:
-                members.append((f"archive/data-{len(members):05d}.warc.gz", b"".join(buffer)))
-                buffer.clear()
-                filled = 0
-
-        def end_package() -> None:
-            end_member()
-            if not members:
-                return
-            name = f"part-{part:06d}-{numbers[0]:04d}.wacz"
-            numbers[0] += 1
-            system, path = open_folder(folder)
+class _Packages:
+    """Packages of a task: members are written as they fill, so that one member and the package's index are in memory."""
+
+    def __init__(self, folder: str, part: int, attempt: int):
+        self.folder, self.part, self.attempt = folder, part, attempt
+        self.names: list[str] = []
+        self.buffer: list[bytes] = []
+        self.index: list[dict] = []
+        self.filled = self.members = 0
+        self.package = self.out = None
+
+    def _paths(self) -> tuple[str, str]:
+        name = f"part-{self.part:06d}-{len(self.names):04d}.wacz"
+        return name, f".{name}.{self.attempt}"
+
+    def add(self, page: int | None, record: bytes) -> None:
+        member = f"archive/data-{self.members:05d}.warc.gz"
+        self.index.append({"page": page, "member": member, "offset": self.filled, "length": len(record)})
+        self.buffer.append(record)
+        self.filled += len(record)
+        if self.filled >= MEMBER_BYTES:
+            self._end_member()
+            if self.members >= PACKAGE_MEMBERS:
+                self.end()
+
+    def _end_member(self) -> None:
+        if not self.buffer:
+            return
+        if self.package is None:
+            system, path = open_folder(self.folder)
             system.create_dir(path, recursive=True)
-            own = f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
-            with system.open_output_stream(own) as out:
-                package = PackageWriter(out)
-                for member, body in members:
-                    package.add(member, body)
-                package.add("indexes/index.jsonl", "".join(json.dumps(x) + "\n" for x in index).encode())
-                package.close()
-            system.move(own, f"{path}/{name}")
-            names.append(name)
-            members.clear()
-            index.clear()
+            self.out = system.open_output_stream(f"{path}/{self._paths()[1]}")
+            self.package = PackageWriter(self.out)
+        self.package.add(f"archive/data-{self.members:05d}.warc.gz", b"".join(self.buffer))
+        self.members, self.filled = self.members + 1, 0
+        self.buffer.clear()
+
+    def end(self) -> None:
+        """Closes the package under way; it gets its name when it is whole, so a task run twice leaves one."""
+        self._end_member()
+        if self.package is None:
+            return
+        self.package.add("indexes/index.jsonl", "".join(json.dumps(x) + "\n" for x in self.index).encode())
+        self.package.close()
+        self.out.close()
+        name, own = self._paths()
+        system, path = open_folder(self.folder)
+        system.move(f"{path}/{own}", f"{path}/{name}")
+        self.names.append(name)
+        self.index.clear()
+        self.members, self.package, self.out = 0, None, None
+
 
+def _write(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        packages = _Packages(folder, context.partitionId(), context.taskAttemptId())
         for batch in batches:
             columns = [batch.column(i) for i in range(5)]
             for i in range(batch.num_rows):
                 page, url, html, sha1, refers = (c[i].as_py() for c in columns)
                 # No time stamp, so that a task run twice writes the same bytes.
-                record = gzip.compress(warc_record(page, url, (html or "").encode(), sha1, refers), 5, mtime=0)
-                index.append({"page": page, "member": f"archive/data-{len(members):05d}.warc.gz", "offset": filled, "length": len(record)})
-                buffer.append(record)
-                filled += len(record)
-                if filled >= MEMBER_BYTES:
-                    end_member()
-                    if len(members) >= PACKAGE_MEMBERS:
-                        end_package()
-        end_package()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+                packages.add(page, gzip.compress(warc_record(page, url, (html or "").encode(), sha1, refers), 5, mtime=0))
+        packages.end()
+        yield pa.RecordBatch.from_arrays([pa.array(packages.names, pa.string())], ["name"])
 
     return run
 
@@ -311,12 +325,13 @@ def write_packages(pages: DataFrame, least: int = LEAST_REVISIT) -> tuple[str, D
         pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), html.alias("html"),
         F.sha1(html.cast("binary")).alias("sha1"), F.sha2(html, 256).alias("sha2"), F.octet_length(html).alias("n"),
     )
-    narrow = rows.where((F.col("n") >= least) & F.col("page_id").isNotNull()).select("sha1", "sha2", "n", "page_id")
-    firsts = narrow.groupBy("sha1", "sha2", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
-    # Only pages that have copies need to know of the others.
-    revisits = narrow.join(firsts.where("copies > 1"), ["sha1", "sha2", "n"]).where("page_id <> first")
-    revisits = revisits.select("page_id", "sha2", F.col("first").alias("refers_to")).distinct()
-    marked = rows.join(revisits, ["page_id", "sha2"], "left")
+    rows = rows.withColumn("salt", salt("page_id"))
+    narrow = rows.where((F.col("n") >= least) & F.col("page_id").isNotNull()).select("sha1", "sha2", "n", "page_id", "salt")
+    # A payload with copies has a row for each salt of its pages, so that many copies are dealt to many tasks.
+    firsts = narrow.groupBy("sha1", "sha2", "n").agg(F.max("page_id").alias("first"), F.min("page_id").alias("least"), salts_seen().alias("salts"))
+    firsts = firsts.where("first <> least").select("sha1", "sha2", "n", "first", each_salt("salts").alias("salt"))
+    marked = rows.join(firsts, ["sha1", "sha2", "n", "salt"], "left")
+    marked = marked.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
     files = marked.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(_write(folder), "name string")
     return folder, written(files)
 
@@ -328,7 +343,8 @@ def package_report(pages: DataFrame) -> DataFrame:
     of the full payload: a revisit's are those of the response it refers to. A
     null html is an empty payload; a null page_id is written as a response;
     rows with one page_id and payload are all responses if that id is the
-    largest. Other columns are ignored; an empty table gives an empty result.
+    largest. A page of any length is one record, read whole. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     folder, files = write_packages(pages)
     dealt = files.repartition(max(1, files.count()))
@@ -338,13 +354,17 @@ def package_report(pages: DataFrame) -> DataFrame:
             "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, named_digest string",
         )
     )
+    records = records.withColumn("salt", salt("page_id"))
+    asked = records.where("refers_to is not null").groupBy("refers_to", "named_digest").agg(salts_seen().alias("salts"))
     responses = (
         records.where("record_type = 'response' and page_id is not null")
         .select(F.col("page_id").alias("refers_to"), F.col("named_digest"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
+        .join(asked, ["refers_to", "named_digest"])
         .distinct()
+        .select("refers_to", "named_digest", "n", "d", each_salt("salts").alias("salt"))
     )
     # The digest keeps rows apart that share an id.
-    return records.join(responses, ["refers_to", "named_digest"], "left").select(
+    return records.join(responses, ["refers_to", "named_digest", "salt"], "left").select(
         "page_id",
         F.coalesce("payload_bytes", "n").alias("payload_bytes"),
         F.coalesce("payload_digest", "d").alias("payload_digest"),
