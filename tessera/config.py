@@ -28,6 +28,8 @@ class Config:
     json_retries: int = 2
     research_rounds: int = 3
     research_queries: int = 3
+    history_short: int = 2
+    history_long: int = 10
     summary_seconds: float = 300.0
     end_check_seconds: float = 60.0
 

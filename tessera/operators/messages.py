@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines_of
+from tessera.functions.text import lines_of, local_date
+from tessera.operators.split import MESSAGE, first_in_span, number, split
 
 
 def is_human(df: DataFrame) -> DataFrame:
@@ -55,3 +56,37 @@ def latest_name(names: DataFrame, key: str, name: str, seen: str, order: str) ->
     """The name that was seen last for each key; at equal times the one observed first."""
     best = F.max_by(name, F.struct(F.col(seen), -F.col(order)))
     return names.where(F.col(name).isNotNull()).groupBy(key).agg(best.alias(name))
+
+
+def message_chunks(messages: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
+    """Chunks of channels' texts: channel_id, chunk_id, text, first_message_id, first_message_date, chunk_stage.
+
+    messages(channel_id, seq, message_id, ts, author, text), as ``read_messages``
+    gives them. A channel's text is its lines "author: text", with a line for the
+    date before each line on which it changes; a message without a time has the
+    date of the one before. A chunk knows the first message that it touches.
+    """
+    own = messages.select("channel_id", "seq", "message_id", local_date(F.col("ts")).alias("date"), F.coalesce("author", F.lit("unknown")).alias("author"), "text")
+    shown = dated(own, "channel_id", ["seq"])
+    # The date stands once before a message's first line, and every line after it has the message's id.
+    parts = F.concat(
+        F.when(F.col("new_date"), F.array(F.struct(F.col("filled_date").alias("line"), F.lit(False).alias("said")))).otherwise(F.array().cast("array<struct<line:string,said:boolean>>")),
+        F.transform(lines_of(F.col("text")), lambda x: F.struct(F.concat("author", F.lit(": "), x).alias("line"), F.lit(True).alias("said"))),
+    )
+    rows = shown.where(F.size(lines_of(F.col("text"))) > 0).select("channel_id", "seq", "message_id", "filled_date", F.posexplode(parts).alias("pos", "x"))
+    w = Window.partitionBy("channel_id").orderBy("seq", "pos")
+    start = F.coalesce(F.sum(F.length("x.line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    rows = rows.select("channel_id", "seq", "pos", start.alias("start"), F.col("x.line").alias("line"), F.when(F.col("x.said"), F.struct("message_id", F.col("filled_date").alias("date"))).alias("first"))
+    texts = rows.groupBy("channel_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    chunks = split(texts, size, overlap, MESSAGE).withColumnsRenamed({"chunk_pos": "span_id", "chunk_start": "start", "chunk_end": "end"})
+    found = first_in_span(chunks, rows.select("channel_id", "start", "first"), "channel_id", "first")
+    return number(found, ["channel_id"], ["span_id"]).select(
+        "channel_id", "chunk_id", "text", F.col("first.message_id").alias("first_message_id"), F.col("first.date").alias("first_message_date"),
+        F.lit("first_recursive").alias("chunk_stage"),
+    )
+
+
+def joined_lines(rows: DataFrame, keys: list[str], order: list[str], line: str = "line", between: str = "\n") -> DataFrame:
+    """The lines of each key in order, as one text: keys, text."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["_line"]), between).alias("text"))

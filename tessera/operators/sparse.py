@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators.ranking import merge
+from tessera.session import shared_folder
 
 #: Terms in more than half of the documents get this share of the mean weight instead of a negative one.
 FLOOR = 0.25
@@ -22,15 +25,36 @@ class SparseIndex:
     stats: DataFrame
     k1: float = 1.5
     b: float = 0.75
+    #: Works out terms from postings.
+    count: Callable[[DataFrame], DataFrame] | None = None
 
     def save(self, path: str) -> None:
-        """Parquet tables; postings are sorted by term, so that a query's terms prune row groups."""
-        spread = self.postings.repartitionByRange(F.col("term")).sortWithinPartitions("term", "doc_id")
+        """Parquet tables; postings are sorted by term, so that a query's terms prune row groups.
+
+        The ranges are of term and document, so a frequent term's postings lie in
+        several files. Terms are counted on the saved postings, so the texts are
+        read twice in all: for the postings and for the statistics.
+        """
+        spread = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         spread.write.mode("overwrite").parquet(f"{path}/postings")
+        if self.count:
+            saved = spread.sparkSession.read.parquet(f"{path}/postings")
+            self.terms = self.count(saved)
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         params = {"version": 1, "k1": self.k1, "b": self.b}
         self.stats.select("n", "avg_dl", *[F.lit(v).alias(k) for k, v in params.items()]).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
+    def kept(self) -> SparseIndex:
+        """The index saved in the folder that executors share, and read from there: later searches build nothing anew."""
+        spark = self.postings.sparkSession
+        path = shared_folder(spark)
+        self.save(path)
+        return SparseIndex.load(spark, path, self.k1, self.b)
+
+    def with_parameters(self, k1: float, b: float) -> SparseIndex:
+        """The same tables scored with other parameters, which the tables don't depend on."""
+        return SparseIndex(self.postings, self.terms, self.stats, k1, b)
+
     @staticmethod
     def load(spark, path: str, k1: float, b: float) -> SparseIndex | None:
         """A saved index, or None if its version or parameters differ."""
@@ -50,14 +74,39 @@ def build_index(docs: DataFrame, k1: float = 1.5, b: float = 0.75, terms=tokens)
         .groupBy("term", "doc_id")
         .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     )
+    count = lambda p: term_weights(p, stats)
+    return SparseIndex(postings, count(postings), stats, k1, b, count)
+
+
+def term_weights(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf): a negative weight becomes a share of the mean over all terms, negative ones included."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # One row each: the number of documents, and the mean.
     raw = df.crossJoin(F.broadcast(stats.select("n"))).select(
         "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
-    # One row: the mean over all terms, negative ones included.
     mean = raw.agg((F.avg("raw") * FLOOR).alias("floor"))
-    weighed = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, weighed, stats, k1, b)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+
+
+def staged_terms(text: Column, stage: Column) -> Column:
+    """Tokens of a chunk: those of the sparse stage are analysed already and stand between spaces; others are analysed."""
+    ready = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+    return F.when(F.coalesce(stage == "second_recursive_sparse", F.lit(False)), ready).otherwise(tokens(text))
+
+
+def both_searches(index: SparseIndex, queries: DataFrame, changed: DataFrame, k: int = 20, original: bool = True) -> DataFrame:
+    """Hits of the questions and of what a model made of them: query_id, doc_id, rank.
+
+    changed(query_id, text). The second list follows the first; it is sought
+    where it is not empty and differs from the question, or where the question
+    itself is not (``original`` is off).
+    """
+    first = queries.select("query_id", F.col("text").alias("_own"))
+    other = changed.join(first, "query_id").where("trim(text) <> ''")
+    other = (other.where("text <> _own") if original else other).select("query_id", "text")
+    made = search(index, query_terms(other), k)
+    return merge(search(index, query_terms(queries), k), made) if original else merge(made)
 
 
 def query_terms(queries: DataFrame, first: int | None = None) -> DataFrame:
@@ -85,4 +134,11 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search(index: SparseIndex, terms: DataFrame, k: int = 20) -> DataFrame:
+    """The best k documents of each query.
+
+    The terms of a batch of queries are few beside the postings; where Spark
+    finds them small enough they are broadcast and no posting moves, else a
+    frequent term's postings are split by adaptive execution. Each task keeps its
+    own best k of a query before they meet.
+    """
     return top(score(index, terms), k)

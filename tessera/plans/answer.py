@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions.parsing import answer_payload
 from tessera.operators.ranking import cited
-from tessera.plans.models import TextGenerator, generate_with
+from tessera.plans.models import Router, TextGenerator, generate_with
+from tessera.session import kept
 
 
 def ask(prompts: DataFrame, model: TextGenerator, config: Config = Config()) -> DataFrame:
@@ -19,7 +22,8 @@ def ask(prompts: DataFrame, model: TextGenerator, config: Config = Config()) ->
     for _ in range(config.json_retries + 1):
         replies = generate_with(todo, model, F.col("prompt"), 0)
         # A reply is written before it is looked at, so that no question is put to the model twice.
-        read = replies.withColumn("payload", answer_payload(F.col("reply"), F.col("n_sources"))).drop("reply").persist()
+        read = replies.withColumn("payload", answer_payload(F.col("reply"), F.col("n_sources"))).drop("reply")
+        read = kept(read)
         good = read.where("payload is not null")
         done = good if done is None else done.unionByName(good)
         todo = read.where("payload is null").drop("payload")
@@ -41,7 +45,7 @@ def answer(
     ranked = search(questions.select("query_id", "text"))
     seen = questions.select("query_id", "text")
     for turn in range(config.research_rounds + 1):
-        replies = ask(prompt(questions, ranked), model, config).persist()
+        replies = kept(ask(prompt(questions, ranked), model, config))
         more = replies.select("query_id", F.explode("payload.follow_up_queries").alias("text"))
         more = more.join(seen, ["query_id", "text"], "left_anti")
         if turn == config.research_rounds or more.isEmpty():
@@ -56,3 +60,64 @@ def answer(
     return replies.select("query_id", F.col("payload.answer").alias("answer")).join(sources, "query_id", "left").select(
         "query_id", "answer", F.coalesce(F.transform("s", lambda x: x["doc_id"]), F.array().cast("array<bigint>")).alias("sources")
     )
+
+
+def routed(questions: DataFrame, router: Router) -> DataFrame:
+    """Adds retrieve: whether the router's tools for a question hold the search; where it fails, retrieval is chosen."""
+
+    def needs(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> bool:
+            try:
+                return "search" in router.tools(text)
+            except Exception:  # noqa: BLE001  a model's failure is no reason not to answer
+                return True
+
+        return texts.map(one)
+
+    return questions.withColumn("retrieve", F.pandas_udf(needs, "boolean")(F.coalesce("text", F.lit(""))))
+
+
+def answer_plain(questions: DataFrame, model: TextGenerator, history: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """Answers without a search: query_id, answer, sources (none). history(query_id, history), where given, stands before the question."""
+    asked = questions.select("query_id", "text")
+    if history is not None:
+        asked = asked.join(history, "query_id", "left")
+        asked = asked.withColumn("text", F.concat_ws("\n\n", F.nullif("history", F.lit("")), "text"))
+    replies = kept(ask(asked.select("query_id", F.col("text").alias("prompt"), F.lit(0).alias("n_sources")), model, config))
+    return replies.select("query_id", F.col("payload.answer").alias("answer"), F.array().cast("array<bigint>").alias("sources"))
+
+
+def answer_all(
+    questions: DataFrame, router: Router, search: Callable[[DataFrame], DataFrame], prompt: Callable[[DataFrame, DataFrame], DataFrame],
+    model: TextGenerator, history: Callable[[DataFrame, int], DataFrame] | None = None, config: Config = Config(),
+) -> DataFrame:
+    """Answers of all questions, with a search where the router wants one: query_id, answer, sources, retrieved.
+
+    ``history(questions, n)`` gives (query_id, history), the last n exchanges. A
+    reply without a search that needs more memory is asked for once more with
+    all that is remembered.
+    """
+    way = kept(routed(questions, router))
+    found = answer(way.where("retrieve").drop("retrieve"), search, prompt, model, config)
+    rest = way.where("not retrieve").select("query_id", "text")
+    if history is None:
+        plain = answer_plain(rest, model, None, config)
+    else:
+        asked = rest.join(history(rest, config.history_short), "query_id", "left")
+        asked = asked.select("query_id", F.concat_ws("\n\n", F.nullif("history", F.lit("")), "text").alias("prompt"), F.lit(0).alias("n_sources"))
+        first = kept(ask(asked, model, config))
+        more = F.coalesce(F.col("payload.needs_additional_memory"), F.lit(False))
+        again = rest.join(first.where(more).select("query_id"), "query_id", "left_semi")
+        plain = first.where(~more).select("query_id", F.col("payload.answer").alias("answer"), F.array().cast("array<bigint>").alias("sources"))
+        plain = plain.unionByName(answer_plain(again, model, history(again, config.history_long), config))
+    return found.withColumn("retrieved", F.lit(True)).unionByName(plain.withColumn("retrieved", F.lit(False)))
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """Jobs started within carry ``tag``; ``spark.interruptTag(tag)`` from elsewhere ends them."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)

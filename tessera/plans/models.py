@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import keyword_query
+
 
 class TextGenerator(Protocol):
     def generate(self, prompt: str) -> str: ...
@@ -120,3 +122,44 @@ def propositions(second: DataFrame, model: TextGenerator) -> DataFrame:
     out = out.withColumn("parent_chunk_id", F.col("chunk_id")).drop("text")
     keep = [c for c in out.columns if c != "reply"]
     return out.select(*keep, F.posexplode(chunk_list(F.col("reply"))).alias("pos", "text")).withColumn("chunk_stage", F.lit("proposition"))
+
+
+def score_with(ranked: DataFrame, scorer: Scorer, query: str = "query_text", text: str = "text") -> DataFrame:
+    """Adds model_score: the scorer's, clamped to 0..1; what is no number, and all where it fails, is 0, so that the order stays."""
+
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = pd.Series(0.0, index=texts.index)
+        for q, own in texts.groupby(queries, dropna=False):
+            try:
+                found = pd.to_numeric(pd.Series(scorer.score(q or "", own.fillna("").tolist()), index=own.index), errors="coerce")
+            except Exception:  # noqa: BLE001  a model's failure leaves the order
+                continue
+            out.loc[own.index] = found.fillna(0.0).clip(0.0, 1.0)
+        return out
+
+    return ranked.withColumn("model_score", F.pandas_udf(run, "double")(F.col(query), F.col(text)))
+
+
+def keywords_with(queries: DataFrame, model: TextGenerator) -> DataFrame:
+    """What a model makes of questions for the sparse search: query_id, text; an empty reply leaves nothing to seek."""
+    prompt = F.concat(F.lit("List the keywords of this question, separated by spaces.\n\n"), "text")
+    replies = generate_with(queries, model, prompt)
+    return replies.select("query_id", keyword_query(F.coalesce("reply", F.lit(""))).alias("text")).where("text <> ''")
+
+
+def metrics_with(records: DataFrame, metrics: dict[str, Callable[[str, str, list[str], list[str]], float]]) -> DataFrame:
+    """Adds a column for each metric of (question, answer, contexts, ground_truths); one that fails on a record is null there."""
+
+    def column(metric):
+        def run(q: pd.Series, a: pd.Series, c: pd.Series, g: pd.Series) -> pd.Series:
+            def one(*x):
+                try:
+                    return float(metric(*x))
+                except Exception:  # noqa: BLE001  a metric may ask a model
+                    return None
+
+            return pd.Series([one(*x) for x in zip(q, a, map(list, c), map(list, g))], dtype="float64")
+
+        return F.pandas_udf(run, "double")("question", "answer", "contexts", "ground_truths")
+
+    return records.withColumns({name: column(metric) for name, metric in metrics.items()})

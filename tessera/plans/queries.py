@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.parsing import json_object
-from tessera.operators.clusters import buckets, level
+from tessera.functions.settings import question_of
+from tessera.operators.clusters import level
 from tessera.operators.dense import nearest
 from tessera.operators.folds import common_or_mixed, metric_means, pack_tokens, pending
-from tessera.operators.messages import dated, gap_sessions, latest_name, lines
-from tessera.operators.parents import expand, fresh, stale
-from tessera.operators.ranking import cap_parents, diversify, last_n, merge, overlap_score, quota_merge, rerank
-from tessera.operators.sparse import build_index, query_terms, search
+from tessera.operators.filters import allowed, best_score, counters, of_kinds, one_export, with_cached_scores
+from tessera.operators.messages import dated, gap_sessions, joined_lines, latest_name, lines, message_chunks
+from tessera.operators.parents import append_parents, expand, first_of, fresh, newest, restore, root_parent, stale
+from tessera.operators.ranking import cap_parents, cited, diversify, last_n, merge, overlap_score, quota_merge, rerank
+from tessera.operators.sparse import SparseIndex, both_searches, build_index, query_terms, search, staged_terms
 from tessera.operators.split import first_in_span, first_level, second_level
-from tessera.plans.retrieve import retrieve, source_url
+from tessera.plans.retrieve import context, embedding_text, retrieve, source_url, with_parents
 from tessera.sources.web import html_text
+from tessera.streaming.transcripts import blocks, cut, due_once_a_day, final_jobs, in_schedule, meeting_keys
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +31,7 @@ def _docs(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    """Each benchmark item is a question. The queries with SQL take its first five distinct tokens, as their SQL does."""
+    """Each benchmark item is a question, with its whole text."""
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
@@ -41,16 +44,28 @@ def _vector_queries(spark, sf_dir):
     return _vectors(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding", "label")
 
 
+#: Saved indexes of an application's tables.
+_SAVED: dict[tuple[str, str], SparseIndex] = {}
+
+
+def _index(spark, sf_dir, k1=1.5, b=0.75):
+    """The index of documents, built and saved once by an application and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        _SAVED[key] = build_index(_docs(spark, sf_dir)).kept()
+    return _SAVED[key].with_parameters(k1, b)
+
+
 def _bm25(spark, sf_dir, k1=1.5, b=0.75, k=20):
-    return search(build_index(_docs(spark, sf_dir), k1, b), query_terms(_questions(spark, sf_dir), 5), k)
+    return search(_index(spark, sf_dir, k1, b), query_terms(_questions(spark, sf_dir)), k)
 
 
 def term_document_frequency(spark, sf_dir):
-    return build_index(_docs(spark, sf_dir)).terms.select("term", "df")
+    return _index(spark, sf_dir).terms.select("term", "df")
 
 
 def bm25_idf_floor(spark, sf_dir):
-    return build_index(_docs(spark, sf_dir)).terms.select("term", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).terms.select("term", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf_dir):
@@ -216,7 +231,7 @@ def raptor_level(spark, sf_dir):
     rows = _vectors(spark, sf_dir).select(F.col("doc_id").alias("id"), "embedding").join(
         _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), T.token_count(F.col("text")).alias("tokens")), "id"
     )
-    return level(buckets(rows), "bucket")
+    return level(rows)
 
 
 def keyword_normalize(spark, sf_dir):
@@ -229,10 +244,218 @@ def retrieve_hybrid(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("parent"))
     chunks = docs.join(_vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id", "left")
     queries = _questions(spark, sf_dir).join(_item_vectors(spark, sf_dir), "query_id", "left")
-    return retrieve(queries, chunks, build_index(docs))
+    return retrieve(queries, chunks, _index(spark, sf_dir))
+
+
+def _md5(text):
+    return F.md5(text.cast("binary"))
+
+
+def best_score_of_users(spark, sf_dir):
+    return best_score(_table(spark, sf_dir, "events").select("user_id", "event_type", F.round("value", 6).alias("score")), ["user_id", "event_type"])
+
+
+def source_counters(spark, sf_dir):
+    return counters(_table(spark, sf_dir, "documents"), sources="source", langs="lang")
+
+
+def allow_list(spark, sf_dir):
+    readable = _table(spark, sf_dir, "labels").where("toxic = 0")
+    return allowed(_table(spark, sf_dir, "documents").select("doc_id", "lang"), ["en", "de"], "lang", readable, "doc_id")
+
+
+def mime_filter(spark, sf_dir):
+    lang, base = F.col("lang"), "application/vnd.google-apps."
+    mime = F.when(lang == "en", base + "document").when(lang == "fr", base + "spreadsheet").when(lang == "de", "image/png")
+    return of_kinds(_table(spark, sf_dir, "documents").select("doc_id", mime.alias("mime")))
+
+
+def score_cache(spark, sf_dir):
+    cache = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
+    pairs = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    found = with_cached_scores(pairs, cache, ["doc_id"], F.round(F.least(F.lit(1.0), F.col("n_chars") / 1000), 6))
+    return found.select("doc_id", "score", "cached")
+
+
+def restored_text(spark, sf_dir):
+    hits = _docs(spark, sf_dir).withColumn("chunk_id", F.col("doc_id") % 60)
+    originals = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
+    out = restore(hits, originals, ["chunk_id"], F.col("doc_id") % 2 == 0, ["text"])
+    return out.select("doc_id", _md5(F.col("text")).alias("text_md5"))
+
+
+def root_parents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    second = docs.select("source", F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 10).alias("parent_chunk_id"))
+    stage = F.when(F.col("doc_id") % 2 == 0, F.lit("proposition")).otherwise(F.lit("second_recursive"))
+    hits = docs.select("doc_id", "source", stage.alias("chunk_stage"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).otherwise(F.col("doc_id") - 1).alias("parent_chunk_id"))
+    return root_parent(hits, second).select("doc_id", "parent_id")
+
+
+def first_match(spark, sf_dir):
+    return first_of(_table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["n_chars", "doc_id"])
+
+
+def cited_sources(spark, sf_dir):
+    ranked = dense_topk(spark, sf_dir)
+    numbers = ranked.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(n) for n in (7, 3, 12, 3, 15, 99)])).alias("source"))
+    return cited(ranked, numbers).select("query_id", "doc_id", "place")
+
+
+def parents_appended(spark, sf_dir):
+    ranked = dense_topk(spark, sf_dir)
+    return append_parents(ranked.where("rank <= 5"), ranked.select("query_id", (F.col("doc_id") % 40).alias("doc_id"), "rank"))
+
+
+def newest_files(spark, sf_dir):
+    files = _table(spark, sf_dir, "events").select(
+        F.concat("event_type", F.lit("_"), (F.col("user_id") % 10).cast("string")).alias("name"), F.date_trunc("hour", "ts").alias("mtime"), F.col("event_id").alias("path")
+    )
+    return newest(files).select("name", "path")
+
+
+def left_over_exports(spark, sf_dir):
+    files = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("path"), (F.length("source") * 10).cast("long").alias("keep"))
+    return one_export(files.withColumn("path", F.format_string("%09d", "path")).withColumn("keep", F.format_string("%09d", "keep")), "source", "keep")[1].select("source", "path")
+
+
+def event_blocks(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.abs("value"), 3).alias("duration_seconds"))
+    found = blocks(events, gap="1 hour")
+    return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", F.round("seconds", 3).alias("seconds"))
+
+
+def turn_history(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("line"))
+    return joined_lines(turns, ["conv_id"], ["turn"]).select("conv_id", _md5(F.col("text")).alias("text_md5"))
+
+
+def event_clock(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", T.clock(F.col("event_id") * 7.5).alias("at"))
+
+
+def schedule_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "events").where(in_schedule(F.col("ts").cast("timestamp"), [0, 2, 4], 600, 180)).select("event_id")
+
+
+def daily_trigger(spark, sf_dir):
+    checks = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"))
+    return due_once_a_day(checks, [0, 1, 2, 3, 4], 540).select("day", F.unix_micros("at").alias("at"))
+
+
+def _meeting_dates(spark, sf_dir):
+    date = F.format_string("2024-01-%02d", F.col("conv_id") % 28 + 1)
+    return _table(spark, sf_dir, "conversations").select("conv_id", date.alias("date")).distinct()
+
+
+def meeting_numbers(spark, sf_dir):
+    own = _meeting_dates(spark, sf_dir)
+    taken = own.where("conv_id % 4 = 0").select("date", (F.col("conv_id") % 5).alias("number"))
+    return meeting_keys(own.where("conv_id % 4 > 0").select(F.col("conv_id").alias("meeting_id"), "date"), taken).select("meeting_id", "meeting_key")
+
+
+def window_cut(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 2 == 0, F.lit("audio")).otherwise(F.lit("chat"))
+    events = _table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), (F.col("event_id") % 1000).cast("double").alias("offset_seconds"))
+    own, waiting = cut(events, 200.0, 600.0)
+    return own.select("event_id", "offset_seconds", F.lit(False).alias("waits")).unionByName(waiting.select("event_id", "offset_seconds", F.lit(True).alias("waits")))
+
+
+def end_markers(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    meetings = turns.groupBy(F.col("conv_id").alias("meeting_key")).agg(F.max("turn").cast("int").alias("last_index"))
+    last = turns.where("turn = 5").select(F.col("conv_id").alias("meeting_key"), F.col("turn").cast("int").alias("transcript_index"), "text", F.lit(2.5).alias("seconds"))
+    return final_jobs(meetings, last)
+
+
+def staged_terms_of_documents(spark, sf_dir):
+    stage = F.when(F.col("doc_id") % 2 == 0, F.lit("second_recursive_sparse"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(staged_terms(F.col("text"), stage)).cast("long").alias("n"))
+
+
+def transformed_search(spark, sf_dir):
+    """Each question, and as what a model made of it the text of the item after it."""
+    asked = _questions(spark, sf_dir)
+    changed = asked.select((F.col("query_id") - 1).alias("query_id"), "text")
+    return both_searches(_index(spark, sf_dir), asked, changed)
+
+
+def asked_messages(spark, sf_dir):
+    turn, text = F.col("turn"), F.col("text")
+    message = F.when(turn % 3 == 0, F.concat(F.lit("<@!42> "), text)).when(turn % 3 == 1, F.concat(F.lit("!ask "), text)).otherwise(text)
+    asked = question_of(message, F.lit("42"), F.lit("!ask"), F.col("conv_id") % 2 == 0)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", asked.alias("question")).where("question is not null")
+
+
+def _with_pages(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return _table(spark, sf_dir, "documents").join(pages, "doc_id", "left")
+
+
+def context_lines(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("vc", "blog", "messages", "docs")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    lang = F.col("lang")
+    shown = context(F.col("text"), kind, F.col("url"), F.col("source"), F.col("source"), lang, lang)
+    return _with_pages(spark, sf_dir).select("doc_id", _md5(shown).alias("text_md5"))
+
+
+def embedding_lines(spark, sf_dir):
+    shown = embedding_text(F.col("text"), [("source", F.col("source")), ("url", F.col("url"))])
+    return _with_pages(spark, sf_dir).select("doc_id", _md5(shown).alias("text_md5"))
+
+
+def chat_chunks(spark, sf_dir):
+    """Conversations as channels: a message every seven hours, by its role, cut into chunks with their first message and date."""
+    turns = _table(spark, sf_dir, "conversations")
+    hours = (F.col("conv_id") * 24 + F.col("turn") * 7) * 3600
+    return message_chunks(
+        turns.select(
+            F.col("conv_id").alias("channel_id"), F.col("turn").alias("seq"), F.col("turn").cast("string").alias("message_id"),
+            F.when(F.col("turn") % 3 < 2, F.timestamp_seconds(hours)).alias("ts"), F.col("role").alias("author"), "text",
+        ), 300, 50,
+    )
+
+
+def parents_of_hits(spark, sf_dir):
+    """Each user question of a conversation finds the second-level chunks after it; their first-level chunks follow."""
+    docs = _table(spark, sf_dir, "documents").where("n_chars < 4000")
+    first = first_level(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "source")
+    second = second_level(first.withColumnRenamed("source", "doc_id")).withColumnRenamed("doc_id", "source")
+    number = lambda kind: F.xxhash64(F.lit(kind), "source", "chunk_id")
+    chunks = first.select(number("1").alias("doc_id"), "source", "chunk_stage", "chunk_id", F.lit(None).cast("long").alias("parent_chunk_id"), "text")
+    chunks = chunks.unionByName(second.select(number("2").alias("doc_id"), "source", "chunk_stage", "chunk_id", "parent_chunk_id", "text"))
+    hits = second.where("chunk_id < 3").select(F.col("source").alias("query_id"), number("2").alias("doc_id"), (F.col("chunk_id") + 1).cast("int").alias("rank"))
+    return with_parents(hits, chunks).select("query_id", "rank", _md5(F.col("text")).alias("text_md5"))
 
 
 QUERIES = {
+    "best_score": best_score_of_users,
+    "source_counters": source_counters,
+    "allow_list": allow_list,
+    "mime_filter": mime_filter,
+    "score_cache": score_cache,
+    "restored_text": restored_text,
+    "root_parents": root_parents,
+    "first_match": first_match,
+    "cited_sources": cited_sources,
+    "parents_appended": parents_appended,
+    "newest_files": newest_files,
+    "left_over_exports": left_over_exports,
+    "event_blocks": event_blocks,
+    "turn_history": turn_history,
+    "event_clock": event_clock,
+    "schedule_filter": schedule_filter,
+    "daily_trigger": daily_trigger,
+    "meeting_numbers": meeting_numbers,
+    "window_cut": window_cut,
+    "end_markers": end_markers,
+    "staged_terms": staged_terms_of_documents,
+    "transformed_search": transformed_search,
+    "asked_messages": asked_messages,
+    "context_lines": context_lines,
+    "embedding_lines": embedding_lines,
+    "chat_chunks": chat_chunks,
+    "parents_of_hits": parents_of_hits,
     "term_document_frequency": term_document_frequency,
     "bm25_idf_floor": bm25_idf_floor,
     "bm25_topk": bm25_topk,
@@ -271,22 +494,20 @@ QUERIES = {
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+')"
 _INDEX = rf"""
-a AS (SELECT doc_id, {_TOK} AS w FROM documents),
-s AS (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM a),
-p AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM a) GROUP BY term, doc_id),
-f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
-t AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM r) ELSE raw END AS idf FROM r)"""
+a AS MATERIALIZED (SELECT doc_id, {_TOK} AS w FROM documents),
+s AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM a),
+p AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM a) GROUP BY term, doc_id),
+f AS MATERIALIZED (SELECT term, count(*) AS df FROM p GROUP BY term),
+r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
+t AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM r) ELSE raw END AS idf FROM r)"""
 _ASKED = rf"""
-qw AS (SELECT item_id AS query_id, unnest({_TOK}) AS term, generate_subscripts({_TOK}, 1) AS pos FROM benchmark),
-qd AS (SELECT query_id, term, min(pos) AS pos FROM qw GROUP BY query_id, term),
-q AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS i FROM qd) WHERE i <= 5)"""
+q AS MATERIALIZED (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY query_id, term)"""
 
 
-def _found(name: str, k1: float = 1.5, b: float = 0.75) -> str:
+def _found(name: str, k1: float = 1.5, b: float = 0.75, asked: str = "q") -> str:
     return f"""
-{name}_s AS (SELECT query_id, doc_id, round(sum(idf * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avg_dl))), 6) AS score
-  FROM q JOIN t USING (term) JOIN p USING (term), s WHERE idf <> 0 GROUP BY query_id, doc_id),
+{name}_s AS MATERIALIZED (SELECT query_id, doc_id, round(sum(times * idf * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avg_dl))), 6) AS score
+  FROM {asked} JOIN t USING (term) JOIN p USING (term), s WHERE idf <> 0 GROUP BY query_id, doc_id),
 {name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
   FROM {name}_s WHERE score > 0) WHERE rank <= 20)"""
 
@@ -308,7 +529,79 @@ ln AS (SELECT conv_id, turn, row_number() OVER w - 1 AS line_no,
   CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, line
   FROM l1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, pos))"""
 
+_PAGED = "FROM documents LEFT JOIN pages ON page_id = doc_id"
 SQL = {
+    "best_score": "SELECT user_id, event_type, max(round(value, 6)) AS score FROM events GROUP BY user_id, event_type",
+    "source_counters": "SELECT count(*) AS rows, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents",
+    "allow_list": "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)",
+    "mime_filter": """
+SELECT doc_id, 'application/vnd.google-apps.' || CASE lang WHEN 'en' THEN 'document' ELSE 'spreadsheet' END AS mime FROM documents WHERE lang IN ('en', 'fr')""",
+    "score_cache": """
+SELECT d.doc_id, coalesce(CAST(max(quality) AS DOUBLE), round(least(1.0, any_value(n_chars) / 1000), 6)) AS score, max(quality) IS NOT NULL AS cached
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id""",
+    "restored_text": """
+SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 AND b.text IS NOT NULL THEN b.text ELSE d.text END) AS text_md5
+FROM documents d LEFT JOIN (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id) b ON item_id = doc_id % 60""",
+    "root_parents": """
+WITH h AS (SELECT doc_id, source, CASE WHEN doc_id % 3 > 0 THEN doc_id ELSE doc_id - 1 END AS p FROM documents)
+SELECT h.doc_id, CASE WHEN h.doc_id % 2 = 0 THEN s.doc_id % 10 ELSE p END AS parent_id FROM h LEFT JOIN documents s ON s.source = h.source AND s.doc_id = p""",
+    "first_match": """
+SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents) WHERE i = 1""",
+    "cited_sources": f"""WITH {_near(_FIFTIETH)},
+c AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INTEGER) AS place FROM d WHERE rank IN (3, 7, 12, 15))
+SELECT * FROM c WHERE place <= 3""",
+    "parents_appended": f"""WITH {_near(_FIFTIETH)},
+u AS (SELECT query_id, doc_id, 0 AS l, rank AS pos FROM d WHERE rank <= 5 UNION ALL SELECT query_id, doc_id % 40, 1, -rank FROM d),
+o AS (SELECT query_id, doc_id, min((l, pos)) AS k FROM u GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k) AS INTEGER) AS rank FROM o""",
+    "newest_files": """
+WITH f AS (SELECT event_type || '_' || (user_id % 10) AS name, date_trunc('hour', ts) AS m, event_id AS path FROM events)
+SELECT name, path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY m DESC, path) AS i FROM f) WHERE i = 1""",
+    "left_over_exports": """
+WITH f AS (SELECT source, printf('%09d', doc_id) AS path, printf('%09d', length(source) * 10) AS keep FROM documents)
+SELECT source, path FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path <> keep, path) AS i FROM f) WHERE i > 1""",
+    "event_blocks": """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, round(abs(value), 3) AS v FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS b FROM g)
+SELECT user_id, min(t) AS start, max(t) + 3600000000 AS "end", count(*) AS n, round(sum(v), 3) AS seconds FROM s GROUP BY user_id, b""",
+    "turn_history": "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id",
+    "event_clock": """
+WITH s AS (SELECT event_id, CAST(floor(event_id * 7.5) AS BIGINT) AS s FROM events)
+SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS at FROM s""",
+    "schedule_filter": """
+WITH l AS (SELECT event_id, ts + INTERVAL 9 HOUR AS l FROM events)
+SELECT event_id FROM l WHERE isodow(l) IN (1, 3, 5) AND hour(l) * 60 + minute(l) BETWEEN 600 AND 780""",
+    "daily_trigger": """
+WITH l AS (SELECT ts, ts + INTERVAL 9 HOUR AS l FROM events)
+SELECT strftime(l, '%Y-%m-%d') AS day, epoch_us(min(ts)) AS at FROM l WHERE isodow(l) <= 5 AND hour(l) * 60 + minute(l) >= 540 GROUP BY strftime(l, '%Y-%m-%d')""",
+    "meeting_numbers": """
+WITH o AS (SELECT DISTINCT conv_id, printf('2024-01-%02d', conv_id % 28 + 1) AS date FROM conversations),
+u AS (SELECT date, max(conv_id % 5) AS used FROM o WHERE conv_id % 4 = 0 GROUP BY date)
+SELECT conv_id AS meeting_id, o.date || '_' || printf('%02d', coalesce(used, 0) + row_number() OVER (PARTITION BY o.date ORDER BY conv_id)) AS meeting_key
+FROM o LEFT JOIN u ON o.date = u.date WHERE conv_id % 4 > 0""",
+    "window_cut": """
+WITH e AS (SELECT event_id, CAST(event_id % 1000 AS DOUBLE) AS o FROM events)
+SELECT event_id, CASE WHEN o > 600 THEN o ELSE greatest(o, 200.0) END AS offset_seconds, o > 600 AS waits FROM e WHERE o > 600 OR o >= 200 OR event_id % 2 = 1""",
+    "end_markers": """
+WITH m AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, turn, text FROM conversations WHERE turn = 5)
+SELECT m.conv_id AS meeting_key, CAST(coalesce(turn, last + 1) AS INTEGER) AS transcript_index, coalesce(text, '') AS text,
+  CASE WHEN turn IS NULL THEN 0.0::DOUBLE ELSE 2.5::DOUBLE END AS seconds, true AS is_final, turn IS NULL AS is_marker FROM m LEFT JOIN t ON m.conv_id = t.conv_id""",
+    "staged_terms": rf"""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) ELSE len({_TOK}) END AS n FROM documents""",
+    "transformed_search": f"""WITH {_INDEX},{_ASKED},
+q2 AS MATERIALIZED (SELECT q.query_id - 1 AS query_id, term, times FROM q JOIN benchmark n ON n.item_id = q.query_id JOIN benchmark b ON b.item_id = q.query_id - 1 WHERE n.text <> b.text),
+{_found('h')},{_found('g', asked='q2')},
+u AS (SELECT query_id, doc_id, 0 AS l, rank FROM h UNION ALL SELECT query_id, doc_id, 1, rank FROM g),
+o AS (SELECT query_id, doc_id, min((l, rank)) AS k FROM u GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k) AS INTEGER) AS rank FROM o""",
+    "asked_messages": """
+SELECT conv_id, turn, trim(text, ' ') AS question FROM conversations WHERE trim(text, ' ') <> '' AND (turn % 3 < 2 OR conv_id % 2 = 0)""",
+    "context_lines": f"""
+SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN 'meeting: ' || source WHEN 1 THEN 'article: ' || source || ' ' || lang
+  WHEN 2 THEN 'channel: ' || lang || ' ' || lang ELSE 'path: ' || coalesce(url, 'unknown') END || chr(10) || text) AS text_md5 {_PAGED}""",
+    "embedding_lines": f"""
+SELECT doc_id, md5(trim(text, ' ') || chr(10) || 'source: ' || source || CASE WHEN url <> '' THEN chr(10) || 'url: ' || url ELSE '' END) AS text_md5 {_PAGED}""",
     "term_document_frequency": f"WITH {_INDEX} SELECT term, df FROM t",
     "bm25_idf_floor": f"WITH {_INDEX} SELECT term, round(idf, 6) AS idf FROM t",
     "bm25_topk": f"WITH {_INDEX},{_ASKED},{_found('h')} SELECT query_id, doc_id, score, rank FROM h",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 #: Fields of a message; ids are numbers that grow with time.
 SCHEMA = "channel_id string, message_id long, ts string, author_id string, author_name string, message_type string, is_bot boolean, text string"
@@ -25,39 +25,55 @@ class ChatSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _ChatReader(self.options)
 
 
-class _ChatReader(SimpleDataSourceStreamReader):
+class _Channel(InputPartition):
+    def __init__(self, channel: str, after: int, until: int):
+        self.channel, self.after, self.until = channel, after, until
+
+
+class _ChatReader(DataSourceStreamReader):
+    """A partition for each channel: the driver asks only for the last ids, tasks fetch the messages."""
+
     def __init__(self, options):
-        module, _, name = options["client"].partition(":")
-        self.client = getattr(importlib.import_module(module), name)
-        self.channels, self.batch = options["channels"].split(","), int(options.get("batch", "500"))
+        self.name, self.channels, self.batch = options["client"], options["channels"].split(","), int(options.get("batch", "500"))
+        self.reached: dict[str, int] = {}
+
+    def _client(self):
+        module, _, name = self.name.partition(":")
+        return getattr(importlib.import_module(module), name)
 
     def initialOffset(self) -> dict:
         return {c: 0 for c in self.channels}
 
-    def _rows(self, channel: str, after: int, limit: int):
-        for m in self.client(channel, after, limit):
-            yield (
-                channel, int(m["message_id"]), m.get("ts"), m.get("author_id"), m.get("author_name"), m.get("message_type", "default"),
-                bool(m.get("is_bot", False)), m.get("text"),
-            )
-
-    def read(self, start: dict):
-        rows, end = [], dict(start)
+    def latestOffset(self) -> dict:
+        # The last id of the next messages of each channel, a batch at the most beyond what was reached.
+        client = self._client()
         for c in self.channels:
-            own = list(self._rows(c, start.get(c, 0), self.batch))
-            rows += own
-            end[c] = max([r[1] for r in own], default=start.get(c, 0))
-        return iter(rows), end
+            after = self.reached.get(c, 0)
+            self.reached[c] = max([int(m["message_id"]) for m in client(c, after, self.batch)], default=after)
+        return dict(self.reached)
 
-    def readBetweenOffsets(self, start: dict, end: dict):
+    def partitions(self, start: dict, end: dict):
+        # After a restart the reader goes on from where the stream stood.
         for c in self.channels:
-            for row in self._rows(c, start.get(c, 0), self.batch):
-                if row[1] <= end.get(c, 0):
-                    yield row
+            self.reached[c] = max(self.reached.get(c, 0), end.get(c, 0))
+        return [_Channel(c, start.get(c, 0), end.get(c, 0)) for c in self.channels if end.get(c, 0) > start.get(c, 0)]
+
+    def read(self, partition: _Channel):
+        client, after = self._client(), partition.after
+        while after < partition.until:
+            some = [m for m in client(partition.channel, after, self.batch) if int(m["message_id"]) <= partition.until]
+            if not some:
+                return
+            for m in some:
+                yield (
+                    partition.channel, int(m["message_id"]), m.get("ts"), m.get("author_id"), m.get("author_name"),
+                    m.get("message_type", "default"), bool(m.get("is_bot", False)), m.get("text"),
+                )
+            after = max(int(m["message_id"]) for m in some)
 
     def commit(self, end: dict) -> None:
         pass

@@ -10,10 +10,10 @@ from tessera.functions.text import id_of_name
 from tessera.schemas import CHUNK_SCHEMA, ORIGIN, PLACE, exported
 
 _FIELDS = [*ORIGIN, *[c for c, _ in PLACE]]
-# Exported names of two groups of columns, as files of older exporters may have them.
+# Keys of the sidecar format; fixed values.
 SIDECAR = [
-    "doc_file_id", "doc_file_name", "doc_path", "doc_mime_type", "doc_modified_time",
-    "blog_entry_id", "blog_title", "blog_url", "blog_created_at", "blog_updated_at",
+    "drive_file_id", "drive_file_name", "drive_path", "drive_mime_type", "drive_modified_time",
+    "hatenablog_entry_id", "hatenablog_title", "hatenablog_url", "hatenablog_created_at", "hatenablog_updated_at",
 ]
 
 
@@ -88,7 +88,7 @@ def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     )
     known = parsed.select("path", *[F.nullif(F.trim(F.col("m")[c]), F.lit("")).alias(c) for c in SIDECAR])
     out = files.join(known.dropDuplicates(["path"]), "path", "left")
-    return out.withColumn("doc_file_id", F.coalesce("doc_file_id", id_of_name(F.col("name"))))
+    return out.withColumn("drive_file_id", F.coalesce("drive_file_id", id_of_name(F.col("name"))))
 
 
 def meeting_of(path):
@@ -132,3 +132,69 @@ def check_index_metadata(spark: SparkSession, path: str, model: str, dim: int) -
     if row["embedding_dim"] != dim:
         raise ValueError(f"the index has vectors of {row['embedding_dim']} dimensions, the model {dim}")
     return [] if row["embedding_model"] == model else [f"the index was made with {row['embedding_model']}"]
+
+
+def read_messages(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Chat message files: channel_id, channel_name, message_id (or else chunk_id), seq, ts, author, text.
+
+    The time is that of an ISO-8601 string (UTC where it has no offset); where a
+    message has none, its date is later taken from the one before. seq orders
+    the messages of a channel: by file, then by line number as they were written.
+    """
+    raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    raw = raw.select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    meta = lambda k: F.nullif(F.get_json_object("value", f"$.metadata.{k}"), F.lit(""))
+    good = F.try_parse_json("value").isNotNull()
+    checked = raw.where(F.assert_true(good, F.concat(F.lit("not a message: "), F.substring("value", 1, 80))).isNull())
+    stamp = F.try_to_timestamp(F.regexp_replace(meta("message_timestamp"), "Z$", "+00:00"))
+    return checked.select(
+        F.coalesce(meta("channel_id"), meta("channel_name"), F.col("file")).alias("channel_id"), meta("channel_name").alias("channel_name"),
+        F.coalesce(meta("message_id"), meta("chunk_id")).alias("message_id"), F.struct("file", "at").alias("seq"), stamp.alias("ts"),
+        F.coalesce(meta("author_name"), F.lit("unknown")).alias("author"), F.get_json_object("value", "$.text").alias("text"),
+    )
+
+
+def write_manifest(outputs: DataFrame, path: str) -> None:
+    """Adds what was made to the manifest: outputs(output, source_path, src_mtime, done_mtime); readers take the latest row of an output."""
+    outputs.select("output", "source_path", "src_mtime", "done_mtime").write.mode("append").parquet(path)
+
+
+def write_vectors(chunks: DataFrame, embed, path: str, text: str = "text") -> bool:
+    """Embeds chunks (``embed(df) -> df`` with embedding) and saves them by id; without chunks nothing is written."""
+    if chunks.isEmpty():
+        return False
+    embed(chunks.where(F.trim(text) != "")).write.mode("overwrite").parquet(path)
+    return True
+
+
+def write_evaluation(records: DataFrame, path: str, kind: str = "json") -> None:
+    """Evaluation records as JSON lines or CSV with a header: question, answer, contexts, ground_truths, ground_truth."""
+    out = records.select("question", "answer", "contexts", "ground_truths", F.coalesce(F.get("ground_truths", 0), F.lit("")).alias("ground_truth"))
+    if kind == "csv":
+        out = out.withColumns({c: F.to_json(c) for c in ("contexts", "ground_truths")})
+        out.write.mode("overwrite").option("header", True).csv(path)
+    else:
+        out.write.mode("overwrite").json(path)
+
+
+def reset_stages(spark: SparkSession, path: str, stages: list[str]) -> int:
+    """Empties partitions of a chunk table (see ``write_chunks``); how many of the stages there were."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(bool(system.delete(spark._jvm.org.apache.hadoop.fs.Path(base, f"stage={s}"), True)) for s in stages)
+
+
+def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcript files YYYY-MM-DD_N/NN.txt: meeting_key, transcript_index, meeting_date, meeting_label, text."""
+    files = read_texts(spark, folder, [".txt"])
+    day, label = meeting_of(F.col("path"))
+    key = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2}_\d+)/[^/]*$", 1)
+    index = F.regexp_extract("name", r"^(\d+)\.", 1).try_cast("int")
+    return files.select(key.alias("meeting_key"), index.alias("transcript_index"), day.alias("meeting_date"), label.alias("meeting_label"), "text").where("meeting_key <> ''")
+
+
+def write_transcripts(lines: DataFrame, folder: str) -> None:
+    """Transcript lines(meeting_key, transcript_index, offset, user_name, text, line) as text files, one for each transcript."""
+    order = F.array_sort(F.collect_list(F.struct("offset", "user_name", "text", "line")))
+    texts = lines.groupBy("meeting_key", "transcript_index").agg(F.array_join(F.transform(order, lambda x: x["line"]), "\n").alias("value"))
+    texts.repartition("meeting_key", "transcript_index").write.mode("append").partitionBy("meeting_key", "transcript_index").text(folder)

@@ -13,9 +13,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.text import tidy_lines
 
-SKIPPED = frozenset({"script", "style", "noscript", "iframe", "form", "nav", "footer", "aside", "svg"})
-BLOCKS = frozenset({"p", "div", "br", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "section", "article", "hr", "dt", "dd"})
-VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+# Elements whose content is not text of the article, elements that end a line, and elements without an end tag; fixed values.
+SKIPPED = frozenset("script style noscript template svg img picture source figure figcaption nav header footer aside form".split())
+BLOCKS = frozenset("article section div p br li ul ol h1 h2 h3 h4 h5 h6 table tr td th blockquote pre hr".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class _Text(HTMLParser):
@@ -66,8 +67,28 @@ def html_text(html: Column) -> Column:
     return tidy_lines(F.pandas_udf(_extract, "string")(html))
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom files: entry_id, title, url, created_at, updated_at, content; each id once, those without a link left out."""
+def _joined(base: str):
+    def run(links: pd.Series) -> pd.Series:
+        return links.map(lambda x: urljoin(base, x), na_action="ignore")
+
+    return run
+
+
+def next_page(body: str) -> str | None:
+    """The link with rel="next" of a feed page's head, before its entries."""
+    import xml.etree.ElementTree as ET
+
+    for child in ET.fromstring(body):
+        if child.tag.rsplit("}", 1)[-1] == "link" and child.get("rel") == "next":
+            return child.get("href")
+    return None
+
+
+def read_feed(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """Entries of Atom files: entry_id, title, url, created_at, updated_at, content; each id once, those without a link left out.
+
+    Relative links are resolved against ``base``, the feed's own address.
+    """
     schema = (
         "id string, title string, published string, updated string, content struct<_VALUE:string,_type:string>, "
         "link array<struct<_rel:string,_href:string,_VALUE:string>>"
@@ -76,6 +97,8 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     links = F.coalesce(F.filter("link", lambda x: x["_href"].isNotNull()), F.array())
     alternate = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     url = F.coalesce(F.get(alternate, 0)["_href"], F.get(links, 0)["_href"])
+    if base:
+        url = F.pandas_udf(_joined(base), "string")(url)
     out = raw.select(
         F.coalesce(F.nullif(F.trim("id"), F.lit("")), url).alias("entry_id"), F.trim("title").alias("title"), url.alias("url"),
         F.coalesce("published", "updated").alias("created_at"), F.coalesce("updated", "published").alias("updated_at"), F.col("content._VALUE").alias("content"),
@@ -83,6 +106,13 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return out.where("url is not null").dropDuplicates(["entry_id"])
 
 
+def with_bodies(entries: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
+    """Entries with the page's own HTML where the feed has no content; ``fetch`` gives a URL's body, in the tasks."""
+    missing = F.trim(F.coalesce("content", F.lit(""))) == ""
+    fetched = F.pandas_udf(lambda urls: urls.map(fetch, na_action="ignore"), "string")(F.when(missing, F.col("url")))
+    return entries.withColumn("content", F.when(missing, fetched).otherwise(F.col("content")))
+
+
 def pages_of(fetch: Callable[[str], tuple[str, str | None]], url: str, most: int = 200) -> Iterator[tuple[str, str]]:
     """(url, body) of a feed's pages: ``fetch`` gives a body and the next page's link; ends at a page that was there before."""
     seen: set[str] = set()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -163,3 +164,64 @@ def in_schedule(now, weekdays: list[int], start_minute: int, minutes: int, zone:
     local = F.from_utc_timestamp(now, zone)
     minute = F.hour(local) * 60 + F.minute(local)
     return F.weekday(local).isin(weekdays) & (minute >= start_minute) & (minute <= start_minute + minutes)
+
+
+def cut(events: DataFrame, start: float, cutoff: float) -> tuple[DataFrame, DataFrame]:
+    """A window's events and those that wait: up to ``cutoff`` they belong to the window, later ones to a window to come.
+
+    events(kind, offset_seconds, …): audio that began before ``start`` is late and
+    dropped; what was typed before it counts at ``start``. A window without events
+    is empty and the next begins at ``cutoff`` all the same.
+    """
+    late = (F.col("kind") == "audio") & (F.col("offset_seconds") < start)
+    own = events.where((F.col("offset_seconds") <= cutoff) & ~late)
+    return own.withColumn("offset_seconds", F.greatest("offset_seconds", F.lit(start))), events.where(F.col("offset_seconds") > cutoff)
+
+
+def final_jobs(meetings: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Jobs at the end of meetings(meeting_key, last_index): the last transcript's, marked final; a marker with no text where nothing new was said.
+
+    transcripts(meeting_key, transcript_index, text, seconds) are those of the last window.
+    """
+    out = meetings.join(transcripts, "meeting_key", "left")
+    index = F.coalesce("transcript_index", F.col("last_index") + 1).cast("int")
+    return out.select(
+        "meeting_key", index.alias("transcript_index"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"),
+        F.lit(True).alias("is_final"), F.col("transcript_index").isNull().alias("is_marker"),
+    )
+
+
+class JobQueue:
+    """Jobs in their order, one at a time; while paused none is given out, and one that was interrupted is the next again."""
+
+    def __init__(self):
+        self.jobs: deque = deque()
+        self.paused = False
+
+    def put(self, job) -> None:
+        self.jobs.append(job)
+
+    def again(self, job) -> None:
+        self.jobs.appendleft(job)
+
+    def take(self):
+        return None if self.paused or not self.jobs else self.jobs.popleft()
+
+
+def due_once_a_day(checks: DataFrame, weekdays: list[int], minute: int, zone: str = "Asia/Tokyo") -> DataFrame:
+    """Of checks(at, a UTC timestamp), the first of each local day that is at or after ``minute`` of a listed weekday: day, at."""
+    local = F.from_utc_timestamp("at", zone)
+    fits = F.weekday(local).isin(weekdays) & (F.hour(local) * 60 + F.minute(local) >= minute)
+    return checks.where(fits).groupBy(F.date_format(local, "yyyy-MM-dd").alias("day")).agg(F.min("at").alias("at"))
+
+
+def meeting_keys(meetings: DataFrame, taken: DataFrame, most: int = 999) -> DataFrame:
+    """Adds meeting_key, date_NN with the next free number of its date: meetings(meeting_id, date), taken(date, number).
+
+    More than ``most`` meetings on a date are an error.
+    """
+    used = taken.groupBy("date").agg(F.max("number").alias("_used"))
+    w = Window.partitionBy("date").orderBy("meeting_id")
+    out = meetings.join(used, "date", "left").withColumn("number", F.coalesce("_used", F.lit(0)) + F.row_number().over(w))
+    out = out.where(F.assert_true(F.col("number") <= most, F.lit("too many meetings on a date")).isNull())
+    return out.select("meeting_id", "date", "number", F.concat("date", F.lit("_"), F.format_string("%02d", F.col("number").cast("int"))).alias("meeting_key"))

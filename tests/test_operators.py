@@ -156,7 +156,21 @@ def test_pack(spark):
 def test_clusters(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.05, size=(30, 4)) for c in (0, 5, 10)])
-    assert len(set(clusters.kmeans(x, 3)[0].tolist())) >= 2 and clusters.elbow_k(x[:1], 8) == 1 and clusters.elbow_k(x, 2) == 2
+    labels = clusters.kmeans(x, 3)
+    assert [len(set(labels[i : i + 30].tolist())) for i in (0, 30, 60)] == [1, 1, 1] and len(set(labels.tolist())) == 3
+    assert clusters.knee([5.0]) == 1 and clusters.knee([5.0, 1.0]) == 2 and clusters.knee([100.0, 20.0, 5.0, 4.0, 3.0, 2.0]) == 2
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    top = {r.id: r.cluster for r in clusters.top_clusters(frame).collect()}
+    assert all(len({top[i] for i in range(a, a + 30)}) == 1 for a in (0, 30, 60)) and 2 <= len(set(top.values())) <= 3
+    assert clusters.silhouette_k(frame, 6) == 3 and clusters.top_clusters(frame.where("id < 1")).first().cluster == 0
+    # A cluster of more rows than a bucket is cut, near-equal rows too, and none is lost.
+    many = spark.createDataFrame([(i, [1.0, float(i % 2)], 10) for i in range(3000)], "id long, embedding array<double>, tokens int")
+    found = clusters.level(many, limit=200).collect()
+    assert sorted(r.id for r in found) == list(range(3000))
+    sizes = {}
+    for r in found:
+        sizes[r.group, r.cluster_id] = sizes.get((r.group, r.cluster_id), 0) + 10
+    assert max(sizes.values()) <= 200
     tokens = np.full(90, 100)
     groups = clusters.limited(x, tokens, 1024)
     assert sorted(i for g in groups for i in g) == list(range(90)) and all(tokens[g].sum() <= 1024 for g in groups)
@@ -215,3 +229,114 @@ def test_retrieval_keeps_what_has_no_vector(small_tables):
     # The sparse hit without a vector is reranked first, for a question without a vector too.
     assert found[0, 3] == 1 and found[50, 3] == 1
     assert len([q for q, _ in found if q == 0]) == 5
+
+
+def test_whole_retrieval(spark):
+    """The hook for changed questions, embedding on demand, the fallback, and parents after the hits."""
+    from tessera.plans.retrieve import retrieve, with_parents
+
+    chunks = spark.createDataFrame(
+        [(1, "alpha beta", [1.0, 0.0], "p"), (2, "gamma", None, "q"), (3, "delta", [0.0, 1.0], "r")], "doc_id long, text string, embedding array<double>, parent string"
+    )
+    asked = spark.createDataFrame([(1, "nothing known", None), (2, "alpha", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
+    changed = spark.createDataFrame([(1, "gamma"), (2, "alpha"), (2, " ")], "query_id long, text string")
+    embed = lambda df: df.withColumn("embedding", F.array(F.lit(0.5), F.lit(0.5)))
+    found = {(r.query_id, r.doc_id) for r in retrieve(asked, chunks, build_index(chunks), changed=changed, embed=embed).collect()}
+    assert found == {(1, 2), (2, 1), (2, 3)}
+    lost = spark.createDataFrame([(7, "zzz", [0.0, 1.0])], "query_id long, text string, embedding array<double>")
+    no_vectors = chunks.withColumn("embedding", F.lit(None).cast("array<double>"))
+    args = (lost, no_vectors, build_index(chunks))
+    assert retrieve(*args).count() == 0 and [r.doc_id for r in retrieve(*args, fallback=chunks).orderBy("rank").collect()] == [3, 1]
+    stages = [
+        (1, "s", "second_recursive_sparse", 5, 0, "x y"), (2, "s", "second_recursive", 5, 0, "X, y!"), (3, "s", "first_recursive", 0, None, "whole"),
+        (4, "s", "proposition", 0, 6, "claim"), (5, "s", "second_recursive", 6, 1, "other"), (6, "s", "first_recursive", 1, None, "long"), (7, "s", "summery", 0, 1, "short"),
+    ]
+    table = spark.createDataFrame(stages, "doc_id long, source string, chunk_stage string, chunk_id long, parent_chunk_id long, text string")
+    ranked = spark.createDataFrame([(1, 1, 1), (1, 4, 2)], "query_id long, doc_id long, rank int")
+    rows = with_parents(ranked, table).orderBy("rank").collect()
+    # The sparse hit has its original's words; parents come in reverse, the summary for the chunk that has one.
+    assert [(r.doc_id, r.text) for r in rows] == [(1, "X, y!"), (4, "claim"), (7, "short"), (3, "whole")]
+
+
+def test_routing_and_memory(spark):
+    from tessera.plans.answer import answer_all, cancellable
+
+    class Router:
+        def tools(self, question):
+            if question == "broken":
+                raise RuntimeError
+            return ["search"] if "find" in question else []
+
+    class Model:
+        def generate(self, prompt):
+            return json.dumps({"answer": prompt.replace("\n", "|"), "sources": [1], "needs_additional_memory": "more" in prompt and "long" not in prompt})
+
+    def search_(queries):
+        return queries.select("query_id", F.lit(5).cast("long").alias("doc_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"))
+
+    prompt = lambda q, found: q.select("query_id", F.col("text").alias("prompt"), F.lit(1).alias("n_sources"))
+    history = lambda q, n: q.select("query_id", F.lit("long" if n > 2 else "brief").alias("history"))
+    questions = spark.createDataFrame([(1, "find it"), (2, "hello"), (3, "more please"), (4, "broken")], "query_id long, text string")
+    with cancellable(spark, "t"):
+        rows = {r.query_id: (r.answer, r.sources, r.retrieved) for r in answer_all(questions, Router(), search_, prompt, Model(), history).collect()}
+    assert rows == {1: ("find it", [5], True), 2: ("brief||hello", [], False), 3: ("long||more please", [], False), 4: ("broken", [5], True)}
+    plain = {r.query_id: r.answer for r in answer_all(questions, Router(), search_, prompt, Model()).collect()}
+    assert plain[3] == "more please"
+
+
+def test_model_hooks(spark):
+    from tessera.plans.models import keywords_with, metrics_with, score_with
+
+    class Scorer:
+        def score(self, query, texts):
+            if query == "bad":
+                raise RuntimeError
+            return [2.0 if "x" in t else "no" for t in texts]
+
+    rows = spark.createDataFrame([("q", "x"), ("q", "y"), ("bad", "x"), (None, None)], "query_text string, text string")
+    assert sorted((r.query_text or "", r.text or "", r.model_score) for r in score_with(rows, Scorer()).collect()) == [("", "", 0.0), ("bad", "x", 0.0), ("q", "x", 1.0), ("q", "y", 0.0)]
+
+    class Words:
+        def generate(self, prompt):
+            return "- a, b、a" if "one" in prompt else ""
+
+    asked = spark.createDataFrame([(1, "one"), (2, "two")], "query_id long, text string")
+    assert [tuple(r) for r in keywords_with(asked, Words()).collect()] == [(1, "a b")]
+    records = spark.createDataFrame([("q", "a", ["c"], ["g"])], "question string, answer string, contexts array<string>, ground_truths array<string>")
+    row = metrics_with(records, {"n": lambda q, a, c, g: len(c) + len(g), "bad": lambda *x: 1 / 0}).first()
+    assert row.n == 2.0 and row.bad is None
+
+
+def test_settings(spark):
+    from tessera.functions import settings as S
+
+    row = spark.range(1).select(
+        S.minute_of_day(F.lit(" 9:30")).alias("a"), S.minute_of_day(F.lit("24:00")).alias("b"), S.weekdays(F.lit("Tuesday, mon,x, 6,mon")).alias("c"),
+        S.id_list(F.lit("12, x 7\n12")).alias("d"), S.question_of(F.lit("<@!5> hi "), F.lit("5"), F.lit("!"), F.lit(False)).alias("e"),
+        S.question_of(F.lit("!go"), F.lit("5"), F.lit("!"), F.lit(False)).alias("f"), S.question_of(F.lit("hi"), F.lit("5"), F.lit("!"), F.lit(False)).alias("g"),
+        S.question_of(F.lit(" hi"), F.lit("5"), F.lit("!"), F.lit(True)).alias("h"), S.weekdays(F.lit(None).cast("string")).alias("i"),
+    ).first()
+    assert tuple(row) == (570, None, [0, 1, 6], [12, 7], "hi", "go", None, "hi", [])
+    made = []
+    rules = S.DailyText(lambda day: made.append(day) or f"rules of {day}")
+    assert [rules.of(d) for d in ("a", "a", "b")] == ["rules of a", "rules of a", "rules of b"] and made == ["a", "b"]
+
+
+def test_message_chunks_by_hand(spark):
+    """Chunks of lines that are all shorter than a chunk: each begins at a line, and knows the first message it touches."""
+    from datetime import datetime, timezone
+
+    from tessera.operators.messages import message_chunks
+
+    at = lambda h: datetime.fromtimestamp(h * 3600, timezone.utc)
+    rows = [("c", i, f"m{i}", at(t) if t is not None else None, "ann" if i % 2 else None, text) for i, (t, text) in enumerate([(0, "one\ntwo"), (None, "three"), (14, ""), (16, "four"), (16, "five")])]
+    df = spark.createDataFrame(rows, "channel_id string, seq int, message_id string, ts timestamp, author string, text string")
+    whole = "unknown: one\nunknown: two\nann: three\n1970/01/02\nann: four\nunknown: five"
+    (one,) = message_chunks(df, 500, 0).collect()
+    assert (one.text, one.first_message_id, one.first_message_date, one.chunk_id) == (whole, "m0", "1970/01/01", 0)
+    found = message_chunks(df, 25, 0).orderBy("chunk_id").collect()
+    assert "".join(r.text for r in found).replace("\n", "") == whole.replace("\n", "")
+    start = {"m0": "unknown: one", "m1": "ann: three", "m3": "ann: four", "m4": "unknown: five"}
+    for r in found:
+        assert r.first_message_id in start and (start[r.first_message_id] in r.text or r.first_message_id == "m0")
+    assert [r.first_message_date for r in found if "four" in r.text] == ["1970/01/02"]

@@ -36,7 +36,7 @@ def test_html_column(spark):
 
 def test_chunk_files(spark, tmp_path):
     lines = [
-        {"text": "alpha", "metadata": {"source_type": "docs", "doc_file_id": "d1", "chunk_id": "5", "chunk_stage": "x", "other": 3, "guild_id": ""}},
+        {"text": "alpha", "metadata": {"source_type": "docs", "drive_file_id": "d1", "chunk_id": "5", "chunk_stage": "x", "other": 3, "guild_id": ""}},
         {"text": "beta", "metadata": None},
     ]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
@@ -64,8 +64,8 @@ def test_texts_and_sidecars(spark, tmp_path):
     (tmp_path / "c.bin").write_text("y")
     files = C.read_texts(spark, str(tmp_path), [".md", ".csv"])
     assert sorted(r.name for r in files.collect()) == ["b.CSV", "d1__a.md"]
-    side = files.select(F.concat("path", F.lit(".meta.json")).alias("path"), F.when(F.col("name") == "b.CSV", '{"doc_file_id": "z", "blog_url": 3, "x": 1}').otherwise("broken").alias("json"))
-    assert sorted(r.doc_file_id for r in C.with_sidecars(files, side).collect()) == ["d1", "z"]
+    side = files.select(F.concat("path", F.lit(".meta.json")).alias("path"), F.when(F.col("name") == "b.CSV", '{"drive_file_id": "z", "hatenablog_url": 3, "x": 1}').otherwise("broken").alias("json"))
+    assert sorted(r.drive_file_id for r in C.with_sidecars(files, side).collect()) == ["d1", "z"]
     with pytest.raises(Exception):
         C.read_texts(spark, str(tmp_path / "none"), [".md"]).collect()
     day, label = C.meeting_of(F.col("p"))
@@ -122,11 +122,86 @@ def test_chat_offsets():
     import sys
 
     sys.modules.setdefault("test_sources", sys.modules[__name__])
-    reader = ChatSource({"client": "test_sources:client", "channels": "a,b", "batch": "3"}).simpleStreamReader(None)
-    rows, end = reader.read(reader.initialOffset())
-    assert len(list(rows)) == 6 and end == {"a": 3, "b": 3}
-    rows, last = reader.read(end)
-    assert [r[1] for r in rows] == [4, 5, 6] * 2 and len(list(reader.readBetweenOffsets(end, last))) == 6
+    reader = ChatSource({"client": "test_sources:client", "channels": "a,b", "batch": "3"}).streamReader(None)
+    start = reader.initialOffset()
+    end = reader.latestOffset()
+    parts = reader.partitions(start, end)
+    assert end == {"a": 3, "b": 3} and len(parts) == 2 and sum(len(list(reader.read(p))) for p in parts) == 6
+    last = reader.latestOffset()
+    assert [r[1] for p in reader.partitions(end, last) for r in reader.read(p)] == [4, 5, 6] * 2
+    # All that lies between offsets is read, in batches, by a reader that starts anew.
+    again = ChatSource({"client": "test_sources:client", "channels": "a,b", "batch": "3"}).streamReader(None)
+    assert [r[1] for p in again.partitions(start, last) for r in again.read(p)] == [1, 2, 3, 4, 5, 6] * 2
+    assert again.latestOffset()["a"] >= last["a"] and again.partitions(last, last) == []
+
+
+def test_tags_of_html():
+    for tag in "script style noscript template svg picture figure figcaption nav header footer aside form".split():
+        assert text_of_html(f"a<{tag}>no<b>no</b></{tag}>b").replace("\n", "") == "ab", tag
+    assert text_of_html("a<img alt='no'>b<source>c") == "abc"
+    for tag in "article section div p li ul ol h1 h2 h3 h4 h5 h6 table tr td th blockquote pre".split():
+        assert text_of_html(f"a<{tag}>b</{tag}>c").split("\n") == ["a", "b", "c"], tag
+    assert text_of_html("<header>H</header>x<table><tr><td>a</td><td>b</td></tr></table>").split() == ["x", "a", "b"]
+
+
+def test_formats_of_files(spark, tmp_path):
+    sample = {"text": "alpha beta", "metadata": {"source_type": "docs", "source_file_name": "d1__x.md", "drive_file_id": "d1", "hatenablog_title": "T", "chunk_id": 0, "chunk_stage": "second_recursive", "parent_chunk_id": 0}}
+    (tmp_path / "c.jsonl").write_text(json.dumps(sample))
+    (row,) = C.read_chunks(spark, str(tmp_path / "c.jsonl")).collect()
+    assert (row.drive_file_id, row.hatenablog_title, row.chunk_id, row.extra) == ("d1", "T", 0, {})
+    assert C.read_chunks(spark, str(tmp_path / "c.jsonl")).select(lookup_key().alias("l")).first().l.source == "d1"
+    message = lambda **m: json.dumps({"text": m.pop("text"), "metadata": {"channel_id": "9", "channel_name": "n", **m}})
+    lines = [
+        message(text="a", message_id="1", message_timestamp="2024-05-01T14:59:59+00:00", author_name="Ann"), "", message(text="b", chunk_id=7, author_name=""),
+        message(text="c", message_id="3", message_timestamp="2024-05-01T15:00:00", author_name="Bob"),
+    ]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines))
+    from tessera.operators.messages import message_chunks
+
+    read = C.read_messages(spark, str(tmp_path / "m.jsonl"))
+    assert [(r.message_id, r.author) for r in read.orderBy("seq").collect()] == [("1", "Ann"), ("7", "unknown"), ("3", "Bob")]
+    (chunk,) = message_chunks(read).collect()
+    assert (chunk.text, chunk.first_message_id, chunk.first_message_date) == ("Ann: a\nunknown: b\n2024/05/02\nBob: c", "1", "2024/05/01")
+
+
+def test_writers(spark, tmp_path):
+    out = str(tmp_path)
+    C.write_manifest(spark.createDataFrame([("o", "s", 1, 2)], "output string, source_path string, src_mtime long, done_mtime long"), f"{out}/manifest")
+    C.write_manifest(spark.createDataFrame([("o", "s", 5, 6)], "output string, source_path string, src_mtime long, done_mtime long"), f"{out}/manifest")
+    assert spark.read.parquet(f"{out}/manifest").count() == 2
+    chunks = spark.createDataFrame([(1, "x"), (2, " ")], "doc_id long, text string")
+    assert C.write_vectors(chunks, lambda d: d.withColumn("embedding", F.array(F.lit(1.0))), f"{out}/v") and spark.read.parquet(f"{out}/v").count() == 1
+    assert not C.write_vectors(chunks.where("false"), lambda d: d, f"{out}/none") and not (tmp_path / "none").exists()
+    records = spark.createDataFrame([("q", "a", ["c, d"], ["g"]), ("r", "b", [], [])], "question string, answer string, contexts array<string>, ground_truths array<string>")
+    C.write_evaluation(records, f"{out}/e")
+    C.write_evaluation(records, f"{out}/csv", "csv")
+    assert sorted((r.question, r.ground_truth) for r in spark.read.json(f"{out}/e").collect()) == [("q", "g"), ("r", "")]
+    assert spark.read.option("header", True).csv(f"{out}/csv").count() == 2
+    rows = spark.createDataFrame([("t", s) for s in ("a", "b")], "text string, chunk_stage string")
+    C.write_chunks(C.chunk_rows(rows), f"{out}/table")
+    assert C.reset_stages(spark, f"{out}/table", ["a", "zzz"]) == 1 and [r.stage for r in spark.read.parquet(f"{out}/table").collect()] == ["b"]
+    lines = spark.createDataFrame([("2024-05-01_01", 2, 3.0, "a", "x", "l2"), ("2024-05-01_01", 2, 1.0, "b", "y", "l1")], "meeting_key string, transcript_index int, offset double, user_name string, text string, line string")
+    C.write_transcripts(lines, f"{out}/tr")
+    assert [r.value for r in spark.read.text(f"{out}/tr").collect()] == ["l1", "l2"]
+    (tmp_path / "m" / "2024-05-01_02").mkdir(parents=True)
+    (tmp_path / "m" / "2024-05-01_02" / "03.txt").write_text("00:00:01 a: b")
+    assert [tuple(r)[:4] for r in C.read_transcripts(spark, f"{out}/m").collect()] == [("2024-05-01_02", 3, "2024-05-01", "2024-05-01 #2")]
+
+
+def test_queue_and_feed_pages():
+    from tessera.sources.web import next_page
+
+    q = S.JobQueue()
+    for j in (1, 2):
+        q.put(j)
+    first = q.take()
+    q.paused = True
+    assert first == 1 and q.take() is None
+    q.again(first)
+    q.paused = False
+    assert [q.take(), q.take(), q.take()] == [1, 2, None]
+    feed = "<feed xmlns='http://www.w3.org/2005/Atom'><link rel='alternate' href='/'/><link rel='next' href='?p=2'/><entry><link rel='next' href='no'/></entry></feed>"
+    assert next_page(feed) == "?p=2" and next_page("<feed/>") is None
 
 
 def test_transcribe():
