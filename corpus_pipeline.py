@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, extra ones with any names included.
+
+What stages make of unusual rows: a null or empty text has no language and goes in
+the first stage; where a later stage is called by itself, it is empty text (exact:
+such rows are one group; near: linked with nothing; secrets: untouched; packing:
+the end id alone). A null doc_id is kept, in exact as one document for each text,
+in near always. Rows that repeat are one document from the exact stage on. Ties go
+to the longer original text, then the smaller id (exact), and to the smallest id
+(near). Texts of any length are worked on whole, and an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -304,8 +304,9 @@ def bpe_report(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int
 
     ids_sha256 is of the decimal ids joined by a space, decoded_sha256 of the
     text that the ids decode to. A null text counts as empty and has no ids.
-    Repeated rows are each encoded. Other columns are ignored; an empty table
-    gives an empty result.
+    A text of any length is encoded whole; repeated rows are each encoded; words
+    of equal count enter the lexicon in order of their bytes. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     folder, name = build_lexicon(docs, vocabulary, size)
 

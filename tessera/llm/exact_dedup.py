@@ -32,6 +32,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", salts:
     then the smallest id. A null text counts as empty; empty texts are one
     group. A null id loses every tie, and keep_id is null where all ids of the
     winning length are null. Rows that repeat the winning id are all kept.
+    Texts of any length are compared whole.
     Other columns are ignored, whatever their names; an empty table gives an
     empty result.
     """

@@ -219,6 +219,12 @@ def held_out(id: str = "doc_id"):
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document, learned from those not held out."""
+    """doc_id, held_out, lang_pred and score of each document, learned from those not held out.
+
+    A null text, an empty one and one without a letter are und; a text of any
+    length is scored whole; of equal scores the language first by name wins;
+    repeated rows are each scored; a null id is not held out. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
+    """
     model = train(docs.where(~held_out()))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
