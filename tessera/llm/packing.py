@@ -6,7 +6,7 @@ documents to a narrow one, and dealt in that order, so that related ones are in
 shard wherever they stood; a group too large for a shard is split by a hash of the
 id. An inverted index with BM25 weights is built for each shard of documents, and a
 window is filled from its seed: the unused documents of the shard that score for the
-seed's rarest terms follow it, best first, until the window is full or none is left.
+seed's weightiest terms follow it, best first, until the window is full or none is left.
 The document that runs over the window's end goes on in the next window and is its
 seed, so only the last window of a partition is short; that one is cut into powers
 of two.
@@ -32,8 +32,8 @@ WINDOW = 2048
 END = 1
 #: A shard is closed at so many documents or tokens; its index is in memory.
 SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
-#: Terms of a query: the seed's weightiest (rarest) ones.
-QUERY_TERMS = 16
+#: Terms of a query: the weightiest quarter of the seed's terms, but so many at the least and at the most.
+LEAST_TERMS, MOST_TERMS = 16, 64
 K1, B = 1.5, 0.75
 #: Documents of a partition whose keys are sampled to set its bounds.
 SAMPLED = 64
@@ -146,16 +146,17 @@ class Shard:
         known, first = np.unique(every[order], return_index=True)
         ends = np.append(first[1:], len(every))
         place = np.searchsorted(known, every)
-        # A document's own terms, the rarest first, and the first so many of them.
-        by_rarity = np.lexsort((-idf[every], owner))
+        # A document's own terms, the weightiest first, and the first so many of them.
+        by_weight = np.lexsort((-weight, owner))
         rank = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        asked = by_rarity[rank < QUERY_TERMS]
-        cuts = np.cumsum(np.minimum(sizes, QUERY_TERMS))[:-1]
+        wanted = np.minimum(sizes, np.clip(sizes // 4, LEAST_TERMS, MOST_TERMS))
+        asked = by_weight[rank < np.repeat(wanted, sizes)]
+        cuts = np.cumsum(wanted)[:-1]
         self.begin, self.end = np.split(first[place[asked]], cuts), np.split(ends[place[asked]], cuts)
         self.n = n
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """The unused documents that score for the seed's terms, best first, ties by place."""
+        """The unused documents that score for the seed's weightiest terms, best first, ties by place."""
         begin, sizes = self.begin[seed], self.end[seed] - self.begin[seed]
         at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         scores = np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)

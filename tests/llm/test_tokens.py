@@ -220,7 +220,8 @@ def test_neighbours_are_bm25s_best():
     mean = float(np.mean([len(d) for d in docs]))
     shard = Shard(docs, idf, mean)
     shard.unused[[0, 5, 9]] = False
-    query = sorted(set(docs[0].tolist()), key=lambda t: (-idf[t], t))[:16]
+    part = lambda d, t: (lambda tf: idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d) / mean)))((d == t).sum())
+    query = sorted(set(docs[0].tolist()), key=lambda t: (-part(docs[0], t), t))[:16]
 
     def score(d):
         tf = np.bincount(d, minlength=300)
