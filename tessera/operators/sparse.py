@@ -31,11 +31,12 @@ class SparseIndex:
     def save(self, path: str) -> None:
         """Parquet tables; postings are sorted by term, so that a query's terms prune row groups.
 
-        The ranges are of term and document, so a frequent term's postings lie in
-        several files. Terms are counted on the saved postings, so the texts are
-        read twice in all: for the postings and for the statistics.
+        They stay dealt by term and document, as they were counted, so no further
+        shuffle is needed and a frequent term's postings lie in all files. Terms
+        are counted on the saved postings, so the texts are read twice in all: for
+        the postings and for the statistics.
         """
-        spread = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        spread = self.postings.sortWithinPartitions("term", "doc_id")
         spread.write.mode("overwrite").parquet(f"{path}/postings")
         if self.count:
             saved = spread.sparkSession.read.parquet(f"{path}/postings")
