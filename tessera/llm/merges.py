@@ -30,7 +30,7 @@ def pieces(word: str) -> list[str]:
     return _PIECE.findall(normal(word))
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     out, extra = [], 256
@@ -58,7 +58,7 @@ class MergeList:
         for rank, (a, b) in enumerate(pairs):
             self.ranks[self.vocab[a], self.vocab[b]] = rank
             self.becomes.append(self.vocab[a + b])
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner = [self.vocab.get(x) for x in letters]
         self.last = [self.vocab.get(x + self.end) for x in letters]
         self.keys = np.array([a << 32 | b for a, b in self.ranks], dtype=np.int64)
