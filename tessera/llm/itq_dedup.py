@@ -1,23 +1,29 @@
-"""Near-duplicate vectors by iterative quantisation and tables of code substrings.
-
-Vectors of a label are compared in full, block against block, as long as that
-costs no more than tables. Beyond, rotations of the principal axes are learned on
-a bounded sample so that the signs of the rotated vectors lose little; the signs
-are codes, cut into substrings, one for each table, and the vectors with one
-substring are a bucket. Width and number of the tables follow from the rows of a
-label and from the angle that the bits see at the threshold: that of the centred
-vectors, which a common direction widens. In a bucket all vectors are compared by
-their cosine in double precision; what comes out is each vector's number of links
-and one connection, so a large group of near vectors never gives all its pairs.
+"""Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
+
+Rotations of the principal axes are learned on a bounded sample so that the signs
+of the rotated vectors lose little; the signs are codes, cut into substrings, one for
+each table, and the vectors with one substring are a bucket. In a bucket codes are
+compared by the number of their differing bits; pairs within the radius are
+candidates, whose cosine in double precision decides. Width and number of
+the tables, and the radius, follow from the rows of a label and from the angle that the bits
+see at the threshold: that of the centred vectors, which a common direction
+widens. The few vectors so near the mean that their angles would be wider still are
+compared with all of their label.
+
+What goes through the tables is ids and codes. Vectors are looked up for candidates;
+only where a bucket has many candidates for its size do its vectors meet there as a
+whole, and what comes out is then each vector's number of links and one
+connection, so a large group of near vectors never gives all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, each_salt, salt, salts_seen, written
@@ -30,6 +36,12 @@ BITS = 64
 BLOCK = 2048
 #: Chance that a pair at the threshold meets in no table, at the most.
 MISS = 1e-4
+#: Bits of a substring, at the least.
+LEAST_WIDTH = 4
+#: Share of the sample that counts as near the mean, and the cosine of centred vectors at the threshold below which all do.
+NEAR, WIDEST = 0.002, 0.3
+#: Candidates for each row of a cell beyond which its vectors meet there as a whole.
+DENSE = 8
 TURNS = 30
 
 
@@ -62,35 +74,121 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _tables(x: np.ndarray, mean: np.ndarray, bits: int, rows: int, least: float, block: int, miss: float) -> tuple[int, int]:
-    """Bits and number of tables for ``rows`` vectors of a label; (0, 1), all with all, where that is no dearer."""
-    width = min(bits, max(0, int(np.ceil(np.log2(max(1, rows) / block))) + 1))
-    if width == 0 or not len(x):
-        return 0, 1
-    # Unit vectors at the threshold are as far apart when centred, but both shorter: the shortest sees the widest angle.
-    cosine = 1 - (1 - least) / max(1e-12, ((x - mean) ** 2).sum(axis=1).min())
-    if cosine <= 0:
-        return 0, 1
-    tables = int(np.ceil(np.log(1 / miss) / (1 - np.arccos(min(1.0, cosine)) / np.pi) ** width))
-    return (0, 1) if tables >= -(-rows // block) else (width, tables)
+@dataclass(frozen=True)
+class _Tables:
+    """How the vectors of one length are coded: ``per`` substrings of ``width`` bits in a code, ``tables`` in all; pairs within ``radius`` bits of all
+    codes are candidates; vectors whose centred length squared is below ``near`` are compared with all."""
+
+    width: int
+    per: int
+    tables: int
+    radius: int
+    near: float
+    mean: np.ndarray
+    turns: list[np.ndarray]
+
+
+def _tables(x: np.ndarray, rows: int, least: float, block: int, miss: float) -> _Tables:
+    """The tables for labels of up to ``rows`` vectors, learned on the unit vectors ``x``."""
+    dim = x.shape[1]
+    bits = min(BITS, dim)
+    mean = x.mean(axis=0) if len(x) else np.zeros(dim)
+    length = ((x - mean) ** 2).sum(axis=1)
+    # Unit vectors at the threshold are as far apart when centred, but both shorter: the shorter, the wider their angle.
+    near = max(float(np.quantile(length, NEAR)) if len(x) else 0.0, (1 - least) / (1 - WIDEST))
+    differ = np.arccos(1 - (1 - least) / near) / np.pi
+    width = min(bits, max(LEAST_WIDTH, int(np.ceil(np.log2(max(1, rows) / block))) + 1))
+    tables = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** width)))) if width else 1
+    per = bits // width
+    codes = -(-tables // per)
+    n = codes * bits
+    radius = int(min(n, np.ceil(n * differ + 5 * np.sqrt(n * differ * (1 - differ)))))
+    turns = [learn_rotation(x, bits, seed=7 + k)[1] if len(x) else np.zeros((dim, bits)) for k in range(codes)]
+    return _Tables(width, per, tables, radius, near, mean, turns)
 
 
-def _encode(mean: np.ndarray, turns: list[np.ndarray], width: int, tables: int):
+def _encode(how: _Tables):
+    """Adds codes, a long for each rotation, and whether a vector is near the mean."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros((batch.num_rows, tables), dtype=np.int64)
-            if batch.num_rows and width:
-                x = _unit(_matrix(batch.column(2))) - mean
-                t = 0
-                for axes in turns:
-                    signs = x @ axes >= 0
-                    for at in range(0, axes.shape[1] - width + 1, width):
-                        if t < tables:
-                            keys[:, t] = signs[:, at : at + width] @ (1 << np.arange(width, dtype=np.int64))
-                            t += 1
-            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables)
-            lists = pa.ListArray.from_arrays(at, pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["rep", "label", "v", "mult", "keys"])
+            if not batch.num_rows:
+                continue
+            x = _unit(_matrix(batch.column(2))) - how.mean
+            codes = np.zeros((len(x), len(how.turns)), dtype=np.uint64)
+            for c, axes in enumerate(how.turns):
+                codes[:, c] = (x @ axes >= 0).astype(np.uint64) @ (np.uint64(1) << np.arange(axes.shape[1], dtype=np.uint64))
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * codes.shape[1])
+            lists = pa.ListArray.from_arrays(at, pa.array(codes.view(np.int64).ravel()))
+            near = pa.array((x * x).sum(axis=1) < how.near)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, near], ["rep", "label", "v", "mult", "codes", "near"])
+
+    return run
+
+
+def _keys(codes: np.ndarray, how: _Tables, tables: int) -> np.ndarray:
+    """The substrings of the first ``tables`` tables, a column for each."""
+    codes = codes.view(np.uint64)
+    out = np.empty((len(codes), tables), dtype=np.uint64)
+    for t in range(tables):
+        out[:, t] = codes[:, t // how.per] >> np.uint64(t % how.per * how.width) & np.uint64((1 << how.width) - 1)
+    return out
+
+
+def _key(how: _Tables, t: int) -> Column:
+    """``_keys`` of one table as an expression."""
+    shifted = F.shiftrightunsigned(F.col("codes")[t // how.per], t % how.per * how.width)
+    return shifted.bitwiseAND(F.lit((1 << how.width) - 1)) if how.width < 64 else shifted
+
+
+def _candidates(how: _Tables):
+    """A cell, two blocks of a bucket or one with itself: its candidates (a, b), or where they are many all its rows, b being null.
+
+    A pair that shares a bucket of an earlier table is left to that.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("rep").combine_chunks()
+        rep, side, t = cell["rep"].to_numpy(), cell["block"].to_numpy(), cell["t"][0].as_py()
+        codes = _matrix(cell["codes"])
+        signs = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        keys = _keys(codes, how, t)
+        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+        left, right = (np.arange(len(rep)),) * 2 if i == j else (np.flatnonzero(side == i), np.flatnonzero(side != i))
+        found, count = [], 0
+        for at in range(0, len(left), 512):
+            own = left[at : at + 512]
+            # Of signs, the product is the bits that agree less those that differ; unused bits agree.
+            p, q = np.nonzero(signs[own] @ signs[right].T >= signs.shape[1] - 2 * how.radius - 0.5)
+            p, q = own[p], right[q]
+            keep = p < q if i == j else np.ones(len(p), dtype=bool)
+            p, q = p[keep], q[keep]
+            for k in range(0, len(p), 1 << 16):
+                a, b = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                new = ~(keys[a] == keys[b]).any(axis=1)
+                found.append((a[new], b[new]))
+                count += int(new.sum())
+            if count > DENSE * len(rep):
+                break
+        if count > DENSE * len(rep):
+            out = cell.select(["label", "t", "key", "i", "j", "block"]).append_column("a", pa.array(rep))
+            return out.append_column("b", pa.nulls(len(rep), pa.int64()))
+        p, q = (np.concatenate([f[x] for f in found] or [np.zeros(0, dtype=np.int64)]) for x in (0, 1))
+        return cell.select(["label", "t", "key", "i", "j", "block"]).take(pa.array(p)).append_column("a", pa.array(rep[p])).append_column("b", pa.array(rep[q]))
+
+    return run
+
+
+def _decide(least: float):
+    """Of pairs (a, b, va, vb, ma, mb) those that link, once from each side: (a, b, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            linked = (_unit(_matrix(batch["va"])) * _unit(_matrix(batch["vb"]))).sum(axis=1) >= least
+            a, b, ma, mb = (batch[c].to_numpy()[linked] for c in ("a", "b", "ma", "mb"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((a, b), (b, a), (mb, ma))], ["a", "b", "n"])
 
     return run
 
@@ -109,22 +207,21 @@ def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _compare(least: float):
-    """A cell, two blocks of a bucket or one with itself: of each vector with links there (a, b, n).
+def _compare(least: float, how: _Tables):
+    """A cell whose vectors meet as a whole: of each vector with links there (a, b, n).
 
     n: how many rows a links with; b: the smallest that a reaches by the cell's
     links, so that what is connected stays so without all pairs coming out. A
-    pair that shares a bucket of an earlier table is left to that.
+    pair that shares a bucket of an earlier table is left to that. A cell of table -1 has vectors near
+    the mean in block i, and any in block j.
     """
 
     def run(cell: pa.Table) -> pa.Table:
-        cell = cell.sort_by("rep").combine_chunks()
-        rep, side, mult = (cell[c].to_numpy() for c in ("rep", "block", "mult"))
-        x, keys = (_matrix(cell[c].combine_chunks()) for c in ("v", "keys"))
-        x, table = _unit(x), cell["t"][0].as_py()
-        within = cell["i"][0].as_py() == cell["j"][0].as_py()
-        first = side == cell["i"][0].as_py()
-        left, right = (np.arange(len(rep)),) * 2 if within else (np.flatnonzero(first), np.flatnonzero(~first))
+        cell = cell.sort_by([("rep", "ascending"), ("block", "ascending")]).combine_chunks()
+        rep, side, mult, t = (*(cell[c].to_numpy() for c in ("rep", "block", "mult")), cell["t"][0].as_py())
+        x, keys = _unit(_matrix(cell["v"])), _keys(_matrix(cell["codes"]), how, max(t, 0))
+        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+        left, right = (np.arange(len(rep)),) * 2 if i == j else (np.flatnonzero(side == i), np.flatnonzero(side != i))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(left), 512):
             own = left[at : at + 512]
@@ -134,10 +231,10 @@ def _compare(least: float):
             for k in range(0, len(p), 1 << 14):
                 a, b = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
                 keep = (x[a] * x[b]).sum(axis=1) >= least
-                if within:
+                if i == j:
                     keep &= a < b
-                if table:
-                    keep &= ~(keys[a, :table] == keys[b, :table]).any(axis=1)
+                if t > 0:
+                    keep &= ~(keys[a] == keys[b]).any(axis=1)
                 found.append((a[keep], b[keep]))
         p, q = (np.concatenate([f[i] for f in found] or [np.zeros(0, dtype=np.int64)]) for i in (0, 1))
         n = np.bincount(p, weights=mult[q], minlength=len(rep)) + np.bincount(q, weights=mult[p], minlength=len(rep))
@@ -147,33 +244,52 @@ def _compare(least: float):
     return run
 
 
+_CELL = ["label", "t", "key", "i", "j"]
+
+
+def _cells(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of buckets (label, t, key), those of more than a block dealt to cells of two blocks, or of one with itself."""
+    rows = rows.join(large, ["label", "t", "key", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("label", "t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "codes")
+
+
+def _near_cells(keyed: DataFrame, block: int) -> DataFrame:
+    """Cells of table -1: each block of a label's vectors near the mean with itself and with each block of the label's vectors."""
+    size = keyed.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("near").cast("int")).alias("near_n"), salts_seen().alias("salts")).where("near_n > 0")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block).cast("int"))
+    size = size.select("label", parts(F.col("near_n")).alias("ni"), parts(F.col("n") - F.col("near_n")).alias("nj"), each_salt("salts").alias("salt"))
+    rows = keyed.join(size, ["label", "salt"])
+    # Blocks 0 to ni - 1 are of near vectors, those after them of the others.
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("near"), spot("ni")).otherwise(F.col("ni") + spot("nj")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("ni") + F.col("nj")).otherwise(F.col("ni")) - 1)))
+    pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    return rows.select("label", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("key"), *pair, "block", "rep", "mult", "v", "codes")
+
+
 def _links(own: DataFrame, dim: int, least: float, sample: int, block: int, miss: float) -> DataFrame:
-    """(a, b, n) of each class and cell of one length: a's links there, and what it is connected to; own(label, v, rep, mult)."""
-    most, total = 0, 0
-    per = own.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-    most, total = per[0] or 0, per[1] or 0
-    mean, turns, width, tables = np.zeros(dim), [], 0, 1
-    if most > block:
-        picked = own.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(sample / max(1, total) * (1 << 20)) + 1).select("v").limit(2 * sample)
-        x = _unit(np.array([r[0] for r in picked.collect()], dtype=np.float64).reshape(-1, dim))
-        mean = x.mean(axis=0) if len(x) else mean
-        width, tables = _tables(x, mean, min(BITS, dim), most, least, block, miss)
-        if width:
-            codes = -(-tables // (min(BITS, dim) // width))
-            turns = [learn_rotation(x, seed=7 + k)[1] for k in range(codes)]
-    keyed = own.select("rep", "label", "v", "mult").mapInArrow(
-        _encode(mean, turns, width, tables), "rep long, label string, v array<double>, mult long, keys array<long>"
-    )
+    """(a, b, n) of classes of one length: a's links in a cell, and what it is connected to there; own(label, v, rep, mult)."""
+    most, total = own.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+    picked = own.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total or 0)) * (1 << 20)) + 1).select("v").limit(2 * sample)
+    x = np.array([r[0] for r in picked.collect()], dtype=np.float64).reshape(-1, dim)
+    how = _tables(_unit(x) if len(x) else x, most or 0, least, block, miss)
+    plain = own.select("rep", "label", "v", "mult")
+    keyed = plain.mapInArrow(_encode(how), "rep long, label string, v array<double>, mult long, codes array<long>, near boolean")
     keyed = written(keyed.withColumn("salt", salt("rep")))
-    slim = keyed.select("label", "salt", F.posexplode("keys").alias("t", "key"))
+    slim = keyed.where("NOT near").select("rep", "label", "codes", "salt", F.posexplode(F.array(*[_key(how, t) for t in range(how.tables)])).alias("t", "key"))
     large = slim.groupBy("label", "t", "key").agg(F.count("*").alias("count"), salts_seen().alias("salts")).where(F.col("count") > block)
     large = large.select("label", "t", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"), each_salt("salts").alias("salt"))
-    rows = keyed.select("rep", "label", "v", "mult", "keys", "salt", F.posexplode("keys").alias("t", "key"))
-    rows = rows.join(large, ["label", "t", "key", "salt"], "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("label", "t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mult", "v", "keys")
-    return rows.groupBy("label", "t", "key", "i", "j").applyInArrow(_compare(least), "a long, b long, n long")
+    asked = _cells(slim, large).groupBy(*_CELL).applyInArrow(_candidates(how), "label string, t int, key long, i int, j int, block int, a long, b long")
+    asked = written(asked)
+    known = keyed.select("rep", "v", "mult", "codes")
+    side = lambda c: known.select(F.col("rep").alias(c), F.col("v").alias(f"v{c}"), F.col("mult").alias(f"m{c}"))
+    pairs = asked.where("b IS NOT NULL").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    sparse = pairs.select("a", "b", "va", "vb", "ma", "mb").mapInArrow(_decide(least), "a long, b long, n long")
+    dense = asked.where("b IS NULL").select(*_CELL, "block", F.col("a").alias("rep")).join(known, "rep")
+    whole = dense.select(*_CELL, "block", "rep", "mult", "v", "codes").unionByName(_near_cells(keyed, block))
+    return sparse.unionByName(whole.groupBy(*_CELL).applyInArrow(_compare(least, how), "a long, b long, n long"))
 
 
 def vector_groups(
@@ -183,8 +299,8 @@ def vector_groups(
     """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors of one label and length link where their cosine, in double
-    precision, is ``least`` or more; where tables are used, a pair at ``least``
-    is missed with a chance of ``miss`` at the most. Null labels, and vectors that are null,
+    precision, is ``least`` or more; a pair at ``least`` is missed with a chance of
+    ``miss`` or so, one of a vector near the mean never. Null labels, and vectors that are null,
     empty, zero or hold null or non-finite components, link with nothing.
     n_links counts the other rows linked directly, equal vectors included; they
     are one class within and so cost nothing. Rows with one id share its

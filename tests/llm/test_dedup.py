@@ -7,6 +7,7 @@ import pytest
 from tessera.llm import shingles
 from tessera.llm.common import components
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm import itq_dedup
 from tessera.llm.itq_dedup import _links, _tables, vector_groups
 from tessera.llm.minhash import SLOTS, near_groups, signatures
 
@@ -199,20 +200,47 @@ def test_vectors_with_a_common_direction(spark, mean_cosine):
         assert [found[i] for i in range(len(x))] == links.tolist()
 
 
-def test_vector_tables_meet_at_the_threshold(spark):
-    data, x = directed_vectors(4000, 0.2, 4)
-    df = spark.createDataFrame([(i, v, "0", 1) for i, v, _ in data], "rep long, v array<double>, label string, mult long")
-    assert _tables(x, x.mean(axis=0), 64, len(x), 0.93, 128, 1e-2)[0] > 0
+def linked(spark, x, label="0", **options):
+    """Links of each vector by ``_links``, and the rows that come out."""
+    own = {"least": 0.93, "sample": 2000, "block": 2048, "miss": itq_dedup.MISS, **options}
+    df = spark.createDataFrame([(i, v.tolist(), label, 1) for i, v in enumerate(x)], "rep long, v array<double>, label string, mult long").repartition(4)
+    rows = [tuple(r) for r in _links(df, x.shape[1], own["least"], own["sample"], own["block"], own["miss"]).collect()]
+    degree = np.zeros(len(x), dtype=int)
+    for a, _, n in rows:
+        degree[a] += n
+    return degree, rows
+
+
+@pytest.mark.parametrize("mean_cosine, n", [(0.0, 300), (0.0, 8000), (0.5, 8000), (0.8, 4000)])
+def test_vector_tables_find_pairs_at_the_threshold(spark, mean_cosine, n):
+    """Whatever the number of vectors, pairs at the threshold meet in the tables; few of the others become candidates."""
+    _, x = directed_vectors(n, mean_cosine, 4)
+    how = _tables(x[:2000], len(x), 0.93, 2048, itq_dedup.MISS)
+    assert how.width >= itq_dedup.LEAST_WIDTH and how.tables > 4
+    # Nearly all vectors go through the tables.
+    assert (((x - how.mean) ** 2).sum(axis=1) < how.near).mean() < 0.02
     p, q = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
     truth = np.bincount(np.concatenate([p, q]), minlength=len(x))
-    degree, reached = np.zeros(len(x), dtype=int), 0
-    for a, b, n in map(tuple, _links(df, 64, 0.93, 2000, 128, 1e-2).collect()):
-        degree[a] += n
-        # What comes out beside the counts is a place that is reached by links.
-        reached += b <= a
-        assert truth[a] and truth[b]
+    degree, rows = linked(spark, x)
     # No pair is counted twice, though it may meet in several tables.
-    assert (degree <= truth).all() and degree.sum() >= 0.98 * truth.sum() and reached > 0
+    assert (degree <= truth).all() and degree.sum() >= 0.998 * truth.sum()
+    assert all(truth[a] and truth[b] for a, b, _ in rows)
+
+
+def test_vectors_near_the_mean_are_compared_with_all(spark):
+    """Vectors at the mean see wide angles: their pairs must not depend on the codes."""
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=32))
+    x = unit(0.7 * centre + 0.714 * unit(rng.normal(size=(1500, 32))))
+    mean = unit(x.mean(axis=0))
+    near = unit(mean + 0.33 * unit(rng.normal(size=(40, 32))))
+    x = np.concatenate([x, near])
+    truth = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert truth[1500:].sum() > 50
+    for block in (2048, 100):
+        degree, _ = linked(spark, x, block=block)
+        assert degree[1500:].tolist() == truth[1500:].tolist()
 
 
 def test_a_large_group_of_near_vectors_gives_no_pairs(spark):
@@ -221,7 +249,7 @@ def test_a_large_group_of_near_vectors_gives_no_pairs(spark):
     x = centre + 0.1 * rng.normal(size=(600, 64))
     df = spark.createDataFrame([(i, v.tolist(), "0", 1) for i, v in enumerate(x)], "rep long, v array<double>, label string, mult long")
     rows = _links(df, 64, 0.93, 500, 100, 1e-4).collect()
-    # 21 cells of two blocks: a row for each vector and cell at the most, though all 179,700 pairs link.
+    # A row for each vector and cell at the most, though all 179,700 pairs link.
     assert len(rows) <= 21 * 230 and sum(r[2] for r in rows) == 600 * 599
     found = vector_groups(df.selectExpr("rep as vec_id", "v as embedding", "label"), block=100).collect()
     assert {(r[1], r[2]) for r in found} == {(599, 0)}
