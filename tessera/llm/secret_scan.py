@@ -34,6 +34,8 @@ PROSE_MATCH = 0.06
 HEX_LETTERS = 0.35
 #: Sums of lengths are made in blocks, so that many hits in a long text stay cheap.
 _BLOCK = 256
+#: Code points of a block of a text that is rewritten.
+_PART = 4096
 
 _SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 # Alphabets in the order of their encodings' symbols, tried in turn; fixed values.
@@ -193,36 +195,69 @@ def _decision(n: Column, size: Column, y: Column) -> Column:
 
 def _stretches(spans: Column) -> Column:
     """The stretches (s, e) that spans, ordered by start, cover: spans that meet are one."""
-    span = "struct<s:int,e:int>"
-    close = lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-    return F.aggregate(
-        spans,
-        F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("open")),
-        lambda a, x: F.when(
-            a["open"].isNotNull() & (x["s"] <= a["open"]["e"]),
-            F.struct(a["done"].alias("done"), F.struct(a["open"]["s"].alias("s"), F.greatest(a["open"]["e"], x["e"]).alias("e")).alias("open")),
-        ).otherwise(F.struct(close(a).alias("done"), F.struct(x["s"].alias("s"), x["e"].alias("e")).alias("open"))),
-        close,
+    span = "array<struct<s:int,e:int>>"
+
+    def joined(x: Column, tops: Column) -> Column:
+        # The first span of each stretch begins beyond the ends of all before it.
+        firsts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["s"] > F.get(tops, i - 1)))
+        return _let(firsts, lambda f: F.transform(f, lambda i, j: F.struct(F.get(x, i)["s"].alias("s"), F.get(tops, F.coalesce(F.get(f, j + 1), F.size(x)) - 1).alias("e"))))
+
+    found = _let(spans, lambda x: _let(_tops(F.transform(x, lambda y: y["e"])), lambda tops: joined(x, tops)))
+    return F.when(F.size(spans) > 0, found).otherwise(F.array().cast(span))
+
+
+def _tops(values: Column) -> Column:
+    """The largest of each value and all before it, by blocks."""
+    part = lambda v, b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))
+    return _let(
+        values,
+        lambda v: _let(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.array_max(part(v, b))),
+            lambda blocks: _let(
+                F.transform(blocks, lambda _, b: F.coalesce(F.array_max(F.slice(blocks, F.lit(1), b)), F.lit(-1))),
+                lambda sofar: F.transform(
+                    v,
+                    lambda _, i: _let(
+                        F.floor(i / _BLOCK).cast("int"),
+                        lambda b: F.greatest(F.get(sofar, b), F.array_max(F.slice(v, b * _BLOCK + 1, i % _BLOCK + 1))),
+                    ),
+                ),
+            ),
+        ),
     )
 
 
+def _count_below(n: Column, below) -> Column:
+    """How many of the places 0 to n - 1 ``below`` holds for, which it does up to some place and not after it: by halving."""
+    ends = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        go = (a["lo"] < a["hi"]) & below(middle)
+        return F.struct(F.when(go, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(go, a["hi"]).otherwise(F.greatest(a["lo"], F.least(middle, a["hi"]))).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1), ends, step, lambda a: a["lo"])
+
+
 def _outside(tokens: Column, stretches: Column) -> Column:
-    """What the stretches leave of tokens: parts of LEAST symbols or more."""
+    """What the stretches leave of tokens, both in order: parts of LEAST symbols or more."""
     begin = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda x: x["e"]))
     end = F.concat(F.transform(stretches, lambda x: x["s"]), F.array(F.lit(2**31 - 1)))
-    free = F.arrays_zip(begin.alias("s"), end.alias("e"))
-
-    def parts(t: Column) -> Column:
-        own = F.filter(free, lambda f: F.least(f["e"], t["e"]) - F.greatest(f["s"], t["s"]) >= LEAST)
-        return F.transform(
-            own,
-            lambda f: _let(
-                F.struct(F.greatest(f["s"], t["s"]).alias("s"), F.least(f["e"], t["e"]).alias("e")),
-                lambda p: F.struct(p["s"].alias("s"), t["k"].alias("k"), p["e"].alias("e"), F.substring(t["v"], p["s"] - t["s"] + 1, p["e"] - p["s"]).alias("v")),
-            ),
+    part = "struct<s:int,k:int,e:int,v:string>"
+
+    def parts(t: Column, free: Column) -> Column:
+        # The free stretches that end after the token's beginning and begin before its end.
+        first = _count_below(F.size(free), lambda i: F.get(free, i)["e"] <= t["s"])
+        last = _count_below(F.size(free), lambda i: F.get(free, i)["s"] < t["e"])
+        own = lambda f: F.struct(F.greatest(f["s"], t["s"]).alias("s"), F.least(f["e"], t["e"]).alias("e"))
+        cut = lambda p: F.struct(p["s"].alias("s"), t["k"].alias("k"), p["e"].alias("e"), F.substring(t["v"], p["s"] - t["s"] + 1, p["e"] - p["s"]).alias("v"))
+        some = _let(
+            F.struct(first.alias("a"), last.alias("b")),
+            lambda r: F.when(r["b"] > r["a"], F.transform(F.sequence(r["a"], r["b"] - 1), lambda i: own(F.get(free, i)))).otherwise(F.array().cast("array<struct<s:int,e:int>>")),
         )
+        return F.transform(F.filter(some, lambda p: p["e"] - p["s"] >= LEAST), cut).cast(f"array<{part}>")
 
-    return F.flatten(F.transform(tokens, parts))
+    return _let(F.arrays_zip(begin.alias("s"), end.alias("e")), lambda free: F.flatten(F.transform(tokens, lambda t: parts(t, free))))
 
 
 def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fdr: float = FDR) -> DataFrame:
@@ -249,13 +284,14 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     df = df.withColumn("_tests", F.transform("_tokens", lambda t: battery(t["v"])))
     df = df.withColumn("_ps", F.array_sort(F.transform("_tests", lambda t: t["p_prose"])))
     # Benjamini and Hochberg: the largest p that is within its rank's share of the rate.
-    passed = F.filter(
-        F.transform("_ps", lambda p, i: F.when(p <= fdr * (i + 1) / F.size("_ps"), p)), lambda p: p.isNotNull()
+    passed = _let(
+        F.col("_ps"), lambda ps: F.filter(F.transform(ps, lambda p, i: F.when(p <= fdr * (i + 1) / F.size(ps), p)), lambda p: p.isNotNull())
     )
     df = df.withColumn("_most", F.coalesce(F.array_max(passed), F.lit(-1.0)))
-    taken = F.filter(
-        F.arrays_zip("_tokens", "_tests"),
-        lambda x: (x["_tests"]["p_prose"] <= F.col("_most")) & (x["_tests"]["p_random"] >= RANDOM_P),
+    # A column that a lambda names once is worked out for every element: the bar is bound before.
+    taken = _let(
+        F.col("_most"),
+        lambda most: F.filter(F.arrays_zip("_tokens", "_tests"), lambda x: (x["_tests"]["p_prose"] <= most) & (x["_tests"]["p_random"] >= RANDOM_P)),
     )
     df = df.withColumn("spans", F.array_sort(F.concat("base", F.transform(taken, lambda x: x["_tokens"]))))
     return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "_text", "base", "spans")
@@ -297,14 +333,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     own = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     found = secret_spans(own, text=f"c{at}", keep=tuple(own.columns))
     found = found.withColumn("_cuts", F.when(F.size("spans") > 0, _stretches(F.col("spans"))))
-    last = F.col("_cuts")[F.size("_cuts") - 1]["e"]
-    pieces = F.transform(
-        "_cuts",
-        lambda c, i: F.concat(
-            F.substring("_text", F.when(i == 0, 1).otherwise(F.get("_cuts", i - 1)["e"] + 1), c["s"] - F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["e"])),
-            F.lit(mark),
-        ),
-    )
-    clean = F.concat(F.array_join(pieces, ""), F.substring("_text", last + 1, F.length("_text")))
+    # The text in blocks, so that a piece is sought in its own ones and not from the text's beginning.
+    found = found.withColumn("_parts", F.when(F.size("spans") > 0, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))))
+
+    def between(parts: Column, begin: Column, end: Column) -> Column:
+        block = lambda at: F.floor(at / _PART).cast("int")
+        inside = lambda j: F.greatest(begin - j * _PART, F.lit(0))
+        own = F.transform(F.sequence(block(begin), block(end - 1)), lambda j: F.substring(F.get(parts, j), inside(j) + 1, F.least(end - j * _PART, F.lit(_PART)) - inside(j)))
+        return F.when(end > begin, F.array_join(own, "")).otherwise("")
+
+    def cleaned(cuts: Column, parts: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["e"])
+        pieces = F.transform(cuts, lambda c, i: F.concat(between(parts, before(i), c["s"]), F.lit(mark)))
+        return F.concat(F.array_join(pieces, ""), between(parts, F.get(cuts, F.size(cuts) - 1)["e"], F.length("_text")))
+
+    clean = _let(F.col("_cuts"), lambda cuts: _let(F.col("_parts"), lambda parts: cleaned(cuts, parts)))
     text = F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col(f"c{at}"))
     return found.select(*[text.alias(c) if i == at else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

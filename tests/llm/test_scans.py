@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,35 @@ def test_redact(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "x [SECRET] y [SECRET]é z", 5), (2, None, 6), (3, "", 7), (4, "[SECRET]", 8), (5, "clean", 9)]
 
 
+def test_many_hits_in_one_text_are_linear_work(spark):
+    """20,000 base spans and as many tokens, some of them cut: a text of about 1 MB."""
+    rng, letters = random.Random(15), ENCODINGS["base64"][0]
+    parts = []
+    for i in range(20_000):
+        key, token = "".join(rng.choices("0123456789abcdef", k=20)), "".join(rng.choices(letters, k=24))
+        parts.append(f"é{key} {token}" if i % 4 else f"{'Z' * 22}{key}{'Y' * 22}")
+    text = "\n".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secret_report(docs.limit(0)).collect()
+    began = time.time()
+    (r,) = secret_report(docs).collect()
+    took = time.time() - began
+    assert (r.n_assign, r.n_access, r.n_hex) == brute_base(text)[0] and r.base_sha256 == brute_base(text)[1] and r.n_hex >= 20_000
+    assert took < 20, took
+    began = time.time()
+    (clean,) = redact(docs).collect()
+    assert time.time() - began < 30
+    spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(",")))
+    out, at = [], 0
+    while spans:
+        s, e = spans.pop(0)
+        while spans and spans[0][0] <= e:
+            e = max(e, spans.pop(0)[1])
+        out += [text[at:s], "[SECRET]"]
+        at = e
+    assert clean.text == "".join(out) + text[at:]
+
+
 def test_spans_are_places_in_the_text(edge_docs):
     for r in secret_spans(edge_docs).collect():
         for x in r.spans:
