@@ -34,32 +34,81 @@ def ask(prompts: DataFrame, model: TextGenerator, config: Config = Config()) ->
 
 def answer(
     questions: DataFrame, search: Callable[[DataFrame], DataFrame], prompt: Callable[[DataFrame, DataFrame], DataFrame], model: TextGenerator,
-    config: Config = Config(),
+    config: Config = Config(), history: Callable[[DataFrame, int], DataFrame] | None = None, contexts: bool = False,
 ) -> DataFrame:
-    """Answers of questions(query_id, text): query_id, answer, sources.
+    """Answers of questions(query_id, text): query_id, answer, sources; with ``contexts`` also the doc_ids that the last prompt stood on, by rank.
 
     ``search`` gives ranked lists (query_id, doc_id, rank, score) of queries;
-    ``prompt`` gives (query_id, prompt, n_sources). A round in which replies
-    have follow-up queries searches these too and asks again, up to the limit.
+    ``prompt`` gives (query_id, prompt, n_sources). What a question has come to is a row of a
+    table that each round writes anew: how much memory it has, its reply, and whether it is open. A round asks for the
+    open ones. A reply with follow-up queries that were not searched yet has them searched; one that needs more
+    memory, where ``history(questions, n)`` gives (query_id, history), has the longer history from
+    then on, once. A question is closed when its reply asks for neither, or at the limit of rounds.
     """
-    ranked = search(questions.select("query_id", "text"))
-    seen = questions.select("query_id", "text")
+    asked = questions.select("query_id", "text")
+    ranked = kept(search(asked))
+    seen = asked
+    state = kept(asked.withColumns({"level": F.lit(config.history_short), "open": F.lit(True)}))
+    replies = None
     for turn in range(config.research_rounds + 1):
-        replies = kept(ask(prompt(questions, ranked), model, config))
-        more = replies.select("query_id", F.explode("payload.follow_up_queries").alias("text"))
-        more = more.join(seen, ["query_id", "text"], "left_anti")
-        if turn == config.research_rounds or more.isEmpty():
+        open_ = state.where("open").select("query_id", "text", "level")
+        new = kept(ask(_with_history(prompt(open_.select("query_id", "text"), ranked.join(open_.select("query_id"), "query_id", "left_semi")), open_, history, config), model, config))
+        replies = new if replies is None else kept(replies.join(new.select("query_id"), "query_id", "left_anti").unionByName(new))
+        if turn == config.research_rounds:
+            break
+        more = new.select("query_id", F.explode("payload.follow_up_queries").alias("text"))
+        more = kept(more.join(seen, ["query_id", "text"], "left_anti"))
+        longer = new.where(F.coalesce("payload.needs_additional_memory", F.lit(False))).select("query_id", F.lit(True).alias("longer"))
+        if history is None:
+            longer = longer.where("false")
+        wanted = more.select("query_id").distinct().withColumn("searched", F.lit(True))
+        grows = F.coalesce("longer", F.lit(False)) & (F.col("level") < config.history_long)
+        state = state.join(longer, "query_id", "left").join(wanted, "query_id", "left")
+        state = state.withColumn("open", F.col("open") & (grows | F.coalesce("searched", F.lit(False))))
+        state = kept(state.withColumn("level", F.when(grows, config.history_long).otherwise(F.col("level"))).drop("longer", "searched"))
+        if state.where("open").isEmpty():
             break
         seen = seen.unionByName(more)
-        new = search(more).withColumn("_turn", F.lit(1))
-        both = ranked.withColumn("_turn", F.lit(0)).unionByName(new)
-        once = both.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_turn", "rank"))).where("_n = 1")
-        ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_turn", "rank", "doc_id"))).drop("_turn", "_n")
+        if not more.isEmpty():
+            both = ranked.withColumn("_turn", F.lit(0)).unionByName(search(more).withColumn("_turn", F.lit(1)))
+            once = both.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_turn", "rank"))).where("_n = 1")
+            ranked = kept(once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_turn", "rank", "doc_id"))).drop("_turn", "_n"))
     numbers = replies.select("query_id", F.explode("payload.sources").alias("source"))
     sources = cited(ranked, numbers).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "doc_id"))).alias("s"))
-    return replies.select("query_id", F.col("payload.answer").alias("answer")).join(sources, "query_id", "left").select(
+    out = replies.select("query_id", F.col("payload.answer").alias("answer")).join(sources, "query_id", "left").select(
         "query_id", "answer", F.coalesce(F.transform("s", lambda x: x["doc_id"]), F.array().cast("array<bigint>")).alias("sources")
     )
+    if contexts:
+        lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("c"))
+        out = out.join(lists, "query_id", "left").withColumn("contexts", F.coalesce(F.transform("c", lambda x: x["doc_id"]), F.array().cast("array<bigint>"))).drop("c")
+    return out
+
+
+def _with_history(prompts: DataFrame, open_: DataFrame, history, config: Config) -> DataFrame:
+    """Prompts after what is remembered of their questions' conversations, as much as each question's level says."""
+    if history is None:
+        return prompts
+    texts = None
+    for n in sorted({config.history_short, config.history_long}):
+        own = history(open_.where(F.col("level") == n).select("query_id", "text"), n).select("query_id", "history")
+        texts = own if texts is None else texts.unionByName(own)
+    with_text = prompts.join(texts, "query_id", "left")
+    return with_text.withColumn("prompt", F.concat_ws("\n\n", F.nullif("history", F.lit("")), "prompt")).drop("history")
+
+
+def answer_with_contexts(
+    questions: DataFrame, search: Callable[[DataFrame], DataFrame], prompt: Callable[[DataFrame, DataFrame], DataFrame], model: TextGenerator,
+    texts: DataFrame, config: Config = Config(), history: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
+    """Answers with the texts they stand on, as evaluation records have them: query_id, question, answer, sources, contexts.
+
+    texts(doc_id, text) has what ``search`` finds; contexts are by rank.
+    """
+    found = answer(questions, search, prompt, model, config, history, contexts=True)
+    places = found.select("query_id", F.posexplode("contexts").alias("at", "doc_id")).join(texts.select("doc_id", "text"), "doc_id")
+    lists = places.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("c"))
+    out = found.drop("contexts").join(lists, "query_id", "left").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+    return out.select("query_id", "question", "answer", "sources", F.coalesce(F.transform("c", lambda x: x["text"]), F.array().cast("array<string>")).alias("contexts"))
 
 
 def routed(questions: DataFrame, router: Router) -> DataFrame:
@@ -94,11 +143,11 @@ def answer_all(
     """Answers of all questions, with a search where the router wants one: query_id, answer, sources, retrieved.
 
     ``history(questions, n)`` gives (query_id, history), the last n exchanges. A
-    reply without a search that needs more memory is asked for once more with
+    reply that needs more memory, with a search or without, is asked for once more with
     all that is remembered.
     """
     way = kept(routed(questions, router))
-    found = answer(way.where("retrieve").drop("retrieve"), search, prompt, model, config)
+    found = answer(way.where("retrieve").drop("retrieve"), search, prompt, model, config, history)
     rest = way.where("not retrieve").select("query_id", "text")
     if history is None:
         plain = answer_plain(rest, model, None, config)

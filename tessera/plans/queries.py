@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.parsing import json_object
 from tessera.functions.settings import question_of
-from tessera.operators.clusters import level
+from tessera.operators import ivf
+from tessera.operators.clusters import cluster_silhouettes, level
 from tessera.operators.dense import nearest
 from tessera.operators.folds import common_or_mixed, metric_means, pack_tokens, pending
 from tessera.operators.filters import allowed, best_score, counters, of_kinds, one_export, with_cached_scores
+from tessera.operators.lattice import analyser_terms, frequency_dictionary
 from tessera.operators.messages import dated, gap_sessions, joined_lines, latest_name, lines, message_chunks
 from tessera.operators.parents import append_parents, expand, first_of, fresh, newest, restore, root_parent, stale
 from tessera.operators.ranking import cap_parents, cited, diversify, last_n, merge, overlap_score, quota_merge, rerank
-from tessera.operators.sparse import SparseIndex, both_searches, build_index, query_terms, search, staged_terms
+from tessera.operators.sparse import both_searches, build_index, query_terms, search, staged_terms
 from tessera.operators.split import first_in_span, first_level, second_level
 from tessera.plans.retrieve import context, embedding_text, retrieve, source_url, with_parents
 from tessera.sources.web import html_text
@@ -44,20 +46,13 @@ def _vector_queries(spark, sf_dir):
     return _vectors(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding", "label")
 
 
-#: Saved indexes of an application's tables.
-_SAVED: dict[tuple[str, str], SparseIndex] = {}
-
-
 def _index(spark, sf_dir, k1=1.5, b=0.75):
-    """The index of documents, built and saved once by an application and read from there."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SAVED:
-        _SAVED[key] = build_index(_docs(spark, sf_dir)).kept()
-    return _SAVED[key].with_parameters(k1, b)
+    """The index of documents, built and saved by the query that asks for it."""
+    return build_index(_docs(spark, sf_dir), k1, b).kept()
 
 
-def _bm25(spark, sf_dir, k1=1.5, b=0.75, k=20):
-    return search(_index(spark, sf_dir, k1, b), query_terms(_questions(spark, sf_dir)), k)
+def _bm25(spark, sf_dir, index=None, k=20):
+    return search(index or _index(spark, sf_dir), query_terms(_questions(spark, sf_dir)), k)
 
 
 def term_document_frequency(spark, sf_dir):
@@ -76,6 +71,33 @@ def dense_topk(spark, sf_dir):
     return nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 20)
 
 
+def ivf_exact_topk(spark, sf_dir):
+    """The nearest vectors through the inverted file, the lists that can still matter included."""
+    return ivf.search(ivf.build(_vectors(spark, sf_dir)), _vector_queries(spark, sf_dir), 20, exact=True)
+
+
+def ivf_recall(spark, sf_dir):
+    """How much of the true 20 nearest the inverted file finds with its own margin: one row, recall_ok from 0.95 on."""
+    queries = _vector_queries(spark, sf_dir)
+    truth = nearest(_vectors(spark, sf_dir), queries, 20).select("query_id", "doc_id", F.lit(1).alias("true"))
+    found = ivf.search(ivf.build(_vectors(spark, sf_dir)), queries, 20).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    both = truth.join(found, ["query_id", "doc_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_true"), (F.count("hit") / F.count("*") >= 0.95).alias("recall_ok"))
+
+
+def label_silhouette(spark, sf_dir):
+    """The mean silhouette of each label's vectors, by sums of clusters."""
+    rows = _vectors(spark, sf_dir).select("embedding", F.col("label").alias("cluster"))
+    return cluster_silhouettes(rows).select(F.col("cluster").alias("label"), "n", F.round("silhouette", 6).alias("silhouette"))
+
+
+def analysed_terms(spark, sf_dir):
+    """Terms of documents by the lattice analyser, whose words and costs come from the documents: term, df."""
+    docs = _docs(spark, sf_dir)
+    terms = analyser_terms(spark, frequency_dictionary(docs), stop=frozenset({"stop"}))
+    return build_index(docs, terms=terms).terms.select("term", "df")
+
+
 def dense_topk_filtered(spark, sf_dir):
     return nearest(_vectors(spark, sf_dir).where(F.col("label").isin(1, 2, 3)), _vector_queries(spark, sf_dir), 20)
 
@@ -91,7 +113,8 @@ def hybrid_merge(spark, sf_dir):
 
 
 def quota_merge_lists(spark, sf_dir):
-    return quota_merge(_bm25(spark, sf_dir), _bm25(spark, sf_dir, 1.2, 0.5), 20, 12)
+    index = _index(spark, sf_dir)
+    return quota_merge(_bm25(spark, sf_dir, index), _bm25(spark, sf_dir, index.with_parameters(1.2, 0.5)), 20, 12)
 
 
 def parent_cap(spark, sf_dir):
@@ -417,8 +440,8 @@ def chat_chunks(spark, sf_dir):
 
 
 def parents_of_hits(spark, sf_dir):
-    """Each user question of a conversation finds the second-level chunks after it; their first-level chunks follow."""
-    docs = _table(spark, sf_dir, "documents").where("n_chars < 4000")
+    """Each document asks and finds its first three second-level chunks; their first-level chunks follow."""
+    docs = _docs(spark, sf_dir)
     first = first_level(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "source")
     second = second_level(first.withColumnRenamed("source", "doc_id")).withColumnRenamed("doc_id", "source")
     number = lambda kind: F.xxhash64(F.lit(kind), "source", "chunk_id")
@@ -460,6 +483,10 @@ QUERIES = {
     "bm25_idf_floor": bm25_idf_floor,
     "bm25_topk": bm25_topk,
     "dense_topk": dense_topk,
+    "ivf_exact_topk": ivf_exact_topk,
+    "ivf_recall": ivf_recall,
+    "label_silhouette": label_silhouette,
+    "analysed_terms": analysed_terms,
     "dense_topk_filtered": dense_topk_filtered,
     "hybrid_merge": hybrid_merge,
     "quota_merge": quota_merge_lists,
@@ -606,6 +633,19 @@ SELECT doc_id, md5(trim(text, ' ') || chr(10) || 'source: ' || source || CASE WH
     "bm25_idf_floor": f"WITH {_INDEX} SELECT term, round(idf, 6) AS idf FROM t",
     "bm25_topk": f"WITH {_INDEX},{_ASKED},{_found('h')} SELECT query_id, doc_id, score, rank FROM h",
     "dense_topk": f"WITH {_near(_FIFTIETH)} SELECT query_id, doc_id, score, rank FROM d",
+    "ivf_exact_topk": f"WITH {_near(_FIFTIETH)} SELECT query_id, doc_id, score, rank FROM d",
+    "ivf_recall": """
+SELECT count(*) AS n_queries, sum(least(20, (SELECT count(*) FROM embeddings)))::BIGINT AS n_true, true AS recall_ok FROM embeddings WHERE vec_id % 50 = 0""",
+    "label_silhouette": """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (
+  SELECT a.vec_id, a.label, b.label AS other, sum(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) ** 2))) AS total, count(*) AS n
+  FROM v a JOIN v b ON true GROUP BY a.vec_id, a.label, b.label),
+s AS (
+  SELECT vec_id, label, max(CASE WHEN label = other THEN total / greatest(n - 1, 1) END) AS a, max(CASE WHEN label = other THEN n END) AS n,
+         min(CASE WHEN label <> other THEN total / n END) AS b
+  FROM d GROUP BY vec_id, label)
+SELECT label, count(*) AS n, round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s GROUP BY label""",
     "dense_topk_filtered": f"WITH {_near(_FIFTIETH, 'label IN (1, 2, 3)')} SELECT query_id, doc_id, score, rank FROM d",
     "hybrid_merge": f"""WITH {_INDEX},{_ASKED},{_found('h')},{_near(_OF_ITEMS)},
 u AS (SELECT query_id, doc_id, 0 AS l, rank FROM d UNION ALL SELECT query_id, doc_id, 1, rank FROM h),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.operators.dense import nearest
-from tessera.operators.parents import append_parents, expand, restore, root_parent
+from tessera.operators.parents import append_parents, expand, first_of, restore, root_parent
 from tessera.operators.ranking import cap_parents, diversify, merge, overlap_score, rerank
 from tessera.operators.sparse import SparseIndex, both_searches, query_terms, search
+from tessera.plans.models import score_with
 
 
 def retrieve(
@@ -21,7 +22,8 @@ def retrieve(
     ``changed``(query_id, text), where given, is what a model made of the questions
     for the sparse search. With an ``embed`` hook (df with text -> df with
     embedding) chunks of the pool without a vector get one; without it, and for
-    questions without a vector, the reranked order stays. A question that finds
+    questions without a vector, the reranked order stays. ``scorer`` is a function of the columns of question
+    and text, or a ``Scorer`` whose model scores pairs. A question that finds
     nothing gets the nearest of ``fallback``(doc_id, text, embedding, parent), where given.
     """
     vectors = chunks.where("embedding is not null")
@@ -30,14 +32,18 @@ def retrieve(
     known = chunks.select("doc_id", "text", "embedding", "parent")
     lists = [dense, sparse]
     if fallback is not None:
-        known = known.unionByName(fallback.select(*known.columns)).dropDuplicates(["doc_id"])
+        # A chunk that is in both is the collection's own.
+        both = known.withColumn("_from", F.lit(0)).unionByName(fallback.select(*known.columns).withColumn("_from", F.lit(1)))
+        known = first_of(both, ["doc_id"], ["_from"]).drop("_from")
         empty = queries.join(dense.select("query_id"), "query_id", "left_anti").join(sparse.select("query_id"), "query_id", "left_anti")
         lists.append(nearest(fallback.where("embedding is not null"), empty, config.top_k))
     pool = merge(*lists)
     asked = queries.select("query_id", F.col("text").alias("query_text"), F.col("embedding").alias("query_embedding"))
     # Lists are bounded by their k, so these joins move few rows of the queries' side.
     full = pool.join(known, "doc_id").join(asked, "query_id")
-    if use_rerank:
+    if use_rerank and callable(getattr(scorer, "score", None)):
+        full = rerank(score_with(full, scorer), F.col("model_score"))
+    elif use_rerank:
         full = rerank(full, scorer(F.col("query_text"), F.col("text")))
     capped = cap_parents(full, F.col("parent"), config.parent_cap)
     order = rerank(capped, F.lit(0.0), config.rerank_pool)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import id_of_name
+from tessera.operators.parents import first_of
 from tessera.schemas import CHUNK_SCHEMA, ORIGIN, PLACE, exported
+from tessera.sources.versions import VersionedTable
 
 _FIELDS = [*ORIGIN, *[c for c, _ in PLACE]]
 # Keys of the sidecar format; fixed values.
@@ -87,7 +89,9 @@ def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.regexp_replace("path", r"\.meta\.json$", "").alias("path"), F.from_json("json", ", ".join(f"{c} string" for c in SIDECAR)).alias("m")
     )
     known = parsed.select("path", *[F.nullif(F.trim(F.col("m")[c]), F.lit("")).alias(c) for c in SIDECAR])
-    out = files.join(known.dropDuplicates(["path"]), "path", "left")
+    # Of several sidecars of a file, that whose text comes first, so that the choice does not change from run to run.
+    one = first_of(known, ["path"], list(SIDECAR))
+    out = files.join(one, "path", "left")
     return out.withColumn("drive_file_id", F.coalesce("drive_file_id", id_of_name(F.col("name"))))
 
 
@@ -193,6 +197,40 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(key.alias("meeting_key"), index.alias("transcript_index"), day.alias("meeting_date"), label.alias("meeting_label"), "text").where("meeting_key <> ''")
 
 
+def meeting_summaries(chunks: DataFrame, last: int | None = None, index: int | None = None) -> DataFrame:
+    """Summaries of meetings among chunks(meeting_key, transcript_index, chunk_id, chunk_stage, text): meeting_key, transcript_index, chunk_id, text.
+
+    All of them, the ``last`` so many of each meeting by running number, or those of the transcript ``index``. Empty ones are left out.
+    """
+    out = chunks.where("chunk_stage = 'summery' AND meeting_key IS NOT NULL AND trim(text) <> ''").select("meeting_key", "transcript_index", "chunk_id", "text")
+    if index is not None:
+        out = out.where(F.col("transcript_index") == index)
+    if last is not None:
+        order = Window.partitionBy("meeting_key").orderBy(F.desc("chunk_id"), F.desc("transcript_index"))
+        out = out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(0, last)).drop("_n")
+    return out
+
+
+def add_summaries(table: VersionedTable, new: DataFrame, version: int | None = None) -> DataFrame:
+    """Summaries new(meeting_key, transcript_index, text) added to a meetings' table, chunk_id running on in each meeting.
+
+    A transcript that has a summary already is left out, so a job may come again.
+    """
+    rows = new.select("meeting_key", F.col("transcript_index").cast("int").alias("transcript_index"), "text", F.lit("summery").alias("chunk_stage"))
+    rows = rows.dropDuplicates(["meeting_key", "transcript_index"])
+    old = table.current()
+    if old is not None:
+        rows = rows.join(old.select("meeting_key", "transcript_index"), ["meeting_key", "transcript_index"], "left_anti")
+    return table.append_numbered(rows, ["meeting_key"], ["transcript_index"], "chunk_id", version)
+
+
+def summary_prompt_row(text: Column, title: Column, path: Column, level: Column) -> Column:
+    """A chunk as the summarising model sees it: its text, then a line for its title and, on the lowest level, one for its path; an empty text is empty."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.nullif(F.trim(c), F.lit("")))
+    rows = F.concat_ws("\n", F.trim(text), line("title", title), F.when(level == 0, line("path", path)))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit("")).otherwise(rows)
+
+
 def write_transcripts(lines: DataFrame, folder: str) -> None:
     """Transcript lines(meeting_key, transcript_index, offset, user_name, text, line) as text files, one for each transcript."""
     order = F.array_sort(F.collect_list(F.struct("offset", "user_name", "text", "line")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.text import tidy_lines
+from tessera.operators.parents import first_of
 
 # Elements whose content is not text of the article, elements that end a line, and elements without an end tag; fixed values.
 SKIPPED = frozenset("script style noscript template svg img picture source figure figcaption nav header footer aside form".split())
@@ -99,11 +101,14 @@ def read_feed(spark: SparkSession, path: str, base: str = "") -> DataFrame:
     url = F.coalesce(F.get(alternate, 0)["_href"], F.get(links, 0)["_href"])
     if base:
         url = F.pandas_udf(_joined(base), "string")(url)
+    # Rows of a file come in their order, so the id that Spark gives them tells which came first.
+    raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
     out = raw.select(
-        F.coalesce(F.nullif(F.trim("id"), F.lit("")), url).alias("entry_id"), F.trim("title").alias("title"), url.alias("url"),
+        "_file", "_at", F.coalesce(F.nullif(F.trim("id"), F.lit("")), url).alias("entry_id"), F.trim("title").alias("title"), url.alias("url"),
         F.coalesce("published", "updated").alias("created_at"), F.coalesce("updated", "published").alias("updated_at"), F.col("content._VALUE").alias("content"),
     )
-    return out.where("url is not null").dropDuplicates(["entry_id"])
+    # Of entries with one id the first is kept: by file, then by its place there.
+    return first_of(out.where("url is not null"), ["entry_id"], ["_file", "_at"]).drop("_file", "_at")
 
 
 def with_bodies(entries: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
@@ -114,13 +119,18 @@ def with_bodies(entries: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
 
 
 def pages_of(fetch: Callable[[str], tuple[str, str | None]], url: str, most: int = 200) -> Iterator[tuple[str, str]]:
-    """(url, body) of a feed's pages: ``fetch`` gives a body and the next page's link; ends at a page that was there before."""
+    """(url, body) of a feed's pages: ``fetch`` gives a body and the next page's link; ends at a page that was there before.
+
+    It ends at ``most`` pages too, with a warning that names the page that was not read.
+    """
     seen: set[str] = set()
     while url and url not in seen and len(seen) < most:
         seen.add(url)
         body, following = fetch(url)
         yield url, body
         url = urljoin(url, following) if following else ""
+    if url and url not in seen:
+        warnings.warn(f"{most} pages read; {url} and what follows it are not", stacklevel=2)
 
 
 class _Part(InputPartition):
