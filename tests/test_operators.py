@@ -279,7 +279,7 @@ def test_routing_and_memory(spark):
     questions = spark.createDataFrame([(1, "find it"), (2, "hello"), (3, "more please"), (4, "broken")], "query_id long, text string")
     with cancellable(spark, "t"):
         rows = {r.query_id: (r.answer, r.sources, r.retrieved) for r in answer_all(questions, Router(), search_, prompt, Model(), history).collect()}
-    assert rows == {1: ("find it", [5], True), 2: ("brief||hello", [], False), 3: ("long||more please", [], False), 4: ("broken", [5], True)}
+    assert rows == {1: ("brief||find it", [5], True), 2: ("brief||hello", [], False), 3: ("long||more please", [], False), 4: ("brief||broken", [5], True)}
     plain = {r.query_id: r.answer for r in answer_all(questions, Router(), search_, prompt, Model()).collect()}
     assert plain[3] == "more please"
 
