@@ -42,6 +42,8 @@ LEAST_WIDTH = 4
 NEAR, WIDEST = 0.002, 0.3
 #: Candidates for each row of a cell beyond which its vectors meet there as a whole.
 DENSE = 8
+# Rows of a block that are held against the other block at a time.
+_ROWS = 256
 TURNS = 30
 
 
@@ -141,40 +143,45 @@ def _key(how: _Tables, t: int) -> Column:
     return shifted.bitwiseAND(F.lit((1 << how.width) - 1)) if how.width < 64 else shifted
 
 
-def _candidates(how: _Tables):
-    """A cell, two blocks of a bucket or one with itself: its candidates (a, b), or where they are many all its rows, b being null.
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The places of a cell's two blocks, and whether it is one block with itself."""
+    i, j, side = cell["i"][0].as_py(), cell["j"][0].as_py(), cell["block"].to_numpy()
+    if i == j:
+        return np.arange(len(side)), np.arange(len(side)), True
+    return np.flatnonzero(side == i), np.flatnonzero(side != i), False
+
+
+def _later(linked: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Takes out of ``linked`` the pairs that share a bucket of an earlier table: these are left to that."""
+    for t in range(keys.shape[1]):
+        linked &= keys[left, t][:, None] != keys[right, t][None, :]
 
-    A pair that shares a bucket of an earlier table is left to that.
-    """
+
+def _candidates(how: _Tables):
+    """A cell, two blocks of a bucket or one with itself: its candidates (a, b), or where they are many all its rows, b being null."""
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("rep").combine_chunks()
-        rep, side, t = cell["rep"].to_numpy(), cell["block"].to_numpy(), cell["t"][0].as_py()
-        codes = _matrix(cell["codes"])
+        rep, codes = cell["rep"].to_numpy(), _matrix(cell["codes"])
         signs = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-        keys = _keys(codes, how, t)
-        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
-        left, right = (np.arange(len(rep)),) * 2 if i == j else (np.flatnonzero(side == i), np.flatnonzero(side != i))
+        keys = _keys(codes, how, cell["t"][0].as_py())
+        left, right, within = _sides(cell)
         found, count = [], 0
-        for at in range(0, len(left), 512):
-            own = left[at : at + 512]
+        for at in range(0, len(left), _ROWS):
+            own = left[at : at + _ROWS]
             # Of signs, the product is the bits that agree less those that differ; unused bits agree.
-            p, q = np.nonzero(signs[own] @ signs[right].T >= signs.shape[1] - 2 * how.radius - 0.5)
-            p, q = own[p], right[q]
-            keep = p < q if i == j else np.ones(len(p), dtype=bool)
-            p, q = p[keep], q[keep]
-            for k in range(0, len(p), 1 << 16):
-                a, b = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-                new = ~(keys[a] == keys[b]).any(axis=1)
-                found.append((a[new], b[new]))
-                count += int(new.sum())
+            near = signs[own] @ signs[right].T >= signs.shape[1] - 2 * how.radius - 0.5
+            if within:
+                near &= own[:, None] < right[None, :]
+            _later(near, keys, own, right)
+            count += int(near.sum())
             if count > DENSE * len(rep):
-                break
-        if count > DENSE * len(rep):
-            out = cell.select(["label", "t", "key", "i", "j", "block"]).append_column("a", pa.array(rep))
-            return out.append_column("b", pa.nulls(len(rep), pa.int64()))
+                out = cell.select([*_CELL, "block"]).append_column("a", pa.array(rep))
+                return out.append_column("b", pa.nulls(len(rep), pa.int64()))
+            p, q = np.nonzero(near)
+            found.append((own[p], right[q]))
         p, q = (np.concatenate([f[x] for f in found] or [np.zeros(0, dtype=np.int64)]) for x in (0, 1))
-        return cell.select(["label", "t", "key", "i", "j", "block"]).take(pa.array(p)).append_column("a", pa.array(rep[p])).append_column("b", pa.array(rep[q]))
+        return cell.select([*_CELL, "block"]).take(pa.array(p)).append_column("a", pa.array(rep[p])).append_column("b", pa.array(rep[q]))
 
     return run
 
@@ -193,14 +200,17 @@ def _decide(least: float):
     return run
 
 
-def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The smallest place that each of ``n`` places reaches by the links (p, q)."""
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches by the links between ``left`` (rows) and ``right`` (columns)."""
     root = np.arange(n)
+
+    def least(m: np.ndarray, label: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.where(m[at : at + _ROWS], label[None, :], n).min(axis=1, initial=n) for at in range(0, len(m), _ROWS)] or [label[:0]])
+
     while True:
         low = root.copy()
-        both = np.minimum(root[p], root[q])
-        np.minimum.at(low, p, both)
-        np.minimum.at(low, q, both)
+        low[left] = np.minimum(low[left], least(linked, low[right]))
+        low[right] = np.minimum(low[right], least(linked.T, low[left]))
         low = low[low]
         if (low == root).all():
             return root
@@ -218,28 +228,27 @@ def _compare(least: float, how: _Tables):
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by([("rep", "ascending"), ("block", "ascending")]).combine_chunks()
-        rep, side, mult, t = (*(cell[c].to_numpy() for c in ("rep", "block", "mult")), cell["t"][0].as_py())
+        rep, mult, t = cell["rep"].to_numpy(), cell["mult"].to_numpy(), cell["t"][0].as_py()
         x, keys = _unit(_matrix(cell["v"])), _keys(_matrix(cell["codes"]), how, max(t, 0))
-        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
-        left, right = (np.arange(len(rep)),) * 2 if i == j else (np.flatnonzero(side == i), np.flatnonzero(side != i))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(left), 512):
-            own = left[at : at + 512]
-            # The product may round otherwise than the sum of a pair; the latter decides.
-            p, q = np.nonzero(x[own] @ x[right].T >= least - 1e-9)
-            p, q = own[p], right[q]
-            for k in range(0, len(p), 1 << 14):
-                a, b = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
-                keep = (x[a] * x[b]).sum(axis=1) >= least
-                if i == j:
-                    keep &= a < b
-                if t > 0:
-                    keep &= ~(keys[a] == keys[b]).any(axis=1)
-                found.append((a[keep], b[keep]))
-        p, q = (np.concatenate([f[i] for f in found] or [np.zeros(0, dtype=np.int64)]) for i in (0, 1))
-        n = np.bincount(p, weights=mult[q], minlength=len(rep)) + np.bincount(q, weights=mult[p], minlength=len(rep))
+        left, right, within = _sides(cell)
+        # A bit for each pair of two blocks, of a bounded size: no list of pairs.
+        linked = np.empty((len(left), len(right)), dtype=bool)
+        for at in range(0, len(left), _ROWS):
+            own = left[at : at + _ROWS]
+            product = x[own] @ x[right].T
+            linked[at : at + _ROWS] = product >= least
+            # The product may round otherwise than the sum of a pair; close to the threshold the latter decides.
+            p, q = np.nonzero(np.abs(product - least) < 1e-9)
+            linked[at + p, q] = (x[own[p]] * x[right[q]]).sum(axis=1) >= least
+        if within:
+            np.fill_diagonal(linked, False)
+        _later(linked, keys, left, right)
+        n = np.zeros(len(rep), dtype=np.int64)
+        n[left] += linked @ mult[right]
+        if not within:
+            n[right] += mult[left] @ linked
         has = np.flatnonzero(n)
-        return pa.table({"a": rep[has], "b": rep[_roots(len(rep), p, q)[has]], "n": n[has].astype(np.int64)})
+        return pa.table({"a": rep[has], "b": rep[_roots(linked, left, right, len(rep))[has]], "n": n[has].astype(np.int64)})
 
     return run
 
