@@ -35,7 +35,7 @@ BLOCK_UNITS, OVERLAP = 60, 20
 #: Words of a window, and of them that the next has too: more than any template with its differences.
 WINDOW_WORDS, SHARED_WORDS = 1024, 192
 
-TRIGGER = r"(?i)licen[sc]e|copyright|permission is hereby granted|permission to use, copy|redistribution|public domain|creative commons|without warranty|warranties|\bGNU\b"
+TRIGGER = r"(?i)licen[sc]e|implied warranty|\bas-is\b|neither the name of|\bEUPL\b|copyright|permission is hereby granted|permission to use, copy|redistribution|public domain|creative commons|without warranty|warranties|\bGNU\b"
 
 _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
@@ -74,6 +74,7 @@ TEMPLATES = [
     ("AGPL-3.0", _GNU.format("Affero General Public License", 3)),
     ("BSD", _BSD),
     ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -87,17 +88,33 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("Apache-2.0", "License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 ]
 # Words that tell licenses apart: one of them too many or too few is another license.
 TELLING = set("mit apache gnu general lesser affero bsd isc mozilla cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives unencumbered".split())
 
 _WORD = re.compile(r"[A-Za-z]+|\d+(?:\.\d+)*")
+# The mark of a list's item, which is no wording: at the beginning, or after the end of a sentence or part of one ("v. 2." is a version).
+_MARK = re.compile(r"(?:\A|(?<![vV])[.:;,*/#]|\b(?:and|or))\s+\(?(\d{1,2}|[a-h])(?:\)|\.(?=\s))|\A\s*\(?(\d{1,2}|[a-h])(?:\)|\.(?=\s))")
 _UNIT = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)\s*", re.S)
 _HIT = re.compile(TRIGGER)
 
 
 def _words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    found = list(_WORD.finditer(text))
+    """Words in lower case and their places; marks of list items are left out."""
+    marks = {m.start(1) if m[1] else m.start(2) for m in _MARK.finditer(text)}
+    found = [m for m in _WORD.finditer(text) if m.start() not in marks]
     return [m[0].lower() for m in found], [m.span() for m in found]
 
 

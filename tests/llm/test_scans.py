@@ -305,6 +305,51 @@ def test_long_lines_of_licenses_are_scanned_whole():
     assert time.time() - began < 60
 
 
+BSD3 = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{2} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("marks", [("1.", "2.", "3."), ("(1)", "(2)", "(3)"), ("a)", "b)", "c)"), ("*", "*", "*"), ("", "", ""), ("1)", "2)", "3)")])
+def test_list_marks_are_no_wording(marks):
+    text = BSD3.format(*marks)
+    for given in (text, " ".join(text.split()), text.replace("\n", "\n# ")):
+        found = licenses_of(given, Templates())
+        assert [x[0] for x in found] == ["BSD", "BSD-3-Clause"] and all(x[4] == [] for x in found), (marks, found)
+
+
+@pytest.mark.parametrize("text, name", [
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"), ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0"),
+    ('1. Definitions.\n\n"License" shall mean the terms and conditions for use, reproduction,\nand distribution as defined by Sections 1 through 9 of this document.', "Apache-2.0"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://", "EPL-2.0"),
+    ("Licensed under the EUPL, Version 1.2 or - as soon they will be approved by\nthe European Commission - subsequent versions of the EUPL (the \"Licence\");", "EUPL-1.2"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.", "Zlib"),
+])
+def test_heads_of_bodies_and_more_notices(text, name):
+    assert [x[0] for x in licenses_of(f"Some prose before. {text} Some prose after it.", Templates())] == [name]
+
+
+@pytest.mark.parametrize("text", [
+    "This work is licensed under the GNU General Public License, version 3. It is good.", "This work is licensed under the GNU General Public License, version\n3. It is good.",
+])
+def test_versions_are_no_list_marks(text):
+    assert [x[0] for x in licenses_of(text, Templates())] == ["GPL-3.0"]
+
+
 def test_license_report(spark, edge_docs, no_docs):
     assert license_report(no_docs).count() == 0
     assert all(r.n_licenses == 0 and r.spans == "" for r in license_report(edge_docs).collect())
