@@ -99,7 +99,7 @@ TEMPLATES = [
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
     ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL"),
     ("EUPL-1.2", "Licensed under the EUPL, Version 1.2."),
-    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages"),
 ]
 # Words that tell licenses apart: one of them too many or too few is another license.
 TELLING = set("mit apache gnu general lesser affero bsd isc mozilla cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives unencumbered".split())
