@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Kinds of documents that can be exported as text: a document and a sheet; fixed values.
@@ -35,6 +35,17 @@ def counters(rows: DataFrame, **groups: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), *[F.countDistinct(c).alias(name) for name, c in groups.items()])
 
 
+def counted(rows: DataFrame, **groups: str) -> tuple[DataFrame, Observation]:
+    """``rows``, and what ``counters`` says of them once they are written: no second job reads them.
+
+    The observation's ``get`` waits for the first action on the rows. Different values of a column are held as a set, so a
+    column named here must have few. A task that runs again after its results were lost may be counted twice: counts that
+    must be exact come from ``counters`` on what was written.
+    """
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.size(F.collect_set(c)).alias(name) for name, c in groups.items()]), seen
+
+
 def with_cached_scores(pairs: DataFrame, cache: DataFrame, keys: list[str], score: Column) -> DataFrame:
     """Pairs with their score from the cache, or else with ``score``; cached says which."""
     known = cache.select(*keys, F.col("score").alias("_known")).groupBy(*keys).agg(F.max("_known").alias("_known"))

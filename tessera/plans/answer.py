@@ -111,15 +111,17 @@ def answer_with_contexts(
     return out.select("query_id", "question", "answer", "sources", F.coalesce(F.transform("c", lambda x: x["text"]), F.array().cast("array<string>")).alias("contexts"))
 
 
-def routed(questions: DataFrame, router: Router) -> DataFrame:
-    """Adds retrieve: whether the router's tools for a question hold the search; where it fails, retrieval is chosen."""
+def routed(questions: DataFrame, router: Router, retries: int = 2) -> DataFrame:
+    """Adds retrieve: whether the router's tools for a question hold the search; where it fails again and again, retrieval is chosen."""
 
     def needs(texts: pd.Series) -> pd.Series:
         def one(text: str) -> bool:
-            try:
-                return "search" in router.tools(text)
-            except Exception:  # noqa: BLE001  a model's failure is no reason not to answer
-                return True
+            for _ in range(retries + 1):
+                try:
+                    return "search" in router.tools(text)
+                except Exception:  # noqa: BLE001  a model's failure is no reason not to answer
+                    continue
+            return True
 
         return texts.map(one)
 

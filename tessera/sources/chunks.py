@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import id_of_name
+from tessera.operators.dense import check_dimension
 from tessera.operators.parents import first_of
 from tessera.schemas import CHUNK_SCHEMA, ORIGIN, PLACE, exported
 from tessera.sources.versions import VersionedTable
@@ -197,6 +198,21 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(key.alias("meeting_key"), index.alias("transcript_index"), day.alias("meeting_date"), label.alias("meeting_label"), "text").where("meeting_key <> ''")
 
 
+def load_vectors(spark: SparkSession, path: str, model: str, dim: int) -> tuple[DataFrame, list[str]]:
+    """A vector table with its note: vectors of ``path``/vectors, and warnings of ``path``/metadata (see ``check_index_metadata``).
+
+    Another dimension in the note is an error at once, in a vector as the table is read.
+    """
+    warnings = check_index_metadata(spark, f"{path}/metadata", model, dim)
+    return check_dimension(spark.read.parquet(f"{path}/vectors"), dim), warnings
+
+
+def save_vectors(vectors: DataFrame, path: str, model: str, dim: int) -> None:
+    """A vector table(doc_id, embedding, ...) and its note."""
+    check_dimension(vectors, dim).write.mode("overwrite").parquet(f"{path}/vectors")
+    write_index_metadata(vectors.sparkSession, f"{path}/metadata", model, dim)
+
+
 def meeting_summaries(chunks: DataFrame, last: int | None = None, index: int | None = None) -> DataFrame:
     """Summaries of meetings among chunks(meeting_key, transcript_index, chunk_id, chunk_stage, text): meeting_key, transcript_index, chunk_id, text.
 

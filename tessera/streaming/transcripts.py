@@ -39,9 +39,11 @@ def transcribe(events: pd.DataFrame, start: float, recognise: Callable[[bytes],
 
     events(offset_seconds, duration_seconds, pcm, user_name). What began before
     ``start`` is late and dropped; the gap between blocks counts from the latest
-    event's end; short blocks go; a line's offset is never before ``start``.
+    event's end; short blocks go; a line's offset is never before ``start``. ``recognise`` is a
+    function of samples or a ``Transcriber``.
     """
     rows, open_ = [], None
+    recognise = getattr(recognise, "recognise", recognise)
 
     def close() -> None:
         if open_ and open_["seconds"] >= LEAST_SECONDS:

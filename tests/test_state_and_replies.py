@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions import parsing
-from tessera.plans.answer import answer, answer_with_contexts
+from tessera.operators.filters import counted, counters
+from tessera.plans.answer import answer, answer_with_contexts, routed
 from tessera.sources import chunks
 from tessera.sources.versions import VersionedTable
 from tessera.sources.web import pages_of, read_feed
@@ -67,6 +68,42 @@ def test_prompt_rows(spark):
     assert got == ["t\ntitle: T\npath: p", "t", "t", ""]
 
 
+def test_counters_come_with_the_write(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"g{i % 3}", None if i % 2 else "c") for i in range(100)], "i long, guild string, channel string").repartition(3)
+    out, seen = counted(rows, guilds="guild", channels="channel")
+    out.write.parquet(str(tmp_path / "o"))
+    assert seen.get == counters(spark.read.parquet(str(tmp_path / "o")), guilds="guild", channels="channel").first().asDict()
+    plan = out._jdf.queryExecution().toString()
+    assert plan.count("Scan ExistingRDD") == rows._jdf.queryExecution().toString().count("Scan ExistingRDD")
+    # Of an empty table too, by the write alone.
+    none, seen = counted(rows.where("false"), guilds="guild")
+    none.write.parquet(str(tmp_path / "e"))
+    assert seen.get == {"rows": 0, "guilds": 0}
+
+
+def test_vectors_with_their_note(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    chunks.save_vectors(rows, str(tmp_path / "v"), "m", 2)
+    table, told = chunks.load_vectors(spark, str(tmp_path / "v"), "m", 2)
+    assert table.count() == 2 and told == [] and len(chunks.load_vectors(spark, str(tmp_path / "v"), "other", 2)[1]) == 1
+    with pytest.raises(ValueError):
+        chunks.load_vectors(spark, str(tmp_path / "v"), "m", 3)
+
+
+def test_a_router_is_asked_again(spark, tmp_path):
+    class Router:
+        def tools(self, question):
+            log = tmp_path / question
+            log.write_text(log.read_text() + "x" if log.exists() else "x")
+            if question == "never" or log.read_text() == "x":
+                raise RuntimeError
+            return []
+
+    asked = spark.createDataFrame([(1, "never"), (2, "later")], "query_id long, text string").coalesce(1)
+    assert {r.text: r.retrieve for r in routed(asked, Router()).collect()} == {"never": True, "later": False}
+    assert (tmp_path / "never").read_text() == "xxx" and (tmp_path / "later").read_text() == "xx"
+
+
 # --- names ---
 
 def test_names_over_a_stream(spark, tmp_path):
