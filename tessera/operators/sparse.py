@@ -25,22 +25,26 @@ class SparseIndex:
     stats: DataFrame
     k1: float = 1.5
     b: float = 0.75
-    #: Works out terms from postings.
+    #: Works out terms from postings, and the statistics from postings and the one row of ``documents``, their number n.
     count: Callable[[DataFrame], DataFrame] | None = None
+    documents: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Parquet tables; postings are sorted by term, so that a query's terms prune row groups.
 
         They stay dealt by term and document, as they were counted, so no further
         shuffle is needed and a frequent term's postings lie in all files. Terms
-        are counted on the saved postings, so the texts are read twice in all: for
-        the postings and for the statistics.
+        and the mean length, which is that of all occurrences, are counted on the saved postings, so the
+        texts are analysed once.
         """
         spread = self.postings.sortWithinPartitions("term", "doc_id")
         spread.write.mode("overwrite").parquet(f"{path}/postings")
         if self.count:
             saved = spread.sparkSession.read.parquet(f"{path}/postings")
             self.terms = self.count(saved)
+            # One row each.
+            total = saved.agg(F.sum("tf").alias("total"))
+            self.stats = self.documents.crossJoin(total).select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avg_dl"))
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         params = {"version": 1, "k1": self.k1, "b": self.b}
         self.stats.select("n", "avg_dl", *[F.lit(v).alias(k) for k, v in params.items()]).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
@@ -76,7 +80,7 @@ def build_index(docs: DataFrame, k1: float = 1.5, b: float = 0.75, terms=tokens)
         .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     )
     count = lambda p: term_weights(p, stats)
-    return SparseIndex(postings, count(postings), stats, k1, b, count)
+    return SparseIndex(postings, count(postings), stats, k1, b, count, docs.agg(F.count(F.lit(1)).alias("n")))
 
 
 def term_weights(postings: DataFrame, stats: DataFrame) -> DataFrame:
