@@ -35,6 +35,8 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
 #: Terms of a query: the weightiest quarter of the seed's terms, but so many at the least and at the most.
 LEAST_TERMS, MOST_TERMS = 16, 64
 K1, B = 1.5, 0.75
+#: Partitions that documents are dealt to, at the most: the bounds between them come from SAMPLED keys for each.
+MOST_PARTS = 8192
 #: Documents of a partition whose keys are sampled to set its bounds.
 SAMPLED = 64
 
@@ -115,15 +117,18 @@ def _keys(df: np.ndarray, idf: np.ndarray, least: tuple[int, ...], bounds: np.nd
 
 def _dealt(tokens: DataFrame, df: np.ndarray, idf: np.ndarray, n: int, total: int) -> DataFrame:
     """(doc_id, ids) with related documents beside each other, in partitions of about a shard each."""
-    parts = int(np.ceil(max(n / SHARD_DOCS, total / SHARD_TOKENS)))
-    if parts <= 1:
+    shards = int(np.ceil(max(n / SHARD_DOCS, total / SHARD_TOKENS)))
+    if shards <= 1:
         return tokens.coalesce(1)
+    # Beyond MOST_PARTS a partition has several shards, one after the other, so the sample of keys stays bounded.
+    parts = min(shards, MOST_PARTS)
     salted = tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 15)).alias("salt"))
     # Groups of a quarter of a shard, of a few windows, and of near copies.
-    least = (max(4, n // (4 * parts)), max(3, n // (64 * parts)), 2)
+    least = (max(4, n // (4 * shards)), max(3, n // (64 * shards)), 2)
     rate = min(1.0, SAMPLED * parts / n)
     picked = salted.where(F.pmod(F.xxhash64("ids", "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
-    keys = np.sort([r[0] for r in picked.mapInArrow(_keys(df, idf, least, None), "key long").collect()] or [0])
+    found = picked.mapInArrow(_keys(df, idf, least, None), "key long").toArrow()["key"].to_numpy()
+    keys = np.sort(found) if len(found) else np.zeros(1, dtype=np.int64)
     bounds = keys[np.arange(1, parts) * len(keys) // parts]
     keyed = salted.mapInArrow(_keys(df, idf, least, bounds), "key long, part int, doc_id long, ids binary")
     return keyed.repartitionById(parts, "part").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
