@@ -18,6 +18,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def counted(words: Column) -> Column:
+    """Each distinct word of an array with its number, as structs (term, tf) in the order of the words; empty where the array is null.
+
+    Words are sorted and their runs counted inside the row, so no shuffle brings a text's words together.
+    """
+
+    def runs(own: Column) -> Column:
+        n = F.size(own)
+        edges = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(own, i) != F.get(own, i - 1)))
+        pair = lambda ends: lambda at, j: F.struct(F.get(own, at).alias("term"), (F.get(ends, j + 1) - at).cast("long").alias("tf"))
+        return _let(edges, lambda ends: F.transform(F.slice(ends, 1, F.size(ends) - 1), pair(ends)))
+
+    return _let(F.array_sort(F.coalesce(words, F.array().cast("array<string>"))), runs)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def token_count(text: Column) -> Column:
     """An estimate of model tokens: none for an empty text, else one at least."""
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.size(tokens(text))))

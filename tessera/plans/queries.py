@@ -95,7 +95,9 @@ def analysed_terms(spark, sf_dir):
     """Terms of documents by the lattice analyser, whose words and costs come from the documents: term, df."""
     docs = _docs(spark, sf_dir)
     terms = analyser_terms(spark, frequency_dictionary(docs), stop=frozenset({"stop"}))
-    return build_index(docs, terms=terms).terms.select("term", "df")
+    # The analyser is dearer than a shuffle of the texts, which a table of few row groups needs to be worked on by all cores.
+    docs = docs.repartition("doc_id")
+    return build_index(docs, terms=terms).kept().terms.select("term", "df")
 
 
 def dense_topk_filtered(spark, sf_dir):
