@@ -217,13 +217,14 @@ def due_once_a_day(checks: DataFrame, weekdays: list[int], minute: int, zone: st
     return checks.where(fits).groupBy(F.date_format(local, "yyyy-MM-dd").alias("day")).agg(F.min("at").alias("at"))
 
 
-def meeting_keys(meetings: DataFrame, taken: DataFrame, most: int = 999) -> DataFrame:
+def meeting_keys(meetings: DataFrame, taken: DataFrame, most: int | None = None) -> DataFrame:
     """Adds meeting_key, date_NN with the next free number of its date: meetings(meeting_id, date), taken(date, number).
 
-    More than ``most`` meetings on a date are an error.
+    Numbers have two digits at least and go on beyond. More than ``most`` meetings on a date are an error, where it is given.
     """
     used = taken.groupBy("date").agg(F.max("number").alias("_used"))
     w = Window.partitionBy("date").orderBy("meeting_id")
     out = meetings.join(used, "date", "left").withColumn("number", F.coalesce("_used", F.lit(0)) + F.row_number().over(w))
-    out = out.where(F.assert_true(F.col("number") <= most, F.lit("too many meetings on a date")).isNull())
-    return out.select("meeting_id", "date", "number", F.concat("date", F.lit("_"), F.format_string("%02d", F.col("number").cast("int"))).alias("meeting_key"))
+    if most is not None:
+        out = out.where(F.assert_true(F.col("number") <= most, F.lit("too many meetings on a date")).isNull())
+    return out.select("meeting_id", "date", "number", F.concat("date", F.lit("_"), F.format_string("%02d", F.col("number").cast("long"))).alias("meeting_key"))

@@ -54,3 +54,19 @@ def test_terms_are_counted_inside_their_row(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     for r in found.collect():
         assert [(x.term, x.tf) for x in r.c] == sorted(Counter(rows[r.i] or []).items(), key=lambda x: x[0].encode())
+
+
+# --- meetings ---
+
+
+def test_a_date_may_have_any_number_of_meetings(spark):
+    import pytest
+
+    from tessera.streaming.transcripts import meeting_keys
+
+    meetings = spark.range(1500).select(F.col("id").alias("meeting_id"), F.lit("2024-01-01").alias("date"))
+    taken = spark.createDataFrame([("2024-01-01", 4), ("2024-01-02", 9)], "date string, number long")
+    found = {r.meeting_id: r.meeting_key for r in meeting_keys(meetings, taken).collect()}
+    assert found == {i: f"2024-01-01_{i + 5:02d}" for i in range(1500)}
+    with pytest.raises(Exception, match="too many meetings"):
+        meeting_keys(meetings, taken, most=999).collect()
