@@ -8,12 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import counted, tokens
 from tessera.operators.ranking import merge
-from tessera.session import shared_folder
+from tessera.session import kept, shared_folder
 
 #: Terms in more than half of the documents get this share of the mean weight instead of a negative one.
 FLOOR = 0.25
+#: Scores (a query's for a document) that one task works out, and parts at most; beyond them a task has more.
+SCORED, MOST_PARTS = 2_000_000, 10_000
 
 
 @dataclass
@@ -32,10 +34,10 @@ class SparseIndex:
     def save(self, path: str) -> None:
         """Parquet tables; postings are sorted by term, so that a query's terms prune row groups.
 
-        They stay dealt by term and document, as they were counted, so no further
-        shuffle is needed and a frequent term's postings lie in all files. Terms
-        and the mean length, which is that of all occurrences, are counted on the saved postings, so the
-        texts are analysed once.
+        They stay where their documents were counted, so no shuffle is needed and a
+        frequent term's postings lie in all files. Terms and the mean length, which is
+        that of all occurrences, are counted on the saved postings, so the texts are
+        analysed once.
         """
         spread = self.postings.sortWithinPartitions("term", "doc_id")
         spread.write.mode("overwrite").parquet(f"{path}/postings")
@@ -71,14 +73,22 @@ class SparseIndex:
 
 
 def build_index(docs: DataFrame, k1: float = 1.5, b: float = 0.75, terms=tokens) -> SparseIndex:
-    """The index of docs(doc_id, text). Documents without tokens count in n and the mean length."""
-    analysed = docs.select("doc_id", terms(F.col("text")).alias("tokens"))
-    stats = analysed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_dl"))
-    postings = (
-        analysed.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("term", "doc_id")
-        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    )
+    """The index of docs(doc_id, text). Documents without tokens count in n and the mean length.
+
+    A row's terms are counted inside it, so postings are made without a shuffle.
+    Rows that share a doc_id, which are looked for first by their ids, are one
+    document: only their terms are brought together.
+    """
+    repeated = kept(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    analysed = lambda df: df.select("doc_id", terms(F.col("text")).alias("tokens"))
+    counts = lambda df: analysed(df).select("doc_id", F.size("tokens").alias("dl"), F.inline(counted(F.col("tokens")))).select("term", "doc_id", "tf", "dl")
+    if repeated.isEmpty():
+        postings = counts(docs)
+    else:
+        again = counts(docs.join(repeated, same, "left_semi")).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        postings = counts(docs.join(repeated, same, "left_anti")).unionByName(again)
+    stats = analysed(docs).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_dl"))
     count = lambda p: term_weights(p, stats)
     return SparseIndex(postings, count(postings), stats, k1, b, count, docs.agg(F.count(F.lit(1)).alias("n")))
 
@@ -123,15 +133,28 @@ def query_terms(queries: DataFrame, first: int | None = None) -> DataFrame:
 
 
 def score(index: SparseIndex, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of documents with a positive score, rounded to 6 digits."""
+    """(query_id, doc_id, score) of documents with a positive score, rounded to 6 digits.
+
+    Postings of the asked terms are dealt by document before they meet the
+    queries that ask for them, so of a frequent term one row a document moves and
+    not one a query and document; a document's sums then need no other shuffle.
+    """
     k1, b = index.k1, index.b
-    wanted = terms.join(index.terms.where("idf <> 0").select("term", "idf"), "term")
-    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avg_dl")))
+    # Saved, so that Spark knows its size and broadcasts it if it is small: then no posting of another term moves.
+    wanted = kept(terms.join(index.terms.where("idf <> 0").select("term", "idf"), "term").select("query_id", "term", "times", "idf"))
+    hits = index.postings.join(wanted.select("term"), "term", "left_semi").repartition(_parts(index, wanted), "doc_id")
+    hits = hits.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avg_dl")))
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
+def _parts(index: SparseIndex, wanted: DataFrame) -> int:
+    """Into how many parts documents are dealt: about ``SCORED`` scores in each, all cores used, and no more than ``MOST_PARTS``."""
+    n, queries = index.stats.select("n").first()[0] or 0, wanted.agg(F.countDistinct("query_id")).first()[0]
+    return min(MOST_PARTS, max(index.postings.sparkSession.sparkContext.defaultParallelism, -(-n * queries // SCORED)))
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The best k documents of each query, ties by document: adds rank from 1. Any k below 1 gives none."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -142,8 +165,8 @@ def search(index: SparseIndex, terms: DataFrame, k: int = 20) -> DataFrame:
     """The best k documents of each query.
 
     The terms of a batch of queries are few beside the postings; where Spark
-    finds them small enough they are broadcast and no posting moves, else a
-    frequent term's postings are split by adaptive execution. Each task keeps its
-    own best k of a query before they meet.
+    finds them small enough they are broadcast, else a frequent term's postings
+    are split by adaptive execution. Each task keeps its own best k of a query
+    before they meet.
     """
     return top(score(index, terms), k)

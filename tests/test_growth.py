@@ -70,3 +70,59 @@ def test_a_date_may_have_any_number_of_meetings(spark):
     assert found == {i: f"2024-01-01_{i + 5:02d}" for i in range(1500)}
     with pytest.raises(Exception, match="too many meetings"):
         meeting_keys(meetings, taken, most=999).collect()
+
+
+# --- index and search ---
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    from tessera.operators.sparse import build_index
+
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("one two one").alias("text"))
+    assert "Exchange" not in plan_of(build_index(docs).postings)
+
+
+def test_rows_with_one_id_are_one_document(spark):
+    from tessera.operators.sparse import build_index
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a"), (1, "b c"), (None, "c"), (None, "c d"), (3, None), (3, "d")], "doc_id long, text string")
+    for index in (build_index(docs), build_index(docs).kept()):
+        assert {(r.term, r.doc_id, r.tf) for r in index.postings.collect()} == {("a", 1, 2), ("b", 1, 2), ("c", 1, 1), ("a", 2, 1), ("c", None, 2), ("d", None, 1), ("d", 3, 1)}
+        assert index.postings.count() == 7 and {r.term: r.df for r in index.terms.collect()} == {"a": 2, "b": 1, "c": 2, "d": 2}
+        assert tuple(index.stats.first()) == (7, 10 / 7)
+
+
+def test_scores_are_summed_where_their_document_is(spark, monkeypatch):
+    from tessera.operators import sparse
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("all"), F.format_string("w%d x%d", F.col("id") % 7, F.col("id") % 11)).alias("text"))
+    asked = spark.range(20).select(F.col("id").alias("query_id"), F.format_string("all w%d x%d all", F.col("id") % 5, F.col("id") % 3).alias("text"))
+    index = sparse.build_index(docs).kept()
+    scored = sparse.score(index, sparse.query_terms(asked))
+    moved = [line for line in plan_of(scored).splitlines() if "hashpartitioning" in line]
+    # One row a posting of an asked term, dealt by document alone.
+    assert moved and not any("query_id" in line for line in moved)
+    found = [tuple(r) for r in sparse.search(index, sparse.query_terms(asked), 9).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(sparse, "SCORED", 100)
+    assert found == [tuple(r) for r in sparse.search(index, sparse.query_terms(asked), 9).orderBy("query_id", "rank").collect()]
+    assert sparse._parts(index, asked) == 60 and len(found) == 180
+    own = {r.query_id: r for r in asked.collect()}
+    for query_id, doc_id, score, rank in found[:18]:
+        assert rank > 1 or f"w{doc_id % 7}" in own[query_id].text and f"x{doc_id % 11}" in own[query_id].text
+
+
+def test_only_texts_of_hits_move(spark, tmp_path):
+    from tessera.operators.sparse import build_index
+    from tessera.plans.retrieve import retrieve
+
+    rows = [(i, f"common w{i} " + "filler " * 50, [float(i % 5), 1.0], f"p{i}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>, parent string").write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    asked = spark.createDataFrame([(1, "w7", [1.0, 1.0]), (2, "w300", None)], "query_id long, text string, embedding array<double>")
+    out = retrieve(asked, chunks, build_index(chunks))
+    assert {r.doc_id for r in out.collect() if r.query_id == 2} == {300}
+    assert "BroadcastHashJoin" in plan_of(out) and "LeftSemi" in plan_of(out)
