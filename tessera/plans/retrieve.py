@@ -11,6 +11,7 @@ from tessera.operators.parents import append_parents, expand, first_of, restore,
 from tessera.operators.ranking import cap_parents, diversify, merge, overlap_score, rerank
 from tessera.operators.sparse import SparseIndex, both_searches, query_terms, search
 from tessera.plans.models import score_with
+from tessera.session import kept
 
 
 def retrieve(
@@ -37,9 +38,10 @@ def retrieve(
         known = first_of(both, ["doc_id"], ["_from"]).drop("_from")
         empty = queries.join(dense.select("query_id"), "query_id", "left_anti").join(sparse.select("query_id"), "query_id", "left_anti")
         lists.append(nearest(fallback.where("embedding is not null"), empty, config.top_k))
-    pool = merge(*lists)
+    # A bounded list for each question. Saved, its size is known, so the few chunks in it are picked before texts or vectors move.
+    pool = kept(merge(*lists))
+    known = known.join(pool.select("doc_id"), "doc_id", "left_semi")
     asked = queries.select("query_id", F.col("text").alias("query_text"), F.col("embedding").alias("query_embedding"))
-    # Lists are bounded by their k, so these joins move few rows of the queries' side.
     full = pool.join(known, "doc_id").join(asked, "query_id")
     if use_rerank and callable(getattr(scorer, "score", None)):
         full = rerank(score_with(full, scorer), F.col("model_score"))
