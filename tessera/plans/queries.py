@@ -20,6 +20,7 @@ from tessera.operators.ranking import cap_parents, cited, diversify, last_n, mer
 from tessera.operators.sparse import both_searches, build_index, query_terms, search, staged_terms
 from tessera.operators.split import first_in_span, first_level, second_level
 from tessera.plans.retrieve import context, embedding_text, retrieve, source_url, with_parents
+from tessera.session import kept
 from tessera.sources.web import html_text
 from tessera.streaming.transcripts import blocks, cut, due_once_a_day, final_jobs, in_schedule, meeting_keys
 
@@ -121,11 +122,12 @@ def quota_merge_lists(spark, sf_dir):
 
 def parent_cap(spark, sf_dir):
     source = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return cap_parents(_bm25(spark, sf_dir).join(source, "doc_id"), F.col("source"), 2).select("query_id", "doc_id", "rank")
+    return cap_parents(kept(_bm25(spark, sf_dir)).join(source, "doc_id"), F.col("source"), 2).select("query_id", "doc_id", "rank")
 
 
 def rerank_order(spark, sf_dir):
-    full = _bm25(spark, sf_dir).join(_docs(spark, sf_dir), "doc_id").join(_questions(spark, sf_dir).withColumnRenamed("text", "q"), "query_id")
+    # Saved, the hits are known to be few, so no text of another document moves.
+    full = kept(_bm25(spark, sf_dir)).join(_docs(spark, sf_dir), "doc_id").join(_questions(spark, sf_dir).withColumnRenamed("text", "q"), "query_id")
     return rerank(full, overlap_score(F.col("q"), F.col("text"))).select("query_id", "doc_id", "rerank_score", "rank")
 
 
