@@ -14,7 +14,9 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def restore(hits: DataFrame, originals: DataFrame, keys: list[str], sparse: Column, order: list[str]) -> DataFrame:
     """Hits of the sparse stage with the text of their original chunk, others and unmatched ones as they are."""
-    known = first_of(originals, keys, order).select(*keys, F.col("text").alias("_original"))
+    # Only originals that a hit asks for are put in order; none move where no hit can be sparse.
+    asked = originals.join(hits.where(sparse).select(*keys).distinct(), keys, "left_semi")
+    known = first_of(asked, keys, order).select(*keys, F.col("text").alias("_original"))
     out = hits.join(known, keys, "left")
     return out.withColumn("text", F.when(sparse, F.coalesce("_original", "text")).otherwise(F.col("text"))).drop("_original")
 
@@ -24,11 +26,12 @@ def root_parent(hits: DataFrame, second: DataFrame, source: str = "source") -> D
 
     hits(source, chunk_stage, parent_chunk_id), second(source, chunk_id, parent_chunk_id).
     """
-    up = first_of(second, [source, "chunk_id"], ["parent_chunk_id"]).select(
+    proposition = F.col("chunk_stage") == "proposition"
+    wanted = hits.where(proposition).select(source, F.col("parent_chunk_id").alias("chunk_id")).distinct()
+    up = first_of(second.join(wanted, [source, "chunk_id"], "left_semi"), [source, "chunk_id"], ["parent_chunk_id"]).select(
         source, F.col("chunk_id").alias("parent_chunk_id"), F.col("parent_chunk_id").alias("_up")
     )
     out = hits.join(up, [source, "parent_chunk_id"], "left")
-    proposition = F.col("chunk_stage") == "proposition"
     return out.withColumn("parent_id", F.when(proposition, F.col("_up")).otherwise(F.col("parent_chunk_id"))).drop("_up")
 
 

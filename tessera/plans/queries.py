@@ -446,8 +446,11 @@ def chat_chunks(spark, sf_dir):
 def parents_of_hits(spark, sf_dir):
     """Each document asks and finds its first three second-level chunks; their first-level chunks follow."""
     docs = _docs(spark, sf_dir)
-    first = first_level(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "source")
-    second = second_level(first.withColumnRenamed("source", "doc_id")).withColumnRenamed("doc_id", "source")
+    # Both levels are saved: the joins below read them several times, and would split all texts anew each time.
+    # Their stage stays a constant of the plan, so joins with stages that no chunk has fall away.
+    saved = lambda chunks, stage: kept(chunks.drop("chunk_stage")).withColumnRenamed("doc_id", "source").withColumn("chunk_stage", F.lit(stage))
+    first = saved(first_level(docs.select("doc_id", "text")), "first_recursive")
+    second = saved(second_level(first.withColumnRenamed("source", "doc_id")), "second_recursive")
     number = lambda kind: F.xxhash64(F.lit(kind), "source", "chunk_id")
     chunks = first.select(number("1").alias("doc_id"), "source", "chunk_stage", "chunk_id", F.lit(None).cast("long").alias("parent_chunk_id"), "text")
     chunks = chunks.unionByName(second.select(number("2").alias("doc_id"), "source", "chunk_stage", "chunk_id", "parent_chunk_id", "text"))

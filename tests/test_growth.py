@@ -126,3 +126,28 @@ def test_only_texts_of_hits_move(spark, tmp_path):
     out = retrieve(asked, chunks, build_index(chunks))
     assert {r.doc_id for r in out.collect() if r.query_id == 2} == {300}
     assert "BroadcastHashJoin" in plan_of(out) and "LeftSemi" in plan_of(out)
+
+
+# --- parents ---
+
+
+def test_originals_do_not_move_where_no_hit_asks_for_one(spark, tmp_path):
+    from tessera.operators.parents import restore, root_parent
+
+    spark.createDataFrame([(i, i % 7, i % 3, f"text {i}") for i in range(60)], "doc_id long, source long, chunk_id long, text string").write.parquet(str(tmp_path / "second"))
+    second = spark.read.parquet(str(tmp_path / "second")).withColumn("parent_chunk_id", F.col("chunk_id") * 10)
+    hits = second.withColumn("chunk_stage", F.lit("second_recursive"))
+    for out in (restore(hits, second, ["source", "chunk_id"], F.col("chunk_stage") == "second_recursive_sparse", ["doc_id"]), root_parent(hits, second)):
+        assert "Exchange" not in plan_of(out) and out.count() == 60
+    sparse = hits.withColumn("chunk_stage", F.when(F.col("doc_id") % 2 == 0, "second_recursive_sparse").otherwise("proposition"))
+    first = {}
+    for r in second.orderBy("doc_id").collect():
+        first.setdefault((r.source, r.chunk_id), r.text)
+    got = restore(sparse, second, ["source", "chunk_id"], F.col("chunk_stage") == "second_recursive_sparse", ["doc_id"]).collect()
+    assert len(got) == 60 and all(r.text == (first[r.source, r.chunk_id] if r.doc_id % 2 == 0 else f"text {r.doc_id}") for r in got)
+
+
+def test_chunks_of_parents_are_split_once(spark):
+    from tessera.plans.queries import parents_of_hits
+
+    assert "MapInArrow" not in plan_of(parents_of_hits(spark, "/root/testdata/sf0.001"))
