@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -18,6 +20,10 @@ TOGETHER = 1 << 15
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 
 
+# Letters below this are composed and have one lower-case form, except for the dotted capital I.
+_OTHER_LETTER = re.compile("[\u0130\u0250-\U0010ffff]")
+
+
 def normal(word: str) -> str:
     """The vocabulary's normal form of a word: composed, then each character lower-cased by itself."""
     if word.isascii():
@@ -27,6 +33,8 @@ def normal(word: str) -> str:
 
 def pieces(word: str) -> list[str]:
     """The pre-tokens of a word without white space, in its normal form."""
+    if word.isalpha() and (word.isascii() or not _OTHER_LETTER.search(word)):
+        return [word.lower()]
     return _PIECE.findall(normal(word))
 
 
@@ -68,6 +76,8 @@ class MergeList:
         self.whole = None not in self.inner and None not in self.last
         if self.whole:
             self.first, self.final = np.array(self.inner, dtype=np.int32), np.array(self.last, dtype=np.int32)
+            # Ranks of two bytes, the second of which doesn't or does end the word.
+            self.byte_rank, self.last_rank = (self._rank(np.repeat(self.first, 256), np.tile(x, 256)) for x in (self.first, self.final))
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token: the pair that comes first in the list is merged, then again, leftmost first."""
@@ -100,34 +110,30 @@ class MergeList:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_rank[at], len(self.becomes)).astype(np.int32)
 
-    def _merge_alike(self, words: list[bytes], size: int) -> list[list[int]]:
-        """``merge`` of words of one length, a step of all of them at a time."""
+    def _merge_alike(self, words: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``merge`` of words of one length, a step of all of them at a time: places of words with as many ids, and a row of ids for each."""
         raw = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(-1, size)
         ids = self.first[raw]
         ids[:, -1] = self.final[raw[:, -1]]
-        if size == 1:
-            return ids.tolist()
-        out: list[list[int]] = [[]] * len(words)
         who, width, never = np.arange(len(words)), size, len(self.becomes)
-        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        pairs = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+        ranks = self.byte_rank.take(pairs)
+        ranks[:, -1:] = self.last_rank.take(pairs[:, -1:])
         # Each step takes a pair from every word that still has one, so these stay of one width.
-        while len(who):
+        while width > 1:
             at, rows = ranks.argmin(axis=1), np.arange(len(who))
             best = ranks[rows, at]
             live = best < never
             if not live.all():
-                for w, x in zip(who[~live].tolist(), ids[~live].tolist()):
-                    out[w] = x
+                yield who[~live], ids[~live]
                 who, ids, ranks, at, best = who[live], ids[live], ranks[live], at[live], best[live]
                 rows = np.arange(len(who))
                 if not len(who):
-                    break
+                    return
             ids[rows, at] = self.becomes_array[best]
             width -= 1
             ids = ids[np.arange(width + 1) != at[:, None] + 1].reshape(-1, width)
             if width == 1:
-                for w, x in zip(who.tolist(), ids.tolist()):
-                    out[w] = x
                 break
             # Of the pairs, that at the place goes; its neighbours' ranks are new.
             ranks = ranks[np.arange(width) != at[:, None]].reshape(-1, width - 1)
@@ -136,21 +142,35 @@ class MergeList:
             ranks[left, a - 1] = self._rank(ids[left, a - 1], ids[left, a])
             a = at[right]
             ranks[right, a] = self._rank(ids[right, a], ids[right, a + 1])
-        return out
+        yield who, ids
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """``merge`` of each of some pre-tokens, the short ones together by length."""
+    def _merged(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """``merge`` of each of some pre-tokens, the short ones together by length: places, and a row of ids for each."""
         by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_size.setdefault(len(w) if self.whole and len(w) <= SHORT else 0, []).append(i)
-        out: list[list[int]] = [[]] * len(words)
+        for i, n in enumerate(map(len, words)):
+            by_size.setdefault(n if self.whole and n <= SHORT else 0, []).append(i)
+        for i in by_size.pop(0, ()):
+            yield [i], np.array([self.merge(words[i]) if words[i] else []], dtype=np.int32)
         for size, own in by_size.items():
-            if size:
-                for at in range(0, len(own), TOGETHER):
-                    some = own[at : at + TOGETHER]
-                    for i, ids in zip(some, self._merge_alike([words[i] for i in some], size)):
-                        out[i] = ids
-            else:
-                for i in own:
-                    out[i] = self.merge(words[i]) if words[i] else []
+            for at in range(0, len(own), TOGETHER):
+                some = own[at : at + TOGETHER]
+                for places, ids in self._merge_alike([words[i] for i in some], size):
+                    yield [some[k] for k in places.tolist()], ids
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of each of some pre-tokens."""
+        out: list[list[int]] = [[]] * len(words)
+        for places, ids in self._merged(words):
+            for i, own in zip(places, ids.tolist()):
+                out[i] = own
+        return out
+
+    def merge_bytes(self, words: list[bytes], dtype: str) -> list[bytes]:
+        """``merge`` of each of some pre-tokens, as integers in bytes."""
+        out = [b""] * len(words)
+        for places, ids in self._merged(words):
+            raw = ids.astype(dtype).tobytes()
+            if step := len(raw) // len(places):
+                for i, at in zip(places, range(0, len(raw), step)):
+                    out[i] = raw[at : at + step]
         return out

@@ -31,71 +31,85 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shared_dir, written
 from tessera.llm.tokens import texts_of, tokenizer_path, word_tokenizer
 
-MAGIC = b"TCMX0002"
+MAGIC = b"TCMX0003"
 #: The id that ends each document.
 END = 1
 #: Ids of a block.
 BLOCK = 4096
-#: Blocks of a segment, which are worked on together; a block's model takes some 180 KB.
-LANES = 1024
+#: Blocks of a segment, which are worked on together; a block's model takes some 100 KB.
+LANES = 2048
 #: Places of a block's order-2 table, hashed; a power of two.
 PLACES = 2 * BLOCK
 #: The order-0 table is renewed from the counts every so many ids (and at the powers of two before); its sizes add up to TOTAL.
-RENEWED, TOTAL_BITS = 256, 14
+RENEWED, TOTAL_BITS = 256, 13
 TOTAL = 1 << TOTAL_BITS
-_FULL = np.uint64(1 << 48)
-_LOW, _MASK = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_1, _12, _16, _32, _4096, _BITS, _ALL = (np.uint64(x) for x in (1, 12, 16, 32, 4096, TOTAL_BITS, TOTAL))
-
-# Logistic tables in integers, so that coder and decoder agree on any machine.
+#: Probabilities of the candidates are parts of this many.
+PARTS_BITS = 16
+#: Rows of the order-0 table, each with an entry a lane: the numbers from 0 on, then the full size for what is coded already.
+WIDTH = BLOCK + 2
+_CODED = BLOCK + 1
+_FULL, _LOW, _MASK = 1 << 48, 1 << 32, (1 << 32) - 1
+
+# Logistic table in integers, so that coder and decoder agree on any machine.
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + 2.718281828459045 ** (-x / 256))))) for x in range(-2048, 2048)], dtype=np.int32)
 _MIDDLE = np.int32(2048 << 8)
-_ONCE, _SURER = 1 << 14, np.append(np.full(15, 1 << 14), 0)
+# An entry of a context: its guess in 13 bits, then how sure it is, up to 7.
+_GUESS, _SURE_AT = (1 << 13) - 1, 13
+# The sureness after a miss, by that before: a sure one is halved, another gives way to what came; and after a hit.
+_DOUBTED = np.where(np.arange(8) > 2, np.arange(8) >> 1, 1)
+_SURENESS = (np.concatenate([_DOUBTED, np.minimum(np.arange(8) + 1, 7)]) << _SURE_AT).astype(np.int32)
 # Powers of two in an order-0 size.
-_LOG = np.floor(np.log2(np.arange((1 << 14) + 1) + 1)).astype(np.int64)
+_LOG = np.floor(np.log2(np.arange(TOTAL + 1) + 1)).astype(np.uint8)
 # Runs of hits 0 to 32 in eight classes, and the run after a miss and after a hit; order 2's sureness in four.
 _RUN8 = np.minimum(7, np.ceil(np.log2(np.arange(33) + 1)).astype(np.int64)) << 3
-_NEXT_RUN = np.concatenate([np.arange(33) >> 2, np.minimum(np.arange(33) + 1, 32)])
-_CONF = np.minimum(np.arange(16), 3) << 1
+_NEXT_RUN = np.concatenate([np.minimum(np.arange(33) + 1, 32), np.minimum(np.arange(33) + 1, 32), np.arange(33) >> 2])
+_CONF = np.minimum(np.arange(8), 3) << 1
+_EIGHT = np.array([0, 8], dtype=np.int32)
 
 
 class _Coder:
     """Range coder of many lanes: emits 16-bit words with carries, which are settled at the end."""
 
     def __init__(self, lanes: int):
-        self.low, self.range, self.every = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _FULL), np.arange(lanes)
+        self.low, self.range, self.every = np.zeros(lanes, dtype=np.int64), np.full(lanes, _FULL), np.arange(lanes)
         self.words: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
 
-    def take(self, lanes: np.ndarray | None, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Narrows each of ``lanes`` (None: all) to ``size`` of its parts of width r from ``start``; emits what is settled."""
-        low, wide = (self.low if lanes is None else self.low.take(lanes)) + r * start, r * size
+    def take(self, lanes: np.ndarray, start: np.ndarray, wide: np.ndarray) -> None:
+        """Narrows each of ``lanes`` to the part of its range from ``start``, ``wide`` long; emits what is settled."""
+        low = self.low.take(lanes) + start
         while len(short := (wide < _LOW).nonzero()[0]):
             own = low.take(short)
-            self.words.append((own >> _32).astype(np.uint32))
-            self.owners.append(short if lanes is None else lanes.take(short))
-            low[short] = (own & _MASK) << _16
-            wide[short] <<= _16
-        if lanes is None:
-            self.low, self.range = low, wide
-        else:
-            self.low[lanes], self.range[lanes] = low, wide
-
-    def bit(self, lanes: np.ndarray | None, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Codes ``bit`` with probability p of 4096 that it is set."""
-        p, one = p.astype(np.uint64), bit.astype(np.uint64)
-        r = (self.range if lanes is None else self.range.take(lanes)) >> _12
-        start = p - p * one
-        self.take(lanes, r, start, start + one * p + (_1 - one) * (_4096 - p - p))
-        return bit
+            self.words.append((own >> 32).astype(np.uint32))
+            self.owners.append(lanes.take(short).astype(np.uint32))
+            low[short] = (own & _MASK) << 16
+            wide[short] <<= 16
+        self.low[lanes] = low
+        self.range[lanes] = wide
+
+    def narrow(self, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrows all lanes to ``size`` of their parts of width r from ``start``; ``settle`` has to follow."""
+        self.low += r * start
+        self.range = r * size
+
+    def settle(self) -> None:
+        while len(short := (self.range < _LOW).nonzero()[0]):
+            own = self.low.take(short)
+            self.words.append((own >> 32).astype(np.uint32))
+            self.owners.append(short.astype(np.uint32))
+            own &= _MASK
+            own <<= 16
+            self.low[short] = own
+            self.range[short] = self.range.take(short) << 16
 
     def finish(self) -> list[bytes]:
         lanes = len(self.low)
         for _ in range(3):
-            self.words.append((self.low >> _32).astype(np.uint32))
+            self.words.append((self.low >> 32).astype(np.uint32))
             self.owners.append(self.every)
-            self.low = (self.low & _MASK) << _16
-        owners = np.concatenate(self.owners)
+            self.low = (self.low & _MASK) << 16
+        # Integers of 16 bits are put in order by radix.
+        owners = np.concatenate(self.owners).astype(np.uint16 if lanes <= 1 << 16 else np.uint32)
         words = np.concatenate(self.words)[np.argsort(owners, kind="stable")]
         while len(over := np.flatnonzero(words > 0xFFFF)):
             words[over] &= 0xFFFF
@@ -108,72 +122,69 @@ class _Coder:
 class _Decoder:
     def __init__(self, blocks: list[bytes]):
         sizes = np.array([len(b) // 2 for b in blocks])
-        self.words = np.frombuffer(b"".join(blocks) + bytes(16), dtype="<u2").astype(np.uint64)
+        self.words = np.frombuffer(b"".join(blocks) + bytes(16), dtype="<u2")
         self.at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.range = np.full(len(blocks), _FULL)
-        self.code = np.zeros(len(blocks), dtype=np.uint64)
+        self.code = np.zeros(len(blocks), dtype=np.int64)
         for _ in range(3):
-            self.code = (self.code << _16) | self.words[self.at]
+            self.code = self.code << 16 | self.words[self.at]
             self.at += 1
 
-    def target(self, lanes: np.ndarray, r: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.minimum(self.code.take(lanes) // r, total - _1).astype(np.int64)
+    def target(self, lanes: np.ndarray | None, r: np.ndarray, last: np.ndarray | int) -> np.ndarray:
+        """The part of width r where the code of each of ``lanes`` (None: all) lies, ``last`` at most."""
+        return np.minimum((self.code if lanes is None else self.code.take(lanes)) // r, last)
 
-    def take(self, lanes: np.ndarray | None, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        code, wide = (self.code if lanes is None else self.code.take(lanes)) - r * start, r * size
+    def take(self, lanes: np.ndarray, start: np.ndarray, wide: np.ndarray) -> None:
+        code = self.code.take(lanes) - start
         while len(short := (wide < _LOW).nonzero()[0]):
-            own = short if lanes is None else lanes.take(short)
+            own = lanes.take(short)
             at = self.at.take(own)
-            code[short] = (code.take(short) << _16) | self.words.take(at)
+            code[short] = code.take(short) << 16 | self.words.take(at)
             self.at[own] = at + 1
-            wide[short] <<= _16
-        if lanes is None:
-            self.code, self.range = code, wide
-        else:
-            self.code[lanes], self.range[lanes] = code, wide
+            wide[short] <<= 16
+        self.code[lanes] = code
+        self.range[lanes] = wide
+
+    def narrow(self, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.code -= r * start
+        self.range = r * size
 
-    def bit(self, lanes: np.ndarray | None, p: np.ndarray, _) -> np.ndarray:
-        p = p.astype(np.uint64)
-        r = (self.range if lanes is None else self.range.take(lanes)) >> _12
-        bit = (self.code if lanes is None else self.code.take(lanes)) < r * p
-        one = bit.astype(np.uint64)
-        start = p - p * one
-        self.take(lanes, r, start, start + one * p + (_1 - one) * (_4096 - p - p))
-        return bit
+    def settle(self) -> None:
+        while len(short := (self.range < _LOW).nonzero()[0]):
+            at = self.at.take(short)
+            self.code[short] = self.code.take(short) << 16 | self.words.take(at)
+            self.at[short] = at + 1
+            self.range[short] = self.range.take(short) << 16
 
 
 def _symbol(coder, lanes: np.ndarray, cumulative: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
     """Codes, or decodes where None, one of the columns of ``cumulative`` counts (a row for each of lanes)."""
-    total = cumulative[:, -1].astype(np.uint64)
+    total = cumulative[:, -1]
     r = coder.range[lanes] // total
     if symbol is None:
-        symbol = (cumulative <= coder.target(lanes, r, total)[:, None]).sum(axis=1)
+        symbol = (cumulative <= coder.target(lanes, r, total - 1)[:, None]).sum(axis=1)
     rows = np.arange(len(lanes))
     end = cumulative[rows, symbol]
     start = np.where(symbol > 0, cumulative[rows, symbol - 1], 0)
-    coder.take(lanes, r, start.astype(np.uint64), (end - start).astype(np.uint64))
+    coder.take(lanes, r * start, r * (end - start))
     return symbol
 
 
 def _plain(coder, lanes: np.ndarray, total: np.ndarray, value: np.ndarray | None) -> np.ndarray:
     """Codes, or decodes where None, values below ``total`` (up to 65536), all alike likely."""
-    total = total.astype(np.uint64)
     r = coder.range[lanes] // total
     if value is None:
-        value = coder.target(lanes, r, total)
-    coder.take(lanes, r, value.astype(np.uint64), np.ones(len(lanes), dtype=np.uint64))
+        value = coder.target(lanes, r, total - 1)
+    coder.take(lanes, r * value, r)
     return value
 
 
-def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of counts (lanes, symbols): sizes that add up to TOTAL in each lane, their starts, and the symbol at each place."""
-    has = counts > 0
-    spare = TOTAL - has.sum(axis=1, keepdims=True)
-    size = (counts * spare) // np.maximum(1, counts.sum(axis=1, keepdims=True)) + has
-    size[:, 0] += TOTAL - size.sum(axis=1)
-    start = np.cumsum(size, axis=1) - size
-    at = np.repeat(np.tile(np.arange(counts.shape[1], dtype=np.int16), len(counts)), size.ravel())
-    return size, start, at
+def _spread(counts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts (symbols, lanes), of which ``symbols`` a lane are not 0: sizes that add up to TOTAL in each lane, and their starts."""
+    scale = ((TOTAL - symbols << 16) // counts.sum(axis=0)).astype(np.int32)
+    size = (counts * scale >> 16) + (counts > 0)
+    size[0] += TOTAL - size.sum(axis=0, dtype=np.int32)
+    return size, np.cumsum(size, axis=0, dtype=np.int32) - size
 
 
 def _logits(p: np.ndarray) -> np.ndarray:
@@ -181,7 +192,11 @@ def _logits(p: np.ndarray) -> np.ndarray:
 
 
 class _Decisions:
-    """Whether a candidate comes next: what the three orders say of it is added up as learned log-odds."""
+    """Whether a candidate comes next: what the three orders say of it is added up as learned log-odds.
+
+    Each lane has two decisions, that on the first candidate and that on the second if
+    the first fails; arrays hold the first decisions of all lanes, then the second.
+    """
 
     def __init__(self, lanes: int):
         state = np.arange(64)
@@ -190,159 +205,235 @@ class _Decisions:
         self.by2 = np.tile(by2, lanes * 2)
         self.by1 = np.zeros(lanes * 2 * 16, dtype=np.int32)
         self.by0 = np.zeros(lanes * 2 * 16, dtype=np.int32)
-        self.row = np.arange(lanes) * 32
-
-    def code(self, coder, lanes: np.ndarray | None, s2: np.ndarray, s1: np.ndarray, s0: np.ndarray, hit) -> np.ndarray:
-        """Codes for ``lanes`` (None: all) whether the candidate comes; the log-odds move towards what came."""
-        row = self.row if lanes is None else self.row.take(lanes)
-        j2, j1, j0 = (row << 2) + s2, row + s1, row + s0
-        w2, w1, w0 = self.by2.take(j2), self.by1.take(j1), self.by0.take(j0)
-        p = _SQUASH.take(w2 + w1 + w0 + _MIDDLE >> 8, mode="clip")
-        hit = coder.bit(lanes, p, hit)
-        error = (hit.astype(np.int32) << 12) - p
+        row = np.arange(lanes)
+        self.row2 = np.concatenate([row * 64, (row + lanes) * 64])
+        self.row = np.concatenate([row * 16, (row + lanes) * 16])
+
+    def expect(self, s2: np.ndarray, s1: np.ndarray, s0: np.ndarray) -> np.ndarray:
+        """Probabilities of 4096 that the candidates come, in the states that the orders are in."""
+        self.j2, self.j1, self.j0 = self.row2 + s2, self.row + s1, self.row + s0
+        self.w2, self.w1, self.w0 = self.by2.take(self.j2), self.by1.take(self.j1), self.by0.take(self.j0)
+        total = self.w2 + self.w1
+        total += self.w0
+        total += _MIDDLE
+        total >>= 8
+        return _SQUASH.take(total, mode="clip")
+
+    def learn(self, error: np.ndarray, made: np.ndarray) -> None:
+        """Moves the log-odds of the decisions that were ``made`` (1 or 0) towards what came."""
         # Each log-odds stays within 2**20 or one step more, so the sum is within the table or clipped to its ends.
-        self.by2[j2] = w2 + error - (w2 >> 10)
+        self.by2[self.j2] = self.w2 + (error - (self.w2 >> 10)) * made
         error >>= 1
-        self.by1[j1] = w1 + error - (w1 >> 10)
-        self.by0[j0] = w0 + error - (w0 >> 10)
-        return hit
-
-
-def _learned(entry: np.ndarray, guess: np.ndarray, sure: np.ndarray, came: np.ndarray) -> np.ndarray:
-    """The entry of a context after ``came``: a guess that holds grows surer; one that fails is halved, then replaced."""
-    new = np.where(guess == came, entry + _SURER.take(sure), came + _ONCE)
-    doubted = ((guess != came) & (sure > 2)).nonzero()[0]
-    new[doubted] = guess[doubted] | sure[doubted] >> 1 << 14
-    return new
-
-
-def _numbers(ids: np.ndarray) -> np.ndarray:
-    """Of each column of ids (steps, lanes), the numbers by first appearance, from 1 on."""
-    out = np.empty(ids.shape, dtype=np.int64)
-    for k in range(ids.shape[1]):
-        _, first, which = np.unique(ids[:, k], return_index=True, return_inverse=True)
-        rank = np.empty(len(first), dtype=np.int64)
-        rank[np.argsort(first)] = np.arange(1, len(first) + 1)
-        out[:, k] = rank[which]
-    return out
-
-
-class _Literals:
-    """Ids that are new to their block, and whether an id outside the order-0 table is new."""
-
-    def __init__(self, lanes: int):
-        self.recent = np.full(lanes, 2048, dtype=np.int32)
-        # An id's number of bits, by its counts; the bits after the first are plain.
-        self.classes = np.ones((lanes, 33), dtype=np.int64)
-
-    def is_recent(self, coder, lanes: np.ndarray, recent) -> np.ndarray:
-        p = self.recent[lanes]
-        recent = coder.bit(lanes, np.clip(p, 32, 4064), recent)
-        self.recent[lanes] = p + ((np.where(recent, 4096, 0) - p) >> 4)
-        return recent
-
-    def code(self, coder, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        self.by1[self.j1] = self.w1 + (error - (self.w1 >> 10)) * made
+        self.by0[self.j0] = self.w0 + (error - (self.w0 >> 10)) * made
+
+
+def _learned(guess: np.ndarray, sure: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """The entries of contexts after ``came``: a guess that holds grows surer; one that fails is halved, then replaced."""
+    held = guess == came
+    new = np.where(held | (sure > 2), guess, came)
+    new |= _SURENESS.take(sure + 8 * held)
+    return new.astype(np.uint16)
+
+
+def _numbers(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each row of ids (lanes, steps), the numbers by first appearance, from 1 on, and the ids in this order."""
+    out, own = np.empty(ids.shape, dtype=np.int16), []
+    place = np.arange(ids.shape[1])
+    first_at = np.zeros(int(ids.max(initial=0)) + 1 if ids.max(initial=0) < 1 << 17 else 0, dtype=np.int64)
+    for k, row in enumerate(ids):
+        if len(first_at):
+            # Of places that are written twice the last stays, which here is the first.
+            first_at[row[::-1]] = place[::-1]
+            first = first_at.take(row)
+        else:
+            _, at, which = np.unique(row, return_index=True, return_inverse=True)
+            first = at[which]
+        new = first == place
+        out[k] = np.cumsum(new).take(first)
+        own.append(row[new])
+    return out, own
+
+
+def _literals(coder, lanes: int, own: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Codes, or decodes where None, the ids of each block in the order of their first appearance."""
+    every = np.arange(lanes)
+    many = _plain(coder, every, np.full(lanes, 2 * BLOCK), None if own is None else np.array([len(x) for x in own]))
+    most = int(many.max(initial=0))
+    grid = np.zeros((most, lanes), dtype=np.int64)
+    for k, x in enumerate(own or ()):
+        grid[: len(x), k] = x
+    # An id's number of bits, by its counts; the bits after the first are plain.
+    classes = np.ones((lanes, 33), dtype=np.int64)
+    for t in range(most):
+        active = (many > t).nonzero()[0]
+        ids = None if own is None else grid[t].take(active)
         size = None if ids is None else np.where(ids > 0, np.floor(np.log2(np.maximum(ids, 1))).astype(np.int64) + 1, 0)
-        size = _symbol(coder, lanes, np.cumsum(self.classes[lanes], axis=1), size)
-        self.classes[lanes, size] += 8
+        size = _symbol(coder, active, np.cumsum(classes[active], axis=1), size)
+        classes[active, size] += 8
         bits = np.maximum(size - 1, 0)
         top = np.where(size > 0, np.int64(1) << bits, 0)
         rest = None if ids is None else ids - top
         upper = np.int64(0)
         if (bits > 16).any():
-            upper = _plain(coder, lanes, np.int64(1) << np.maximum(bits - 16, 0), None if rest is None else rest >> 16)
-        return top + (upper << 16) + _plain(coder, lanes, np.int64(1) << np.minimum(bits, 16), None if rest is None else rest & 0xFFFF)
+            upper = _plain(coder, active, np.int64(1) << np.maximum(bits - 16, 0), None if rest is None else rest >> 16)
+        grid[t, active] = top + (upper << 16) + _plain(coder, active, np.int64(1) << np.minimum(bits, 16), None if rest is None else rest & 0xFFFF)
+    return [grid[:n, k] for k, n in enumerate(many.tolist())]
+
+
+def _outside(coder, lanes: np.ndarray, given: np.ndarray, share: np.ndarray, number: np.ndarray | None) -> np.ndarray:
+    """Codes, or decodes where None, ids outside the order-0 table: one of the numbers ``given`` since, or 0 for the next new one.
+
+    ``share`` has each block's probability, of 4096, of the former; it is learned.
+    """
+    own = share.take(lanes)
+    p = own * (given > 0)
+    r = coder.range.take(lanes) >> 12
+    new, many = r * (4096 - p), np.maximum(given, 1)
+    each = r * p // many
+    if number is None:
+        beyond = coder.code.take(lanes) - new
+        number = np.where(beyond < 0, 0, np.minimum(beyond // np.maximum(each, 1), many - 1) + 1)
+    is_new = number == 0
+    coder.take(lanes, np.where(is_new, 0, new + each * (number - 1)), np.where(is_new, new, each))
+    # So the probability stays from 15 to 4081.
+    learned = own + np.where(is_new, -(own >> 4), 4096 - own >> 4)
+    share[lanes] = np.where(given > 0, learned, own)
+    return number
 
 
 def _run(coder, lanes: int, ids: np.ndarray | None) -> np.ndarray:
-    """Codes ``ids`` (BLOCK, lanes), or decodes them where None: the model is the same."""
-    numbers = None if ids is None else _numbers(ids)
-    out = np.zeros((BLOCK, lanes), dtype=np.int64)
-    every, width = np.arange(lanes), BLOCK + 1
-    row, row2 = every * width, every * PLACES
-    counts = np.zeros((lanes, width), dtype=np.int64)
-    counts[:, 0] = 1
-    flat = counts.reshape(-1)
-    size, start = np.zeros(lanes * width, dtype=np.int32), np.zeros(lanes * width, dtype=np.int32)
-    id_of, order1 = np.zeros(lanes * width, dtype=np.int64), np.zeros(lanes * width, dtype=np.int32)
-    order2 = np.zeros(lanes * PLACES, dtype=np.int32)
-    decisions, literals = _Decisions(lanes), _Literals(lanes)
+    """Codes ``ids`` (lanes, BLOCK), or decodes them where None: the model is the same."""
+    numbers, own = (None, None) if ids is None else _numbers(ids)
+    own = _literals(coder, lanes, own)
+    steps = np.empty((BLOCK, lanes), dtype=np.int16)
+    if numbers is not None:
+        steps[:] = numbers.T
+    every = np.arange(lanes)
+    both, place_row = np.tile(every, 2), every * TOTAL
+    # Counts of the numbers, a row for each; 0 stands for ids outside the table. Tables have rows for numbers too:
+    # lanes mostly work on low ones, so what they need lies together.
+    counts, outside = np.zeros((WIDTH, lanes), dtype=np.int32), np.ones(lanes, dtype=np.int32)
+    # Order 0: a number's start and size in one, and the size's logarithm.
+    table, logs = np.zeros(lanes * WIDTH, dtype=np.int32), np.zeros(lanes * WIDTH, dtype=np.uint8)
+    table[_CODED * lanes : (_CODED + 1) * lanes] = TOTAL
+    # Entries of order 1, then those of order 2.
+    contexts = np.zeros(lanes * (BLOCK + 1 + PLACES), dtype=np.uint16)
+    row2 = lanes * (BLOCK + 1) + every * PLACES
+    decisions = _Decisions(lanes)
+    share = np.full(lanes, 2048, dtype=np.int64)
     seen, before_table = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     run = np.zeros(lanes, dtype=np.int64)
-    last = before = np.zeros(lanes, dtype=np.int64)
-    place = np.zeros(0, dtype=np.int16)
+    last, hashed, last_at = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64), every
+    edges = np.zeros((4, lanes), dtype=np.int64)
+    edges[3] = 1 << PARTS_BITS
+    start_of, end_of = edges.reshape(-1), edges.reshape(-1)[lanes:]
+    i, asked = np.empty(2 * lanes, dtype=np.int64), np.empty(2 * lanes, dtype=np.int64)
+    s2, s1 = np.empty(2 * lanes, dtype=np.int64), np.empty(2 * lanes, dtype=np.int64)
+    came, made = np.empty(2 * lanes, dtype=np.int32), np.ones(2 * lanes, dtype=np.int32)
+    hits = np.zeros(2 * lanes, dtype=np.int32)
+    counted, place = 0, np.zeros(0, dtype=np.int16)
     for t in range(BLOCK):
         if t % RENEWED == 0 or (t < RENEWED and t & (t - 1) == 0):
-            # Order 0: the counts so far become the table; symbol 0 stands for ids outside it.
+            # The counts so far become the table.
             wide = int(seen.max(initial=0)) + 1
-            own_size, own_start, place = _spread(counts[:, :wide])
-            size.reshape(lanes, width)[:, :wide] = own_size
-            start.reshape(lanes, width)[:, :wide] = own_start
+            if t > counted:
+                at = steps[counted:t] * np.int64(lanes)
+                at += every
+                counts[:wide] += np.bincount(at.ravel(), minlength=lanes * wide).reshape(wide, lanes)
+                counted = t
+            counts[0] = outside
+            own_size, own_start = _spread(counts[:wide], seen + 1)
+            table[: wide * lanes] = (own_start << 16 | own_size).ravel()
+            logs[: wide * lanes] = _LOG.take(own_size).ravel()
             before_table = seen.copy()
-        i1 = row + last
-        i2 = row2 + ((last * 40503 + before * 60493) >> 3 & (PLACES - 1))
-        e1, e2 = order1.take(i1), order2.take(i2)
-        a, c, sure1, sure2 = e1 & 0x3FFF, e2 & 0x3FFF, e1 >> 14, e2 >> 14
-        # The candidate of order 2, or that of order 1 where there is none.
+            if ids is None:
+                place = np.repeat(np.tile(np.arange(wide, dtype=np.int16), lanes), own_size.T.ravel())
+        i[:lanes] = last_at
+        mixed = last * 40503
+        hashed += mixed
+        hashed >>= 3
+        hashed &= PLACES - 1
+        np.add(row2, hashed, out=i[lanes:])
+        entry = contexts.take(i).astype(np.int32)
+        guess, sure = entry & _GUESS, entry >> _SURE_AT
+        a, c, sure1 = guess[:lanes], guess[lanes:], sure[:lanes]
+        # The candidate of order 2, or that of order 1 where there is none; then that of order 1, if it is another.
         first = c + a * (c == 0)
         agree = first == a
-        s2 = _RUN8.take(run) + _CONF.take(sure2) + agree
-        now = np.zeros(lanes, dtype=np.int64) if ids is None else numbers[t]
-        hit = decisions.code(coder, None, s2, np.minimum(sure1, 7) + 8 * agree, _LOG.take(size.take(row + first)), now == first)
+        other = (a > 0) > agree
+        state = _RUN8.take(run)
+        state += _CONF.take(sure[lanes:])
+        state += agree
+        s2[:lanes] = s2[lanes:] = state
+        np.add(sure1, _EIGHT.take(agree), out=s1[:lanes])
+        s1[lanes:] = sure1
+        asked[:lanes], asked[lanes:] = first, a
+        asked *= lanes
+        asked += both
+        p = decisions.expect(s2, s1, logs.take(asked))
+        # What the first leaves is shared by the second and all else; each has a part at least.
+        np.left_shift(p[:lanes], PARTS_BITS - 12, out=edges[1])
+        second = ((1 << PARTS_BITS) - edges[1]) * p[lanes:] >> 12
+        second |= 1
+        second *= other
+        np.add(edges[1], second, out=edges[2])
+        r = coder.range >> PARTS_BITS
+        if ids is None:
+            part = coder.target(None, r, (1 << PARTS_BITS) - 1)
+            which = (part >= edges[1]).astype(np.int64)
+            which += part >= edges[2]
+        else:
+            now = steps[t].astype(np.int64)
+            missed = now != first
+            which = missed.astype(np.int64)
+            which += missed & ~(other & (now == a))
+        at = which * lanes
+        at += every
+        start = start_of.take(at)
+        coder.narrow(r, start, end_of.take(at) - start)
+        # Order 0; what is not in its table is a number given since then, or an id new to the block.
+        r = coder.range >> TOTAL_BITS
+        open_ = which == 2
+        if ids is None:
+            x = place.take(place_row + coder.target(None, r, TOTAL - 1)).astype(np.int64)
+        else:
+            x = now * (now <= before_table)
+        symbol = np.where(open_, x, _CODED)
+        symbol *= lanes
+        symbol += every
+        symbol = table.take(symbol).astype(np.int64)
+        coder.narrow(r, symbol >> 16, symbol & 0xFFFF)
+        coder.settle()
         if ids is None:
-            now = first * hit
-        run = _NEXT_RUN.take(run + 33 * hit)
-        left = (~hit).nonzero()[0]
-        # Then that of order 1, if it is another.
-        own = left[(a.take(left) > 0) & ~agree.take(left)]
-        if len(own):
-            guess, way = a.take(own), sure1.take(own)
-            found = decisions.code(
-                coder, own, 64 + s2.take(own), 16 + np.minimum(way, 15), 16 + _LOG.take(size.take(row.take(own) + guess)), now.take(own) == guess
-            )
-            now[own[found]] = guess[found]
-            hit[own] = found
-            left = (~hit).nonzero()[0]
-        if len(left):
-            # Order 0; what is not in its table is a number given since then, or an id new to the block.
-            base = row.take(left)
+            now = np.where(open_, x, np.where(which == 0, first, a))
+        new = (open_ & (x == 0)).nonzero()[0]
+        if len(new):
+            outside[new] += 1
+            old, so_far = before_table.take(new), seen.take(new)
+            found = None
             if ids is not None:
-                x = now.take(left)
-                x = np.where(size.take(base + x) > 0, x, 0)
-            else:
-                x = None
-            r = coder.range.take(left) >> _BITS
-            if x is None:
-                x = place.take(left * TOTAL + coder.target(left, r, _ALL)).astype(np.int64)
-            coder.take(left, r, start.take(base + x).astype(np.uint64), size.take(base + x).astype(np.uint64))
+                found = now.take(new) - old
+                found[found > so_far - old] = 0
+            found = _outside(coder, new, so_far - old, share, found)
+            fresh = new[found == 0]
+            seen[fresh] += 1
             if ids is None:
-                now[left] = x
-            outside = left[x == 0]
-            if len(outside):
-                flat[row.take(outside)] += 1
-                some = outside[seen.take(outside) > before_table.take(outside)]
-                fresh = outside
-                if len(some):
-                    recent = literals.is_recent(coder, some, now.take(some) <= seen.take(some) if ids is not None else None)
-                    old = some[recent]
-                    if len(old):
-                        low = before_table.take(old) + 1
-                        now[old] = low + _plain(coder, old, seen.take(old) - low + 1, None if ids is None else now.take(old) - low)
-                    is_fresh = np.zeros(lanes, dtype=bool)
-                    is_fresh[outside] = True
-                    is_fresh[old] = False
-                    fresh = is_fresh.nonzero()[0]
-                if len(fresh):
-                    value = literals.code(coder, fresh, None if ids is None else ids[t].take(fresh))
-                    seen[fresh] += 1
-                    now[fresh] = seen.take(fresh)
-                    id_of[row.take(fresh) + seen.take(fresh)] = value
-        at = row + now
-        out[t] = id_of.take(at)
-        flat[at] += 1
-        order1[i1] = _learned(e1, a, sure1, now)
-        order2[i2] = _learned(e2, c, sure2, now)
-        before, last = last, now
+                now[new] = np.where(found > 0, old + found, so_far + 1)
+        steps[t] = now
+        hits[:lanes] = which == 0
+        hits[lanes:] = which == 1
+        np.logical_and(other, which, out=made[lanes:], casting="unsafe")
+        decisions.learn((hits << 12) - p, made)
+        came[:lanes] = came[lanes:] = now
+        contexts[i] = _learned(guess, sure, came)
+        run = _NEXT_RUN.take(run + 33 * which)
+        hashed, last, last_at = last * 60493, now, now * lanes + every
+    if ids is not None:
+        return ids
+    out = np.empty((lanes, BLOCK), dtype="<u4")
+    for k, x in enumerate(own):
+        out[k] = x.astype("<u4")[steps[:, k] - 1]
     return out
 
 
@@ -351,10 +442,10 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
     n = -(-len(ids) // BLOCK)
     if not n:
         return [], []
-    padded = np.zeros(n * BLOCK, dtype=np.int64)
+    padded = np.zeros(n * BLOCK, dtype=ids.dtype)
     padded[: len(ids)] = ids
     coder = _Coder(n)
-    _run(coder, n, np.ascontiguousarray(padded.reshape(n, BLOCK).T))
+    _run(coder, n, padded.reshape(n, BLOCK))
     return coder.finish(), [zlib.crc32(ids[at : at + BLOCK].astype("<u4").tobytes()) for at in range(0, len(ids), BLOCK)]
 
 
@@ -362,8 +453,8 @@ def decode_blocks(coded: list[bytes], lengths: list[int], crcs: list[int]) -> li
     """The ids of some blocks; raises where a checksum differs."""
     if not coded:
         return []
-    grid = _run(_Decoder(coded), len(coded), None).T
-    out = [ids[:n].astype("<u4") for ids, n in zip(grid, lengths)]
+    grid = _run(_Decoder(coded), len(coded), None)
+    out = [ids[:n] for ids, n in zip(grid, lengths)]
     for ids, crc in zip(out, crcs):
         if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("a block's checksum differs")

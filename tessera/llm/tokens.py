@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -66,24 +67,20 @@ class WordTokenizer:
             known.clear()
         whole = [bool(_ODD_SPACE.search(t)) or any(s in t for s in self.special) for t in texts]
         cut = [[] if w else plain_words(t) for t, w in zip(texts, whole)]
-        found = [list(map(known.get, words)) for words in cut]
-        open_ = [i for i, x in enumerate(found) if None in x]
-        new = list({w for i in open_ for w, x in zip(cut[i], found[i]) if x is None})
+        new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
-            own = [[p.encode() for p in pieces(w)] for w in new]
-            every = list({p for x in own for p in x})
-            ids = {p: np.array(x, dtype=self.dtype).tobytes() for p, x in zip(every, self.merges.merge_all(every))}
-            for w, x in zip(new, own):
-                known[w] = ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])
-            for i in open_:
-                found[i] = [known[w] if x is None else x for w, x in zip(cut[i], found[i])]
-            for w in new:
-                if len(w) > LONGEST:
-                    del known[w]
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes() if w else b"".join(x)
-            for t, w, x in zip(texts, whole, found)
+            own = list(map(pieces, new))
+            every = list(set(chain.from_iterable(own)))
+            ids = dict(zip(every, self.merges.merge_bytes([p.encode() for p in every], self.dtype)))
+            known.update((w, ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])) for w, x in zip(new, own))
+        out = [
+            np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes() if w else b"".join(map(known.__getitem__, words))
+            for t, w, words in zip(texts, whole, cut)
         ]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 class RankTokenizer:
